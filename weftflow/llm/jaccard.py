@@ -176,11 +176,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def link_tile(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links that join components, and the labels after them. Every pair of different labels is decided, by its bound or exactly."""
+def link_tile(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> np.ndarray:
+    """The labels after merging those that a link joins. Every pair of different labels is decided, by its bound or exactly."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets, size = [sets[i] for i in order], np.array([len(sets[i]) for i in order], np.int64)
-    label, bits, links = labels[order].copy(), bitmaps(sets), []
+    label, bits = labels[order].copy(), bitmaps(sets)
     for i in range(1, len(sets)):
         n = size[i]
         low = int(np.searchsorted(size, -(-percent * n // 100)))
@@ -195,47 +195,47 @@ def link_tile(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> tuple
                 continue
             both = overlap(sets[i], sets[j])
             if 100 * both >= percent * (size[j] + n - both):
-                links.append((order[i], order[int(j)]))
-                label[label == label[j]] = label[i]
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
     back = np.empty_like(label)
     back[order] = label
-    return links, back
+    return back
 
 
 def decide_tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in each tile. members: (tile, rep, label, shingles binary); sets with equal labels aren't compared."""
+    """(cluster, item, label): the items of each tile of two or more, and the smallest item that links in the tile lead to.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def decided(rows: list[tuple]) -> pa.RecordBatch:
-            unique = list({(r, s): (r, x, s) for r, x, s in rows}.values())
-            sets = [np.frombuffer(s, U) for _, _, s in unique]
-            links, _ = link_tile(sets, np.array([x for _, x, _ in unique], np.int64), percent)
-            return pa.record_batch([pa.array([unique[i][0] for i, _ in links], pa.int64()), pa.array([unique[j][0] for _, j in links], pa.int64())], ["a", "b"])
+    members: (tile, cluster, item, shingles binary); sets of one item aren't compared. A tile's rows stand together, so a task holds one tile at a time.
+    """
 
-        tile, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decided(cluster: int, rows: set[tuple]) -> pa.RecordBatch:
+            rows = sorted(rows)
+            items = np.array([x for x, _ in rows], np.int64)
+            labels = link_tile([np.frombuffer(s, U) for _, s in rows], items, percent)
+            items, first = np.unique(items, return_index=True)
+            return pa.record_batch([pa.array([cluster] * len(items), pa.int64()), pa.array(items), pa.array(labels[first])], ["cluster", "item", "label"])
+
+        at, held = None, set()
         for batch in slices(batches):
-            for t, rep, label, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if t != tile:
-                    if len(held) > 1:
-                        yield decided(held)
-                    tile, held = t, []
-                held.append((rep, label, data))
-        if len(held) > 1:
-            yield decided(held)
+            for tile, cluster, item, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (tile, cluster):
+                    if held:
+                        yield decided(at[1], held)
+                    at, held = (tile, cluster), set()
+                held.add((item, data))
+        if held:
+            yield decided(at[1], held)
 
-    rows = members.select("tile", "rep", "label", "shingles")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    rows = members.select("tile", "cluster", "item", "shingles")
+    return rows.repartition("tile").sortWithinPartitions("tile", "cluster").mapInArrow(run, "cluster long, item long, label long")
 
 
-def cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives that connect each true component."""
+def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """(cluster, rep, label): class representatives and the smallest one of their component."""
     wanted = cut(classes.join(clusters, "h1").filter("rep is not null").select("rep", "h1", "h2", "n", "cluster"), "clustered")
     low = [int(x) for x in bands(percent)]
-    top = wanted.agg(F.max("n")).first()[0] or 0
-    band = F.lit(0)
-    for i, x in enumerate(low):
-        if 0 < i and x <= top:
-            band = band + (F.col("n") >= x).cast("int")
+    count, top = wanted.agg(F.count("*"), F.max("n")).first()
+    band = sum(((F.col("n") >= x).cast("int") for x in low if x <= (top or 0)), F.lit(-1))
     wanted = wanted.withColumn("band", band)
     each = wanted.groupBy("cluster", "band").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     whole = each.groupBy("cluster").agg(F.sum("m").alias("all_m"), F.sum("s").alias("all_s"))
@@ -246,50 +246,62 @@ def cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size
     wanted = cut(wanted.join(plan, ["cluster", "band"]).withColumn("tile", tile).select("rep", "h1", "h2", "cluster", "band", "one", "tile"), "tiled")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ["tile", "cluster", "band", "one", "item"]
         for batch in slices(batches):
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
             with np.errstate(over="ignore"):
                 h = np.array([(mix(s, 11).sum(dtype=U), mix(s, 13).sum(dtype=U)) for s in sets], U).reshape(-1, 2).view(np.int64)
             same = (h[:, 0] == batch.column("h1").to_numpy()) & (h[:, 1] == batch.column("h2").to_numpy())
-            kept = pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)], pa.binary())
-            yield pa.record_batch([*(batch.column(c) for c in ("tile", "rep", "cluster", "band", "one")), kept], ["tile", "rep", "cluster", "band", "one", "shingles"])
+            data = pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)], pa.binary())
+            yield pa.record_batch([*(batch.column(c) for c in kept), data], [*kept, "shingles"])
 
     # the clustered ids are broadcast if they are few enough, else the texts are shuffled to them
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    side = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = texts.join(side, "rep").mapInArrow(arrays, "tile long, rep long, cluster long, band int, one boolean, shingles binary").filter("shingles is not null")
-    small = decide_tiles(found.filter("one").withColumn("label", F.xxhash64("rep", "shingles")), percent)
+    found = texts.join(side, "rep").withColumnRenamed("rep", "item").mapInArrow(arrays, "tile long, cluster long, band int, one boolean, item long, shingles binary").filter("shingles is not null")
     large = wanted.filter("not one")
     if large.isEmpty():
-        return small
-    # clusters of several tiles: their arrays are kept, as they are read more than once
-    held = cut(found.filter("not one"), "large-sets")
-    links = cut(small.unionAll(decide_tiles(held.withColumn("label", F.xxhash64("rep", "shingles")), percent)), "links")
+        return decide_tiles(found, percent).select("cluster", F.col("item").alias("rep"), "label")
+    # sets of clusters of several tiles are kept, as they are read more than once
+    held = cut(found.filter("not one").drop("one"), "large-sets")
+    done = decide_tiles(found.filter("one"), percent).select("cluster", F.col("item").alias("rep"), "label")
+    return done.unionAll(merge_tiles(held, cut(decide_tiles(held, percent).select("cluster", F.col("item").alias("rep"), "label"), "labels"), percent))
+
+
+def merge_tiles(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The labels (cluster, rep, label) after joining the tiles of each cluster.
+
+    Delegates of each label meet in tiles, all of a label in one, until no more labels merge. What is still open then, is
+    decided between all tiles whose labels differ.
+    """
+    level = 0
     while True:
-        now = components(links.join(large.select(F.col("rep").alias("a")).distinct(), "a", "left_semi"), "tile-components")
-        labelled = held.join(now, held["rep"] == now["node"], "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
-        open_ = cut(labelled.select("cluster", "label").distinct().groupBy("cluster").agg(F.count("*").alias("k")).filter("k > 1").select("cluster"), "open")
+        open_ = labels.groupBy("cluster").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("cluster")
         if open_.isEmpty():
-            return links
-        labelled = labelled.join(open_, "cluster")
-        # delegates of a tile's components, at most DELEGATES for each; they meet in tiles of their own
-        chosen = labelled.groupBy("cluster", "tile", "label").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"d{k}") for k in range(DELEGATES)))
-        chosen = chosen.select("cluster", F.explode(F.array(*(F.col(f"d{k}.rep") for k in range(DELEGATES)))).alias("rep")).distinct()
-        count = chosen.groupBy("cluster").agg(F.ceil(F.count("*") / TILE_SETS).cast("int").alias("tiles"))
-        chosen = chosen.join(count, "cluster").select("rep", F.xxhash64("cluster", F.pmod(F.xxhash64("rep", F.lit(len(low))), "tiles")).alias("to"), "tiles")
-        more = cut(decide_tiles(labelled.join(chosen.drop("tiles"), "rep").drop("tile").withColumnRenamed("to", "tile"), percent), "delegate-links")
-        if more.isEmpty():
-            return links.unionAll(cross_links(labelled, percent))
-        links = cut(links.unionAll(more), "links")
+            return labels
+        level += 1
+        chosen = labels.join(open_, "cluster").groupBy("cluster", "label").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"d{k}") for k in range(DELEGATES)))
+        tiles = chosen.groupBy("cluster").agg(F.ceil(F.count("*") * DELEGATES / TILE_SETS).cast("int").alias("tiles"))
+        chosen = chosen.join(tiles, "cluster").withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("label", F.lit(level)), "tiles")))
+        chosen = chosen.select("cluster", "tile", F.col("label"), F.explode(F.array_distinct(F.array(*(F.col(f"d{k}.rep") for k in range(DELEGATES))))).alias("item"))
+        met = held.drop("tile", "band").join(chosen, ["cluster", "item"]).select("tile", "cluster", F.col("label").alias("item"), "shingles")
+        merged = cut(decide_tiles(met, percent).filter("item <> label").select("cluster", F.col("item").alias("label"), F.col("label").alias("to")), "merged")
+        if merged.isEmpty():
+            links = cross_links(held.join(open_, "cluster").join(labels.withColumnRenamed("rep", "item"), ["cluster", "item"]), percent)
+            merged = components(links.select(F.col("item").alias("a"), F.col("label").alias("b")), "cross").select(F.col("node").alias("label"), F.col("component").alias("to"))
+            return labels.join(merged, "label", "left").select("cluster", "rep", F.coalesce("to", "label").alias("label"))
+        labels = cut(labels.join(merged, ["cluster", "label"], "left").select("cluster", "rep", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def cross_links(labelled: DataFrame, percent: int) -> DataFrame:
-    """Links between tiles of a cluster, for each two tiles of one band or of adjoining ones that hold different components."""
+    """(cluster, item, label) of labels that links merge, for each two tiles of one band or of adjoining ones that hold different labels."""
     tiles = cut(labelled.groupBy("cluster", "band", "tile").agg(F.min("label").alias("least"), F.max("label").alias("most")), "tiles")
     other = tiles.select("cluster", *(F.col(c).alias(f"other_{c}") for c in ("band", "tile", "least", "most")))
-    pairs = tiles.join(other, "cluster").filter((F.col("other_band") - F.col("band")).isin(0, 1) & ((F.col("band") < F.col("other_band")) | (F.col("tile") < F.col("other_tile"))) & ((F.col("least") != F.col("other_most")) | (F.col("most") != F.col("other_least"))))
+    near = (F.col("other_band") - F.col("band")).isin(0, 1) & ((F.col("band") < F.col("other_band")) | (F.col("tile") < F.col("other_tile")))
+    pairs = tiles.join(other, "cluster").filter(near & ((F.col("least") != F.col("other_most")) | (F.col("most") != F.col("other_least"))))
     to = pairs.select(F.xxhash64("tile", "other_tile").alias("to"), F.explode(F.array("tile", "other_tile")).alias("tile"))
-    return decide_tiles(labelled.join(to, "tile").drop("tile").withColumnRenamed("to", "tile"), percent)
+    met = labelled.join(to, "tile").select(F.col("to").alias("tile"), "cluster", F.col("label").alias("item"), "shingles")
+    return decide_tiles(met, percent).filter("item <> label")
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -300,15 +312,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     sigs = cut(signatures(docs, size, percent), "signatures")
     classes = cut(sigs.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal")), "classes")
-    clusters = candidate_clusters(sigs)
-    links = cluster_links(docs, classes, clusters, size, percent)
-    found = components(links, "jaccard")
-    # an id that is repeated with different sets belongs to one component only
+    labels = cut(linked(docs, classes, candidate_clusters(sigs), size, percent).select("rep", "label").distinct(), "linked")
     ids = sigs.filter("n > 0").select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"])
-    repeated = ids.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    named = repeated.join(repeated.groupBy("a").agg(F.countDistinct("b").alias("k")).filter("k > 1").select("a"), "a", "left_semi")
-    if not named.isEmpty():
-        found = components(links.unionAll(named), "jaccard")
-    rows = ids.join(found, ids["rep"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "n_equal")
+    named = ids.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), "n_equal")
+    # an id that is repeated with sets of different components joins them
+    twice = sigs.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    if not twice.isEmpty():
+        again = components(named.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionAll(labels.select(F.col("rep").alias("a"), F.col("label").alias("b"))), "repeated")
+        rows = sigs.filter("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "n_shingles", "rep", "n_equal")
+        named = rows.join(again, F.coalesce("doc_id", "rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "n_equal")
     empty = sigs.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"))
-    return rows.unionAll(empty)
+    return named.unionAll(empty)
