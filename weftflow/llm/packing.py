@@ -13,6 +13,8 @@ are packed each. Extra columns are left behind. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,46 +37,57 @@ GROUP_DOCS = 2048
 #: Bytes of text at which a group is closed early, so that long texts don't fill a worker.
 GROUP_BYTES = 32 << 20
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """Ids by word, as packed unsigned 32-bit integers. The tokenizer drops white space and never joins over it, so words are independent."""
+    """Ids by word, as packed unsigned 32-bit integers.
 
-    #: Its ids stand between words that are encoded in one call; a word that holds it is encoded alone.
-    MARK = "§"
+    The tokenizer drops white space and never joins over it, nor over the change from letters to a comma or full stop, so
+    such pieces of a text are encoded once and kept. A word of letters alone gives ids of which the last, and only the
+    last, has the end mark; many such words are encoded in one call and told apart by it.
+    """
+
+    #: A comma or full stop at the end of a word, after a Latin letter or digit that stays one character when normalised.
+    STOP = re.compile(r"(?<=[a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,])(?=\s)")
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
-        self.mark = np.array(self.ids(self.MARK))
+        mark = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        if mark:
+            self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(mark)]] = True
+
+    def words(self, text: str) -> list[str]:
+        if "\u03a3" not in text and "\u0130" not in text:  # the others have one lower case each, whatever stands around them
+            text = text.lower()
+        return self.STOP.sub(r" \1", text).split()
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't kept yet, many in one call."""
         if len(self) > KEPT_WORDS:
             self.clear()
         new = [w for w in words if w not in self]
-        plain = [w for w in new if self.MARK not in w]
-        for w in new:
-            if self.MARK in w:
-                self[w] = np.array(self.ids(w), "<u4").tobytes()
+        plain = [w for w in new if w.isalpha()]
+        self.update((w, self.ids(w)) for w in new if not w.isalpha())
         blocks = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        encoded = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(b) for b in blocks], add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
         for block, got in zip(blocks, encoded, strict=True):
             ids = np.array(got.ids, "<u4")
-            at = np.flatnonzero(ids == self.mark[0])
-            if len(self.mark) == 1 and len(at) == len(block) - 1:
-                self.update(zip(block, (x[1:].tobytes() if i else x.tobytes() for i, x in enumerate(np.split(ids, at))), strict=True))
-            else:  # a word gave the mark's id in another way
-                self.update((w, np.array(self.ids(w), "<u4").tobytes()) for w in block)
+            data, after = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(after) == len(block) and after[-1] == len(data):
+                self.update(zip(block, map(data.__getitem__, map(slice, [0, *after], after)), strict=False))
+            else:  # a word was split after all
+                self.update((w, self.ids(w)) for w in block)
 
-    def encode(self, text: str, end_id: int) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) + np.array([end_id], "<u4").tobytes(), "<u4")
+    def encode(self, words: list[str], end_id: int) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)) + np.array([end_id], "<u4").tobytes(), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,8 +193,9 @@ def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.j
 
         def packed(docs: list, texts: list[str]) -> pa.RecordBatch:
             nonlocal sequence
-            words.learn({w for t in texts for w in t.split()})
-            ids = [words.encode(t, end_id) for t in texts]
+            pieces = [words.words(t) for t in texts]
+            words.learn(set().union(*pieces))
+            ids = [words.encode(p, end_id) for p in pieces]
             out = pd.DataFrame([(docs[d], start, n, zlib.crc32(ids[d][start : start + n]), len(ids[d]), sequence + s, at) for d, start, n, s, at in pack_group([len(x) for x in ids], size)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
             sequence += int(out["sequence_id"].max() - sequence) + 1
             out["doc_id"] = out["doc_id"].astype("Int64")

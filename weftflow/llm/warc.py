@@ -35,6 +35,8 @@ DICTIONARY_RECORDS, DICTIONARY_RECORD_BYTES = 64, 8 << 10
 #: Compressed bytes after which a task starts another file.
 FILE_BYTES = 64 << 20
 READ_BYTES = 16 << 10
+#: Tasks that read archives, at most.
+MOST_TASKS = 10_000
 DATE = "2020-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -257,5 +259,5 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> Data
                 if found:
                     yield batch_of(found)
 
-    # files are dealt out one by one: a task then holds few of them
-    return files.select("file", "records").repartition("file").mapInArrow(run, schema)
+    # as many tasks as files: adaptive execution would join so few rows in one task
+    return files.select("file", "records").repartition(max(1, min(files.count(), MOST_TASKS)), "file").mapInArrow(run, schema)
