@@ -5,10 +5,11 @@ a word with the spaces around it, is compressed with either; where the toxic dic
 toxic passages. A window is joined to a tail that both dictionaries hold, since a compressor leaves a few bytes as they
 are. Every window of the whole text counts: a document is judged by its most suspicious windows.
 
-Training takes a bounded sample of labelled documents. Toxic passages are the stretches of toxic documents whose character
-n-grams are many times as common there as in ordinary documents. A third of the sample is kept from the dictionaries; on it
-thresholds are calibrated: how much more often toxic documents hold a window of some length and some difference than
-ordinary ones do, and a logistic curve from the two largest such weights to a probability.
+Training takes a bounded sample of labelled documents, of copies and near copies one each. Toxic passages are the stretches
+of toxic documents whose character n-grams are many times as common there as in ordinary documents. A third of the sample is
+kept from the dictionaries; on it thresholds are calibrated: how much more often toxic documents hold a window of some length
+of which the dictionaries save so and so many bytes than ordinary ones do, and a logistic curve from the two largest such
+weights to a probability.
 
 Nulls and empty texts have no windows and get the curve's value for none. Repeated rows score alike. Without labels, or
 where toxic documents hold no passage of their own, the score is the share of toxic documents with one document of each
@@ -24,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,7 +34,8 @@ from .common import labelled_sample, slices
 
 #: Labelled documents that a model is fitted to, at most.
 TRAIN_DOCS = 6000
-GRAM = 5
+#: Characters of an n-gram.
+GRAMS = range(4, 10)
 #: Toxic documents that hold an n-gram at least, and how many times as common it is there.
 LEAST_DOCS, TIMES = 8, 12
 DICTIONARY_BYTES = 32 << 10
@@ -41,8 +44,12 @@ LEVEL = 16
 TAIL = bytes(range(1, 32))
 #: Characters of a window at most; a longer word gives several windows, each starting WINDOW_STEP after the last.
 WINDOW_CHARS, WINDOW_STEP = 48, 32
-#: Lengths of windows and differences that are told apart.
-LENGTHS, DIFFERENCES = 24, 24
+#: Lengths of windows, and savings beyond SAVED_TAIL, that are told apart.
+LENGTHS, SAVED_TAIL = 24, 12
+#: Least hashes by which near copies are told.
+SKETCHES = 4
+#: Documents that hold a window of a cell at least; those of rarer cells are judged by length and difference alone.
+LEAST_SEEN = 4
 #: Windows whose weights a worker keeps.
 KEPT_WINDOWS = 400_000
 
@@ -66,7 +73,7 @@ def encoded(text: str) -> bytes:
 class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((LENGTHS, DIFFERENCES)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((LENGTHS, LENGTHS, LENGTHS)))  # by length, and bytes saved by either dictionary
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)  # constant, factors of the largest weight and of the second largest
 
 
@@ -83,11 +90,11 @@ class WindowWeights(dict):
         data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def cell(self, window: str) -> tuple[int, int]:
-        """Length and difference, each within its limits."""
+    def cell(self, window: str) -> tuple[int, int, int]:
+        """Length, and bytes that the ordinary and the toxic dictionary save, each within its limits."""
         data = encoded(f" {window} ") + TAIL
-        plain, toxic = (len(c.compress(data)) for c in self.by)
-        return min(len(data) - len(TAIL), LENGTHS) - 1, min(max(plain - toxic, 0), DIFFERENCES - 1)
+        saved = (len(data) - len(c.compress(data)) for c in self.by)
+        return min(len(data) - len(TAIL), LENGTHS) - 1, *(min(max(x - SAVED_TAIL, 0), LENGTHS - 1) for x in saved)
 
     def __missing__(self, window: str) -> float:
         if len(self) > KEPT_WINDOWS:
@@ -96,13 +103,27 @@ class WindowWeights(dict):
         return found
 
 
+def unlike(texts: list[str]) -> list[int]:
+    """Numbers of the texts without later copies and near copies: those that share one of SKETCHES least hashes of word triples."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i, t in enumerate(texts):
+        w = windows(t)
+        h = np.array([xxhash.xxh3_64_intdigest(" ".join(w[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(w) - 2))], np.uint64)
+        sketch = {(k, int((h * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) ^ (h >> np.uint64(32))).min())) for k in range(SKETCHES)}
+        if seen.isdisjoint(sketch):
+            kept.append(i)
+        seen |= sketch
+    return kept
+
+
 def grams(text: str) -> set[str]:
-    t = f" {' '.join(windows(text))} "
-    return {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
+    """N-grams within a window and the spaces around it."""
+    return {t[i : i + n] for t in {f" {w} " for w in windows(text)} for n in GRAMS for i in range(len(t) - n + 1)}
 
 
 def telling_grams(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """N-grams of toxic documents that ordinary ones lack."""
+    """N-grams of toxic documents that ordinary ones lack, the shortest: none holds another."""
     seen: Counter = Counter()
     for t in toxic:
         seen.update(grams(t))
@@ -110,8 +131,12 @@ def telling_grams(toxic: list[str], ordinary: list[str]) -> set[str]:
     seen = Counter({g: c for g, c in seen.items() if c >= few})
     plain: Counter = Counter()
     for t in ordinary:
-        plain.update(g for g in grams(t) if g in seen)
-    return {g for g, c in seen.items() if c / len(toxic) >= TIMES * (plain[g] + 0.5) / len(ordinary)}
+        plain.update(grams(t) & seen.keys())
+    found: set[str] = set()
+    for g in sorted((g for g, c in seen.items() if c / len(toxic) >= TIMES * (plain[g] + 0.5) / len(ordinary)), key=len):
+        if not any(g[i : i + n] in found for n in GRAMS if n < len(g) for i in range(len(g) - n + 1)):
+            found.add(g)
+    return found
 
 
 def passages(text: str, telling: set[str]) -> list[str]:
@@ -120,9 +145,10 @@ def passages(text: str, telling: set[str]) -> list[str]:
     for w in windows(text):
         marked = f" {w} "
         covered = np.zeros(len(marked) + 1, bool)
-        for i in range(len(marked) - GRAM + 1):
-            if marked[i : i + GRAM] in telling:
-                covered[i : i + GRAM] = True
+        for n in GRAMS:
+            for i in range(len(marked) - n + 1):
+                if marked[i : i + n] in telling:
+                    covered[i : i + n] = True
         if covered.any():
             edges = np.flatnonzero(np.diff(np.concatenate([[False], covered]).astype(np.int8)))
             found += [marked[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
@@ -157,6 +183,9 @@ def dictionaries(toxic: list[str], plain: list[str]) -> Model:
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
+    """Fit to the documents; of copies and near copies only the first counts, since a text that recurs would make all of its words telling."""
+    kept = unlike(texts)
+    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
     share = (sum(labels) + 1) / (len(labels) + 2)
     prior = (float(np.log(share / (1 - share))), 0.0, 0.0)
     fitted, judged = ([[t for i, (t, x) in enumerate(zip(texts, labels, strict=True)) if x == k and (i % 3 == 0) == late] for k in (0, 1)] for late in (False, True))
@@ -164,8 +193,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
     model.curve = prior
     if not model.toxic:
         return model
-    # how much more often toxic documents hold a window of a cell
-    counts, seen = np.zeros((2, LENGTHS, DIFFERENCES)), []
+    # how much more often toxic documents hold a window of a cell, and of its length and difference
+    counts, wide, seen = np.zeros((2, *model.weights.shape)), np.zeros((2, LENGTHS, LENGTHS)), []
     compare, cells = WindowWeights(model), {}
     for kind in (0, 1):
         for t in judged[kind]:
@@ -176,14 +205,15 @@ def train(texts: list[str], labels: list[int]) -> Model:
                 held[cells[w]] += 1
             for cell in held:
                 counts[(kind, *cell)] += 1
+            for length, difference in {(n, max(0, toxic - plain)) for n, plain, toxic in held}:
+                wide[kind, length, difference] += 1
             seen.append((kind, held))
-    model.weights = np.log((counts[1] + 0.5) / (len(judged[1]) + 1)) - np.log((counts[0] + 0.5) / (len(judged[0]) + 1))
-    model.weights[counts.sum(0) == 0] = np.nan
-    model.weights[:, 0] = 0.0  # no difference says nothing
-    for row in model.weights:  # cells that were never seen take the nearest smaller difference's weight
-        for d in range(1, DIFFERENCES):
-            if np.isnan(row[d]):
-                row[d] = row[d - 1]
+    n0, n1 = len(judged[0]), len(judged[1])
+    odds = lambda c, pull: np.log((c[1] + pull * n1 / n0) / (n1 + pull)) - np.log((c[0] + pull) / (n0 + pull))
+    broad = odds(wide, 0.5)
+    length, plain, toxic = np.indices(model.weights.shape)
+    model.weights = np.where(counts.sum(0) >= LEAST_SEEN, odds(counts, 0.5), broad[length, np.maximum(0, toxic - plain)])
+    model.weights[toxic <= plain] = 0.0  # no difference says nothing
     x = np.array([(1.0, *two_largest(model.weights[cell] for cell, n in held.items() for _ in range(min(n, 2)))) for _, held in seen])
     model.curve = tuple(logistic(x, np.array([float(kind) for kind, _ in seen])))
     return model
