@@ -2,8 +2,9 @@
 
 1. Shingles are hashed to 64 bits; equal sets are one class from here on, so copies cost nothing.
 2. Candidates. Bands of set sizes are such that linked sets lie in one band or in two that adjoin. In the lower band of
-   a pair, linked sets differ in at most d shingles, d known from the band. The hash space is cut into d + 1 parts and a
-   few more; at least one part that isn't empty is then the same in both sets. Sets meet where a part is the same, and
+   a pair, linked sets differ in at most d shingles, d known from the band. The hash space is cut into d + 1 parts and
+   some more; at least one part that isn't empty is then the same in both sets. (A set that leaves more parts empty than
+   there are spare ones, a matter of luck in very few, meets others at its empty parts too.) Sets meet where a part is the same, and
    each is tied to the first set there, which gives candidate clusters that no link leaves. Nothing is emitted per pair,
    and a passage that many documents share ties none of them, as a part holds shingles from all over a document.
 3. Tiles. A cluster's sets go into tiles by size band (and by hash where a band holds more than a tile's worth). In a
@@ -21,6 +22,7 @@ behind. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ TILE_SETS, TILE_SHINGLES = 1024, 2_000_000
 DELEGATES = 4
 #: Rows of up to 40 bytes that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Standard deviations by which the parts that a set fills may fall below their mean.
+FEW_FILLED = 5.0
 #: Bits of a bitmap signature, at most.
 MOST_BITS = 8192
 #: Words whose hashes a worker keeps.
@@ -99,10 +103,22 @@ def band_of(n: int, percent: int) -> int:
 
 @functools.lru_cache(maxsize=4096)
 def parts_of(band: int, percent: int) -> tuple[int, int]:
-    """(d, spare): shingles in which sets that link differ at most, if the smaller lies in this band; parts beyond d + 1."""
-    most = int(bands(percent)[band + 1]) - 1
+    """(d, spare): shingles in which sets that link differ at most, if the smaller lies in this band; parts beyond d + 1.
+
+    With enough spare parts hardly any set leaves more than `spare` of them empty: the parts that n shingles fill are d + 1
+    at least up to FEW_FILLED standard deviations below their mean. Otherwise many unlike sets would meet at empty parts.
+    """
+    n, most = int(bands(percent)[band]), int(bands(percent)[band + 1]) - 1
     d = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
-    return d, 1 + d // 32
+    spare = 1
+    while spare <= 4 * n + 8:
+        k = d + 1 + spare
+        load = n / k
+        empty = math.exp(-load)
+        if k * (1 - empty) - FEW_FILLED * math.sqrt(max(0.0, k * empty * (1 - (1 + load) * empty))) >= d + 1:
+            break
+        spare += 1 + spare // 16
+    return d, spare
 
 
 def meeting_keys(found: np.ndarray, percent: int) -> np.ndarray:
