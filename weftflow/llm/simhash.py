@@ -14,9 +14,10 @@ fingerprinted each. Extra columns are left behind.
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 128
@@ -101,39 +102,47 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-#: Ranges of ids; each is sorted by itself.
-RANGES = 1024
+#: Documents of an id range, about; ranges at most; bounds that are compared at a time.
+RANGE_ROWS, MOST_RANGES, BLOCK_BOUNDS = 256, 1 << 16, 256
 
 
-def edited_neighbours(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def slot_of(id_: Column, bounds: list[int]) -> Column:
+    """The number of bounds above an id, so 0 for the largest ids; null ids have a slot of their own after all others.
+
+    Bounds lie in blocks: an id is compared with the first of each block, then with those of one block. They reach the
+    plan as one literal, whatever their number.
+    """
+    blocks = [bounds[i : i + BLOCK_BOUNDS] for i in range(0, len(bounds), BLOCK_BOUNDS)]
+    firsts = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>")
+    at = F.size(F.filter(firsts, lambda b: b <= id_))
+    within = F.size(F.filter(F.get(F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>"), at - 1), lambda b: b <= id_))
+    below = F.when(at == 0, F.lit(0)).otherwise((at - 1) * BLOCK_BOUNDS + within)
+    return F.when(id_.isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below).cast("int")
+
+
+def edited_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each document beside the next one in descending id order (after the last the first): (slot, place, doc_id, text, next_text).
 
-    Ids fall into `ranges` ranges at approximate quantiles, whatever the number of rows; only these bounds and the largest
-    id of each range reach the driver. The documents are shuffled once, by range; the first document of a range is also
-    dealt to the range above, whose last document it follows. Null ids come last, repeated ids in the order of their texts.
-    slot and place number the rows; a row of another range's first document has place 0 and next_text null.
+    Ids fall into ranges at approximate quantiles, about RANGE_ROWS documents each and MOST_RANGES at most; only their
+    bounds and the largest id of each reach the driver, and that table of at most MOST_RANGES rows is broadcast. The
+    documents are shuffled once, by range; the first document of a range is also dealt to the range above, whose last
+    document it follows. Null ids come last, repeated ids in the order of their texts. slot and place number the rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    bounds = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    above = sorted(set(bounds or []))
-    # the number of bounds that lie above an id: range 0 has the largest ids, null ids have a range of their own
-    cuts = F.lit(above).cast("array<bigint>") if above else F.array().cast("array<bigint>")
-    slot = F.when(F.col("doc_id").isNull(), F.lit(len(above) + 1)).otherwise(F.size(F.filter(cuts, lambda b: b > F.col("doc_id"))))
-    heads = {r["slot"]: r["head"] for r in ids.select("doc_id", slot.alias("slot")).groupBy("slot").agg(F.max("doc_id").alias("head")).collect()}
+    ranges = ranges or max(1, min(MOST_RANGES, ids.count() // RANGE_ROWS))
+    bounds = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 8 * ranges)).first()[0] if ranges > 1 else []
+    slot = slot_of(F.col("doc_id"), sorted(set(bounds or [])))
+    heads = sorted((r["slot"], r["head"]) for r in ids.groupBy(slot.alias("slot")).agg(F.max("doc_id").alias("head")).collect())
     if not heads:
         return spark.createDataFrame([], "slot int, place int, doc_id long, text string, next_text string")
-    order = sorted(heads)
-    before = {s: order[i - 1] for i, s in enumerate(order)}  # the first range's head follows the last range
-    pairs = F.create_map(*(F.lit(x) for s in order for x in (s, before[s])))
-    tops = F.create_map(*(F.lit(x) for s in order if heads[s] is not None for x in (s, heads[s]))) if any(h is not None for h in heads.values()) else None
-    mine = F.col("slot")
-    leads = F.col("doc_id").isNull() if tops is None else F.coalesce(F.col("doc_id") == tops[mine], F.col("doc_id").isNull())
-    dealt = rows.withColumn("slot", slot).withColumn("to", F.explode(F.when(leads, F.array(F.struct(mine.alias("slot"), F.lit(0).alias("copy")), F.struct(pairs[mine].alias("slot"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(mine.alias("slot"), F.lit(0).alias("copy"))))))
-    placed = dealt.select(F.col("to.slot").alias("slot"), F.col("to.copy").alias("copy"), "doc_id", "text")
-    from pyspark.sql import Window
-
+    # each range with its largest id and the range before it; the first range's head follows the last range
+    known = spark.createDataFrame([(s, h, heads[i - 1][0]) for i, (s, h) in enumerate(heads)], "slot int, head long, before int")
+    leads = F.col("doc_id").eqNullSafe(F.col("head"))
+    own, other = (F.struct(F.col(c).alias("slot"), F.lit(k).alias("copy")) for k, c in enumerate(("slot", "before")))
+    met = rows.withColumn("slot", slot).join(F.broadcast(known), "slot")
+    placed = met.select("doc_id", "text", F.explode(F.when(leads, F.array(own, other)).otherwise(F.array(own))).alias("to")).select("to.slot", "to.copy", "doc_id", "text")
     w = Window.partitionBy("slot").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
     return placed.select("slot", F.when(F.col("copy") == 0, F.row_number().over(w)).otherwise(F.lit(0)).alias("place"), "doc_id", "text", F.lead("text").over(w).alias("next_text")).filter("place > 0")
 
