@@ -30,7 +30,8 @@ from .common import slices
 
 #: Labelled pages that the weights are learned from, at most.
 TRAIN_PAGES = 400
-WORD, LEAST_TAG, OTHER_TAG = 0.2, -0.01, -0.3
+#: Of a word, of tags at most, of tags that no labelled page has: low, so that a list of single words isn't cut off.
+WORD, LEAST_TAG, OTHER_TAG = 0.2, -0.01, -0.05
 
 # Names of HTML.
 SILENT = {"script", "style", "noscript", "template", "title", "textarea", "svg", "math", "iframe", "object", "canvas", "select", "button", "head"}
