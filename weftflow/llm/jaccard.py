@@ -5,8 +5,9 @@
    a pair, linked sets differ in at most d shingles, d known from the band. The hash space is cut into d + 1 parts and
    some more; at least one part that isn't empty is then the same in both sets. (A set that leaves more parts empty than
    there are spare ones, a matter of luck in very few, meets others at its empty parts too.) Sets meet where a part is the same, and
-   each is tied to the first set there, which gives candidate clusters that no link leaves. Nothing is emitted per pair,
-   and a passage that many documents share ties none of them, as a part holds shingles from all over a document.
+   each is tied to the first set there, which gives candidate clusters that no link leaves. Nothing is emitted per pair.
+   Shingles that many texts share, of which a sample tells most, are left out of the parts, so that a common passage
+   ties few documents.
 3. Tiles. A cluster's sets go into tiles by size band (and by hash where a band holds more than a tile's worth). In a
    tile, bitmap signatures are compared: every bit set in one signature only stands for at least one shingle outside the
    intersection, so bit counts bound the overlap from above. Pairs that may link are decided by intersecting the sorted
@@ -45,6 +46,10 @@ BROADCAST_ROWS = 1_000_000
 FEW_FILLED = 5.0
 #: Bits of a bitmap signature, at most.
 MOST_BITS = 8192
+#: Documents of the sample in which common shingles are looked for, about; texts that share a common one at least; common ones at most.
+SAMPLE_DOCS, COMMON_TEXTS, MOST_COMMON = 32_768, 12, 200_000
+#: Share of a large cluster's labels that a round of delegates must merge for another one.
+WORTH_A_ROUND = 0.05
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 500_000
 
@@ -121,40 +126,70 @@ def parts_of(band: int, percent: int) -> tuple[int, int]:
     return d, spare
 
 
-def meeting_keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """Keys such that linked sets that differ have one in common at least."""
+def meeting_keys(found: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Keys such that linked sets that differ have one in common at least.
+
+    Shingles in `common`, whatever they are, can be left out of the parts: what is left of two sets differs in no more
+    shingles than they do. A set that doesn't fill d + 1 parts then meets others at the parts of all its shingles too.
+    """
+    rest = found
+    if common is not None and len(common):
+        at = np.searchsorted(common, found)
+        at[at == len(common)] = 0
+        rest = found[common[at] != found]
     keys, own = [], band_of(len(found), percent)
-    mixed = mix(found, 3)
     for band in {own, max(0, own - 1)}:
         d, spare = parts_of(band, percent)
         if d == 0:  # such sets link only if they are equal
             continue
         k = d + 1 + spare
-        part = ((found >> U(32)) * U(k)) >> U(32)  # grows with the hash
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mixed, starts)
-            key = mix(sums ^ mix(part[starts] + U(band << 40), 5), 7)
-        keys.append(key)
-        if k - len(starts) > spare:  # so many empty parts that only empty ones may agree
+        for whole, s in ((0, rest), (1, found)):
+            mark = U((band << 40) + (whole << 39))
+            part = ((s >> U(32)) * U(k)) >> U(32)  # grows with the hash
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(s) else np.zeros(0, np.int64)
+            if len(starts):
+                with np.errstate(over="ignore"):
+                    keys.append(mix(np.add.reduceat(mix(s, 3), starts) ^ mix(part[starts] + mark, 5), 7))
+            if len(starts) > d:
+                break
+        else:  # so many empty parts that only empty ones may agree
             empty = np.setdiff1d(np.arange(k, dtype=U), part[starts])
-            keys.append(mix(mix(empty + U(band << 40), 5), 7))
+            keys.append(mix(mix(empty + mark, 5), 7))
     return np.concatenate(keys) if keys else np.zeros(0, U)
 
 
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that many different texts of a bounded sample share, MOST_COMMON at most.
+
+    They only spare needless meetings, whichever they are: links don't depend on them. So a sample drawn by a hash of the text will do.
+    """
+    n = docs.count()
+    share = min(1_000_000, -(-SAMPLE_DOCS * 1_000_000 // max(n, 1)))
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.record_batch([long(np.concatenate([shingles(t, size) for t in batch.column(0).to_pylist()]))], ["h"])
+
+    counted = texts.dropDuplicates(["text"]).mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON_TEXTS)
+    found = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(found.view(U))
+
+
 def long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, h1, h2, keys): the set's number of shingles, two hashes of it, and its meeting keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # MOST_COMMON hashes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
             with np.errstate(over="ignore"):
                 h1, h2 = (np.array([mix(s, k).sum(dtype=U) for s in sets], U) for k in (11, 13))
-            keys = [meeting_keys(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            keys = [meeting_keys(s, percent, shared.value).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)), pa.array(np.concatenate(keys)))
             yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), long(h1), long(h2), flat], ["doc_id", "n", "h1", "h2", "keys"])
 
@@ -287,7 +322,7 @@ def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int,
 def merge_tiles(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The labels (cluster, rep, label) after joining the tiles of each cluster.
 
-    Delegates of each label meet in tiles, all of a label in one, until no more labels merge. What is still open then, is
+    Delegates of each label meet in tiles, all of a label in one, as long as a round merges many labels. What is still open then, is
     decided between all tiles whose labels differ.
     """
     level = 0
@@ -302,11 +337,13 @@ def merge_tiles(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         chosen = chosen.select("cluster", "tile", F.col("label"), F.explode(F.array_distinct(F.array(*(F.col(f"d{k}.rep") for k in range(DELEGATES))))).alias("item"))
         met = held.drop("tile", "band").join(chosen, ["cluster", "item"]).select("tile", "cluster", F.col("label").alias("item"), "shingles")
         merged = cut(decide_tiles(met, percent).filter("item <> label").select("cluster", F.col("item").alias("label"), F.col("label").alias("to")), "merged")
-        if merged.isEmpty():
+        count, merges = labels.join(open_, "cluster").select("label").distinct().count(), merged.count()
+        if merges:
+            labels = cut(labels.join(merged, ["cluster", "label"], "left").select("cluster", "rep", F.coalesce("to", "label").alias("label")), "labels")
+        if merges < WORTH_A_ROUND * count:
             links = cross_links(held.join(open_, "cluster").join(labels.withColumnRenamed("rep", "item"), ["cluster", "item"]), percent)
             merged = components(links.select(F.col("item").alias("a"), F.col("label").alias("b")), "cross").select(F.col("node").alias("label"), F.col("component").alias("to"))
             return labels.join(merged, "label", "left").select("cluster", "rep", F.coalesce("to", "label").alias("label"))
-        labels = cut(labels.join(merged, ["cluster", "label"], "left").select("cluster", "rep", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def cross_links(labelled: DataFrame, percent: int) -> DataFrame:
