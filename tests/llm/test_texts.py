@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from weftflow.llm import bpe, packing, quality, queries, simhash, toxicity, wordpiece
 from weftflow.llm.common import table
@@ -80,6 +81,28 @@ def test_token_counts(spark, texts, odd):
     assert wordpiece.token_counts(odd).count() == len(ODD) and wordpiece.token_counts(odd.limit(0)).count() == 0
 
 
+def test_token_counts_of_any_bytes(spark):
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        entries = set(json.load(f)["model"]["vocab"])
+    as_written = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def pieces(word):
+        *rest, last = "".join(x for x, _ in as_written.pre_tokenize_str(word))
+        rest, n = [*rest, last + "</w>"], 0
+        while rest:
+            rest = rest[next(k for k in range(len(rest), 0, -1) if "".join(rest[:k]) in entries) :]
+            n += 1
+        return n
+
+    words = ["größe", "straße", "weiß", "mañana", "ça", "ê", "человек", "данные", "한국어", "漢字", "😀", "\x1c", "thre", "cat"]
+    machine = wordpiece.automaton(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(wordpiece.vocabulary(public_tokenizers.path("word_bpe_49k.json"))) == len(entries) == 49_406
+    assert [machine.count(w) for w in words] == [pieces(w) for w in words]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "a\x1cb\x1f c\u00a0d")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in wordpiece.token_counts(df).collect()}
+    assert got == {1: (len(words), sum(map(pieces, words)), 0), 2: (3, sum(map(pieces, ["a", "\x1c", "b", "\x1f", "c", "d"])), 0)}
+
+
 def pieces_are_whole(rows, texts):
     """Each document's ids lie in its pieces once, sequences have no gaps, and only powers of two are short."""
     own, seq = defaultdict(list), defaultdict(list)

@@ -5,9 +5,12 @@ in one pass: the vocabulary is a trie, and each node has a failure link, to the
 entries have been popped from the front of its string, and the number of tokens popped. Where the next character has no
 child, the pass adds that number and follows the link. No piece is built.
 
-The vocabulary's entries are pieces inside of words, or at a word's end where they carry the end mark. Words are
-lower-cased and split at white space and, as the vocabulary's own rules ask, into runs of letters, single digits and runs
-of other characters. A word that can't be split into entries to its end counts as one unknown token.
+The vocabulary's entries are pieces inside of words, or at a word's end where they carry the end mark. They are strings of
+bytes, and the automaton reads a word's UTF-8 byte by byte, so an entry may begin or end within a character; the last byte
+and the end mark are one step, as no entry is the mark alone. Words are lower-cased and split at the vocabulary's white
+space and, as its own rules ask, into runs of letters, single digits and runs of other characters. A vocabulary with all
+single bytes, as the given one, splits any word; with another one, a word that can't be split into entries to its end
+counts as one unknown token.
 
 Nulls: a null text counts as empty and has no tokens. Repeated rows are counted each. Extra columns are left behind.
 """
@@ -35,6 +38,26 @@ END = "\0"
 KEPT_WORDS = 500_000
 #: The vocabulary's own pattern: what its splitting rule keeps of a text.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: White space of the vocabulary's pattern. Python's str.split also takes these four as white space, the pattern keeps them.
+SPACE, SEPARATORS = regex.compile(r"\s+"), regex.compile("[\x1c-\x1f]")
+# The character that stands for each byte in the vocabulary file.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(PRINTABLE))}
+
+
+def byte_chars(word: str) -> str:
+    """A word's UTF-8 as the vocabulary writes it, one character for each byte."""
+    return word.encode().decode("latin-1").translate(BYTE_CHARS)
+
+
+def steps(piece: str) -> list[str]:
+    """What the automaton reads one after the other: bytes, the last one together with the end mark."""
+    return [*piece[:-2], piece[-2:]] if piece.endswith(END) else list(piece)
+
+
+def chunks_of(text: str) -> list[str]:
+    """What stands between white space."""
+    return [c for c in SPACE.split(text) if c] if SEPARATORS.search(text) else text.split()
 
 
 class Automaton:
@@ -47,7 +70,7 @@ class Automaton:
         is_entry = [False]
         for entry in sorted(set(entries), key=lambda e: (len(e), e)):
             node = 0
-            for c in entry:
+            for c in steps(entry):
                 after = self.child[node].get(c)
                 if after is None:
                     after = len(self.child)
@@ -76,7 +99,7 @@ class Automaton:
     def count(self, word: str) -> int:
         """Tokens of a word; 0 where greedy matching gets stuck."""
         node, total = 0, 0
-        for c in word + END:
+        for c in steps(byte_chars(word) + END):
             while c not in self.child[node]:
                 total += self.pops[node]
                 node = self.fail[node]
@@ -91,9 +114,9 @@ class Automaton:
 
 def greedy(word: str, entries: set[str]) -> int:
     """The same by building the pieces, for tests."""
-    rest, total = word + END, 0
+    rest, total = steps(byte_chars(word) + END), 0
     while rest:
-        size = next((n for n in range(len(rest), 0, -1) if rest[:n] in entries), 0)
+        size = next((n for n in range(len(rest), 0, -1) if "".join(rest[:n]) in entries), 0)
         if not size:
             return 0
         rest, total = rest[size:], total + 1
@@ -102,21 +125,12 @@ def greedy(word: str, entries: set[str]) -> int:
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> frozenset[str]:
-    """Entries in characters; the file writes each byte of UTF-8 as one printable character, entries of broken characters are left out."""
+    """All entries as the file writes them, one printable character for each byte, with END for its end mark."""
     fs, at = pa.fs.FileSystem.from_uri(path)
     with fs.open_input_stream(at) as f:
         model = json.loads(f.read())["model"]
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    found = set()
-    for entry in model["vocab"]:
-        body = entry.removesuffix(model["end_of_word_suffix"])
-        try:
-            text = bytes(byte[c] for c in body).decode()
-        except (KeyError, UnicodeDecodeError):
-            continue
-        found.add(text + END * (body != entry))
-    return frozenset(found)
+    mark = model["end_of_word_suffix"]
+    return frozenset(e.removesuffix(mark) + END if e.endswith(mark) else e for e in model["vocab"])
 
 
 @functools.lru_cache(maxsize=2)
@@ -147,7 +161,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in slices(batches):
             words, found = [], []
             for text in batch.column(1).to_pylist():
-                chunks = (text or "").split()
+                chunks = chunks_of(text or "")
                 words.append(len(chunks))
                 found.append(sum(map(counts.__getitem__, chunks), 0j))
             yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array([int(x.real + x.imag) for x in found], pa.int64()), pa.array([int(x.imag) for x in found], pa.int64())], ["id", "n_words", "n_tokens", "n_unknown"])
