@@ -81,6 +81,14 @@ def test_main_text(spark):
     assert len(rows) == table(spark, SF, "pages").count() and all(r.n_chars == len(r.text) for r in rows) and sum(bool(r.text) for r in rows) > 0.8 * len(rows)
 
 
+def test_stray_quotes_in_tags():
+    plain = lambda page: html_main.extract(page, html_main.Weights()).split()
+    assert plain('<p><a href="x" title="5" wide">two</a> three</p><p>four five six</p><p class="q">seven</p>') == "two three four five six seven".split()
+    assert plain("<p data-x=it's>one two three</p><p>don't four</p>") == "one two three don't four".split()
+    assert plain("<p a=b'c>one</p><p '>two</p><p =\">three</p><p x = >four</p><p y=/?q=\"z>five</p>") == "one two three four five".split()
+    assert plain("<p a='>' b = \"x > y\" c=d>one</p><p a=\"it's\"b='\">'>two</p>") == ["one", "two"]
+
+
 def brute(rows, queries_, k):
     m = np.array([v for _, v in rows], np.float64)
     ids = np.array([i for i, _ in rows])

@@ -50,7 +50,9 @@ PART_WORDS = {
     "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
 }
 
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)""", re.S)
+# An attribute: a quote opens a string right after the equals sign only, any other quote is a character like the rest.
+ATTRIBUTE = r"""(?:=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:"[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s>"'][^\s>]*|(?=>)|$))?"""
+TOKEN = re.compile(rf"""<!--(?:>|->|.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{ATTRIBUTE})*)(?:>|$)|([^<]+|<)""", re.S)
 NAMING = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
