@@ -89,6 +89,18 @@ def test_stray_quotes_in_tags():
     assert plain("<p a='>' b = \"x > y\" c=d>one</p><p a=\"it's\"b='\">'>two</p>") == ["one", "two"]
 
 
+def test_parts_by_whole_names():
+    plain = lambda page: html_main.extract(page, html_main.Weights())
+    for names in ("class='layout has-sidebar'", "class=no-comments", "id='with-banner'", 'class="elementor-widget elementor-widget-text-editor"', "title='see class=ad'"):
+        assert plain(f"<div {names}><h1>a b</h1><p>c d e</p></div>") == "a b\nc d e"
+    for names in ("class='box ad'", "id=comments", "class='cookie-notice'", "role=navigation", "CLASS=Social_Share"):
+        assert plain(f"<div {names}><p>a b</p></div><p>c d e</p>") == "c d e"
+    for outer in ("div class=sidebar", "form", "aside id=menu"):
+        for inner in ("article", "main"):
+            assert plain(f"<nav>x</nav><{outer}><div class=banner><{inner}><p>a b</p><div class=ad>c</div></{inner}></div></{outer.split()[0]}>") == "a b"
+    assert plain("<main><div class=banner><article>a b c<div class=comments><article>d e</article></div></article></div><div id=comments><article>f g</article></div></main>") == "a b c"
+
+
 def brute(rows, queries_, k):
     m = np.array([v for _, v in rows], np.float64)
     ids = np.array([i for i, _ in rows])

@@ -4,7 +4,10 @@ A page is a sequence of words and tags. Words score positive and tags negative:
 pages, those with exactly one article element, as the log odds of the tag inside and outside of the article, no higher
 than a small negative number. A linear scan finds the contiguous region with the greatest sum; of equal ones the first and
 longest. Elements that aren't article text by their name, class, id or role (menus, notices, adverts, forms, scripts, reader
-comments, ...) score nothing and are left out, wherever they stand.
+comments, ...) score nothing and are left out, wherever they stand. A class, id or role names such a part as a whole or with
+each of its words ("cookie-notice", not "has-sidebar"); an element that holds an article or main element is never left out,
+but for parts within an article, and within main after its first article (readers' comments are often articles). Other
+elements are left to the weights.
 
 Character references are decoded, white space within a block becomes one space, and blocks are joined by a line feed.
 
@@ -47,13 +50,13 @@ CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "caption", "tbody", "thea
 PART_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "footer",
     "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "reactions", "related", "replies", "search", "share", "sharing", "sidebar", "social",
-    "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
+    "sponsor", "sponsored", "subscribe", "subscription", "toolbar",
 }
 
 # An attribute: a quote opens a string right after the equals sign only, any other quote is a character like the rest.
 ATTRIBUTE = r"""(?:=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:"[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s>"'][^\s>]*|(?=>)|$))?"""
 TOKEN = re.compile(rf"""<!--(?:>|->|.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{ATTRIBUTE})*)(?:>|$)|([^<]+|<)""", re.S)
-NAMING = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMING = re.compile(rf"""(?P<name>class|id|role)\s*=\s*(?:"([^"]*)|'([^']*)|([^\s>"'][^\s>]*))|{ATTRIBUTE}""", re.I)
 
 
 @dataclass
@@ -83,16 +86,21 @@ def named_part(name: str, attributes: str) -> str:
         return name
     if name not in ("html", "body", "main", "article") and attributes:
         for found in NAMING.finditer(attributes):
-            if not PART_WORDS.isdisjoint(re.split(r"[^a-z]+", "".join(x or "" for x in found.groups()).lower())):
+            if found["name"] and any(PART_WORDS.issuperset(re.split(r"[-_]+", x)) for x in "".join(x or "" for x in found.groups()[1:]).lower().split()):
                 return "box"
     return ""
 
 
-def tokens(page: str) -> tuple[list[Token], list[str]]:
-    """Tokens in page order, and the text of each word token, decoded, with the white space at its ends kept."""
+def tokens(page: str, holders: frozenset[int] = frozenset()) -> tuple[list[Token], list[str]]:
+    """Tokens in page order, and the text of each word token, decoded, with the white space at its ends kept.
+
+    `holders` are the tokens that begin elements which would be parts, but hold an article or main element. They are known
+    when the page has been read, so it is then read again with them.
+    """
     out, texts = [], []
     open_: list[tuple[str, str]] = []  # elements and the parts that they begin
-    block, at = 0, 0
+    begun: list[int] = []  # their tokens
+    block, at, articles, found_holders = 0, 0, 0, set()
 
     def add(kind: str, name: str, text: str = "", edge: bool = False) -> None:
         silent = edge or any(p or n in SILENT for n, p in open_)
@@ -121,26 +129,35 @@ def tokens(page: str) -> tuple[list[Token], list[str]]:
             if any(n == name for n, _ in open_):
                 while (last := open_.pop())[0] != name:
                     pass
+                del begun[len(open_) :]
                 edge = last[1]
             add("close", name, edge=bool(edge) or name in SILENT)
             continue
         if name in CLOSES_P:  # an open paragraph ends before a block
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == "p":
-                    del open_[i:]
+                    del open_[i:], begun[i:]
                     break
                 if open_[i][0] in BLOCKS:
                     break
         if name in ("li", "dt", "dd", "option", "tr", "td", "th") and open_ and open_[-1][0] == name:
             open_.pop()
-        part = named_part(name, attributes)
+            begun.pop()
+        part = "" if len(out) in holders else named_part(name, attributes)
+        if name in ("article", "main"):
+            above = [n for n, _ in open_]
+            first = above.index("main") if articles and "main" in above else len(above)
+            first = min(first, above.index("article")) if "article" in above else first
+            found_holders.update(begun[i] for i in range(first) if open_[i][1])
+            articles += name == "article"
         add("open", name, edge=bool(part) or name in SILENT)
         if name not in VOID and not attributes.rstrip().endswith("/"):
             open_.append((name, part))
+            begun.append(len(out) - 1)
             if name in RAW:
                 end = re.compile(f"</{name}", re.I).search(page, at)
                 at = end.start() if end else len(page)
-    return out, texts
+    return tokens(page, holders | found_holders) if found_holders else (out, texts)
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
