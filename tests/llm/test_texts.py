@@ -6,6 +6,7 @@ import json
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -140,6 +141,23 @@ def test_packing_oddities(spark, odd):
     assert {r.doc_tokens for r in rows if r.doc_id == 5} == {len(tokenizer().encode(ODD[7][1], add_special_tokens=False).ids) + 1}
 
 
+def test_packing_of_control_characters_and_added_tokens(spark, tmp_path):
+    controls = [chr(c) for c in [*range(32), *range(127, 160)]]
+    texts = ["a\x1cb", "a\x1f.\x1d b", "".join(f"cat{c}dog. {c} x,{c}" for c in controls), *(f"a{c}b c.{c}" for c in controls), "one<|endoftext|>two <|startoftext|>", "<|ENDOFTEXT|> Σ\x1eΣ", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    for rows in (queries.op10_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        got = defaultdict(list)
+        for x in sorted(rows.collect(), key=lambda x: x.start):
+            got[x.doc_id].append(x)
+        assert got.keys() == want.keys()
+        for i, ids in want.items():
+            assert all(x.doc_tokens == len(ids) and x.ids_crc32 == zlib.crc32(np.array(ids[x.start : x.start + x.length], "<u4").tobytes()) for x in got[i]), texts[i]
+            assert sum(x.length for x in got[i]) == len(ids)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=30))
 def test_pack_group(lengths):

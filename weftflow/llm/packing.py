@@ -47,23 +47,32 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins over it, nor over the change from letters to a comma or full stop, so
     such pieces of a text are encoded once and kept. A word of letters alone gives ids of which the last, and only the
-    last, has the end mark; many such words are encoded in one call and told apart by it.
+    last, has the end mark; many such words are encoded in one call and told apart by it. Texts that hold a character that
+    only Python takes as white space, or an added token, are encoded whole.
     """
 
+    #: White space of str.split that the tokenizer keeps.
+    SEPARATORS = "\x1c\x1d\x1e\x1f"
+
     #: A comma or full stop at the end of a word, after a Latin letter or digit that stays one character when normalised.
     STOP = re.compile(r"(?<=[a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,])(?=\s)")
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
+        self.added = [] if tokenizer.encode_special_tokens else [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
         mark = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         if mark:
             self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(mark)]] = True
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str] | bytes:
+        """The words, or the ids of a text that is encoded whole."""
+        lower = text.lower()
+        if any(c in text for c in self.SEPARATORS) or any(t in lower for t in self.added):
+            return self.ids(text)
         if "\u03a3" not in text and "\u0130" not in text:  # the others have one lower case each, whatever stands around them
-            text = text.lower()
+            text = lower
         return self.STOP.sub(r" \1", text).split()
 
     def ids(self, text: str) -> bytes:
@@ -86,16 +95,17 @@ class WordIds(dict):
             else:  # a word was split after all
                 self.update((w, self.ids(w)) for w in block)
 
-    def encode(self, words: list[str], end_id: int) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)) + np.array([end_id], "<u4").tobytes(), "<u4")
+    def encode(self, words: list[str] | bytes, end_id: int) -> np.ndarray:
+        data = words if isinstance(words, bytes) else b"".join(map(self.__getitem__, words))
+        return np.frombuffer(data + np.array([end_id], "<u4").tobytes(), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(vocabulary: str) -> WordIds:
+def word_ids(vocabulary: str, added_ids: bool) -> WordIds:
     fs, path = pa.fs.FileSystem.from_uri(vocabulary)
     with fs.open_input_stream(path) as f:
         tokenizer = Tokenizer.from_buffer(f.read())
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_ids
     return WordIds(tokenizer)
 
 
@@ -180,21 +190,22 @@ def pack_group(lengths: list[int], size: int = SEQUENCE_TOKENS) -> Iterator[tupl
         sequence += 1
 
 
-def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.json"), size: int = SEQUENCE_TOKENS, group_docs: int = GROUP_DOCS, end_id: int = END_ID) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.json"), size: int = SEQUENCE_TOKENS, group_docs: int = GROUP_DOCS, end_id: int = END_ID, added_ids: bool = False) -> DataFrame:
     """Pieces of documents (doc_id, text) with their places in sequences of at most `size` tokens.
 
     One shuffle deals the texts out by a random hash; a task packs its rows group by group and returns a row per piece.
-    Rows are sorted by that hash in each task, so a task that runs again packs alike.
+    Rows are sorted by that hash in each task, so a task that runs again packs alike. With `added_ids` an added token that
+    stands in a text, as <|endoftext|>, gives its own id, as the tokenizer's defaults have it; without, the ids of its characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(vocabulary)
+        words = word_ids(vocabulary, added_ids)
         sequence = TaskContext.get().partitionId() << 40
 
         def packed(docs: list, texts: list[str]) -> pa.RecordBatch:
             nonlocal sequence
             pieces = [words.words(t) for t in texts]
-            words.learn(set().union(*pieces))
+            words.learn(set().union(*(p for p in pieces if isinstance(p, list))))
             ids = [words.encode(p, end_id) for p in pieces]
             out = pd.DataFrame([(docs[d], start, n, zlib.crc32(ids[d][start : start + n]), len(ids[d]), sequence + s, at) for d, start, n, s, at in pack_group([len(x) for x in ids], size)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
             sequence += int(out["sequence_id"].max() - sequence) + 1
