@@ -148,3 +148,11 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, text + " more", "x"), (None, text, "x"), (3, None, "x"), (4, "", "x")], "doc_id long, text string, component_id string")
     got = sorted(r.doc_id or 0 for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == [0, 1, 3, 4]
+
+
+def test_near_copies_keep_unlike_rows_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(7, None), (7, a), (7, None), (7, ""), (8, b), (8, c), (8, b.upper()), (9, b + " more"), (10, c), (5, c + " more"), (None, a), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([(7, ""), (7, a), (8, b.upper()), (5, c + " more"), (0, a), (11, "")])
