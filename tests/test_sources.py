@@ -118,3 +118,16 @@ def test_database(spark):
     assert services.Database("postgres", "h", database="d").address() == "jdbc:postgresql://h:5432/d"
     with pytest.raises(ValueError, match="no engine"):
         services.Database("nosuch").address()
+
+
+def test_csv_with_line_feeds_by_default(spark, tmp_path):
+    path = put(tmp_path, "q.csv", 'a,"b\nc"\n"x\ny",1\nz,"2\n\n3"\n')
+    df = files.read(spark, path)
+    assert df.columns == ["a", "b\nc"] and rows(df) == [("x\ny", "1"), ("z", "2\n\n3")]
+    assert files.read_csv(spark, put(tmp_path, "p.csv", "a,b\n1,2\n3,4\n"), multi_line=False).count() == 2
+
+
+def test_database_gives_all_rows(spark):
+    db = services.Database(url="jdbc:derby:memory:x;create=true")
+    ones = "(SELECT 1 AS one FROM sys.syscolumns FETCH FIRST 60 ROWS ONLY)"
+    assert db.query(spark, f"SELECT 1 AS one FROM {ones} a, {ones} b, {ones} c").count() == 216_000

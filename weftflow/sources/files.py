@@ -58,14 +58,15 @@ def detect_format(path: str, lines: list[str]) -> str:
     return kind
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, preserve_empty: bool = False, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, preserve_empty: bool = False, multi_line: bool = True) -> DataFrame:
     """Delimited text, all columns texts. Short rows are filled with nulls, surplus fields dropped; of equal headers the last counts.
 
-    `multi_line` reads line feeds within quotes, but then a file can't be split over tasks. `preserve_empty` turns nulls into "".
+    Line feeds within quotes are read, so a file isn't split over tasks; `multi_line=False` splits files that are known to have
+    a record on each line. `preserve_empty` turns nulls into "".
     """
     lines = first_lines(spark, path)
     sep = delimiter or detect_delimiter(lines)
-    first = next(csv.reader(lines[:1], delimiter=sep), [])
+    first = next(csv.reader((x + "\n" for x in lines) if multi_line else lines[:1], delimiter=sep), [])
     names = first if header else [f"column_{i + 1}" for i in range(len(first))]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     rows = spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").csv(path)

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import ENVELOPES
 
-TIMEOUT_S, MOST_BYTES, MOST_ROWS = 30, 256 << 20, 200_000
+TIMEOUT_S, MOST_BYTES = 30, 256 << 20
 
 
 @dataclass
@@ -139,13 +139,14 @@ class Database:
             raise ValueError(f"there is no engine {self.engine!r}")
         return ADDRESSES[self.engine].format(host=self.host, port=self.port or PORTS.get(self.engine, 0), database=self.database)
 
-    def query(self, spark: SparkSession, sql: str, limit: int | None = MOST_ROWS, **options: object) -> DataFrame:
-        """A query's rows, at most `limit`. Options partitionColumn, lowerBound, upperBound and numPartitions deal a `dbtable` over tasks; Spark pushes filters and columns down."""
+    def query(self, spark: SparkSession, sql: str, limit: int | None = None, **options: object) -> DataFrame:
+        """A query's rows, at most `limit` if it is set. Options partitionColumn, lowerBound, upperBound and numPartitions deal a `dbtable` over tasks; Spark pushes filters and columns down."""
         reader = spark.read.format("jdbc").option("url", self.address()).options(**options)
         if self.user:
             reader = reader.option("user", self.user).option("password", self.password)
         rows = reader.option("dbtable", f"({sql}) q").load()
-        return rows.select(*(F.col(c).cast("string").alias(c) if t == "binary" else F.col(c) for c, t in rows.dtypes)).limit(limit) if limit else rows
+        rows = rows.select(*(F.col(c).cast("string").alias(c) if t == "binary" else F.col(c) for c, t in rows.dtypes))
+        return rows.limit(limit) if limit else rows
 
     def tables(self, spark: SparkSession) -> list[str]:
         return sorted(r[0] for r in self.query(spark, TABLES[self.engine]).collect())
