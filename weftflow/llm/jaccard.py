@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: all links between documents whose shingle sets are alike, and the components they form.
+"""N-gram Jaccard join: the components that links between documents with alike shingle sets form. The links are not given.
 
 1. Shingles are hashed to 64 bits; equal sets are one class from here on, so copies cost nothing.
 2. Candidates. Bands of set sizes are such that linked sets lie in one band or in two that adjoin. In the lower band of
@@ -361,7 +361,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_equal) of each row of (doc_id, text).
 
     Sets link when 100 * intersection >= percent * union. component_id is the smallest id that links reach; n_equal is the
-    number of rows with an equal set.
+    number of rows with an equal set. Neither the links nor their number is given: pairs within a component aren't compared.
     """
     sigs = cut(signatures(docs, size, percent), "signatures")
     classes = cut(sigs.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal")), "classes")
