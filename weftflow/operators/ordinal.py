@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import name
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The table by way of the folder that all executors share (spark.checkpoint.dir): computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='weftflow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def remove() -> None:
-        if spark.sparkContext._jsc is not None:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+from .shared import cut
 
 
 def with_ordinal(df: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, int]:
@@ -41,7 +19,7 @@ def with_ordinal(df: DataFrame, order: list[str], partitions: int | None = None)
         by = [*(name(o).asc_nulls_last() for o in order), F.xxhash64(*(name(c) for c in df.columns)).asc()]
         n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    held = written(df.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    held = cut(df.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "rows")
     sizes = held.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     total = sizes.agg(F.sum("__n")).first()[0] or 0
