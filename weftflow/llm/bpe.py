@@ -5,7 +5,7 @@ at places where the splitting pattern always ends a match, so that the library w
 ids stay those of the whole text.
 
 Nulls: a null text counts as empty and has no ids; null ids decode to no bytes. Other columns, whatever their
-names, are left behind except the id column. Repeated rows are encoded each.
+names, are left behind except the id column. Repeated rows are encoded each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_in_arrow, slices
 
 #: Code points after which a text is cut at the next safe boundary.
 PIECE_CHARS = 65_536
@@ -73,7 +73,7 @@ def encode(
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["id", "n_tokens", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return map_in_arrow(rows, run, "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(
@@ -90,4 +90,4 @@ def decode(
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), batch.column(1), pa.array(back, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return map_in_arrow(rows, run, "id long, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)

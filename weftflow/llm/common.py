@@ -2,52 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.shared import cut, drop, remove, shared_dir, work_dir  # noqa: F401
 
 #: Rows of one Arrow slice that a Python operator holds and returns at a time.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch between Spark and Python.
+ARROW_ROWS = 1000
+#: Bytes of a text that a classifier is fitted to, at most.
+TRAIN_TEXT_BYTES = 128 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='weftflow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; it is removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with batches of ARROW_ROWS rows at most: the session's setting is lowered to it, since thousands of long texts a batch would fill an executor."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(setting, ARROW_ROWS)
+    return df.mapInArrow(run, schema)
 
-def remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended, and its checkpoints are no longer ours to reach
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: later steps don't recompute it, and it survives lost executors."""
-    path = f"{work_dir(df.sparkSession, name)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,21 +44,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def hash_share(hashed: Column, count: int, rows: int) -> Column:
+    """True for so large a share of `count` hashes that about `rows` are left, all where there are no more: sorts and limits after it see a bounded number."""
+    return F.pmod(hashed, F.lit(1_000_000)) < F.lit(min(1_000_000, -(-rows * 1_000_000 // max(count, 1))))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled documents outside the held-out fold.
 
-    The sample is bounded by `rows` and drawn by a hash of the id, so that it is the same in each run.
-    Null ids and null labels take no part; of several labels of an id the larger one counts.
-    Its ids are broadcast (at most `rows` pairs of integers), so the documents aren't shuffled.
+    The sample is bounded by `rows`, and by TRAIN_TEXT_BYTES for each text: longer ones take no part. It is drawn by a hash of
+    the id, so that it is the same in each run. Null ids and null labels take no part; of several labels of an id the larger one
+    counts. Its ids are broadcast (at most `rows` pairs of integers), so the documents aren't shuffled.
     """
     pick = F.xxhash64("doc_id")
-    known = (
-        labels.select("doc_id", F.col(label).cast("int").alias("label"))
-        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .orderBy(pick, "doc_id").limit(rows)
-    )
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    able = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = able.filter(hash_share(pick, able.count(), 2 * rows)).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(pick, "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAIN_TEXT_BYTES)
     return texts.join(F.broadcast(known), "doc_id").orderBy(pick, "doc_id", "text").limit(rows)
 
 

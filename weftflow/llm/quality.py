@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import labelled_sample, slices
+from .common import labelled_sample, map_in_arrow, slices
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -151,7 +151,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
             scores = pa.array([score_text(t or "", model) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return map_in_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_DOCS, settings: Settings | None = None) -> Model:

@@ -12,7 +12,8 @@ space and, as its own rules ask, into runs of letters, single digits and runs of
 single bytes, as the given one, splits any word; with another one, a word that can't be split into entries to its end
 counts as one unknown token.
 
-Nulls: a null text counts as empty and has no tokens. Repeated rows are counted each. Extra columns are left behind.
+Nulls: a null text counts as empty and has no tokens. Repeated rows are counted each. Extra columns, whatever their names, are left behind. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_in_arrow, slices
 
 #: Stands for the end of a word.
 END = "\0"
-#: Words whose counts a worker keeps.
-KEPT_WORDS = 500_000
+#: Words whose counts a task keeps.
+KEPT_WORDS = 150_000
 #: The vocabulary's own pattern: what its splitting rule keeps of a text.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space of the vocabulary's pattern. Python's str.split also takes these four as white space, the pattern keeps them.
@@ -146,7 +147,7 @@ class WordCounts(dict):
         self.machine = machine
 
     def __missing__(self, chunk: str) -> complex:
-        if len(self) > KEPT_WORDS:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         counts = [self.machine.count(w) for w in WORDS.findall(unicodedata.normalize("NFC", chunk).lower())]
         found = self[chunk] = complex(sum(counts), counts.count(0))
@@ -168,4 +169,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)
+    return map_in_arrow(rows, run, f"id {kind}, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)
