@@ -12,8 +12,9 @@
    tile, bitmap signatures are compared: every bit set in one signature only stands for at least one shingle outside the
    intersection, so bit counts bound the overlap from above. Pairs that may link are decided by intersecting the sorted
    arrays. Pairs in the same component aren't compared any more.
-4. Clusters of one tile are then done. In larger ones the tiles' components are joined through delegates, level by level,
-   and pairs of tiles whose components still differ are compared in full.
+4. Clusters of one tile are then done. In larger ones the tiles' components are joined through delegates, level by level.
+   Clusters whose components still differ are parted anew by keys without the shingles that are common within them, and pairs
+   of tiles whose components differ are compared in full.
 
 Nulls: a null text is empty; empty texts have no shingles and link with nothing. A null id gets the component of equal
 sets with an id, else null. Rows that repeat an id are one document: reachability is between ids. Extra columns are left
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, map_in_arrow, slices
 from .components import components
 
 U = np.uint64
@@ -50,8 +51,8 @@ MOST_BITS = 8192
 SAMPLE_DOCS, COMMON_TEXTS, MOST_COMMON = 32_768, 12, 200_000
 #: Share of a large cluster's labels that a round of delegates must merge for another one.
 WORTH_A_ROUND = 0.05
-#: Words whose hashes a worker keeps.
-KEPT_WORDS = 500_000
+#: Words whose hashes a task keeps; keys that it brings together before they are shuffled; numbers of an array.
+KEPT_WORDS, COMBINED_KEYS, ARRAY = 100_000, 500_000, 8192
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -64,19 +65,16 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class WordHashes(dict):
+    """Hashes by word, of KEPT_WORDS words at most; one for each task."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
+def shingles(text: str | None, size: int, known: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words; with fewer words of the whole sequence; without words none.
 
     Letters A to Z are lower-cased; words are what stands between the six ASCII white-space characters.
@@ -84,7 +82,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, U)
-    hashes = np.fromiter(map(word_hashes().__getitem__, words), U, len(words))
+    known = WordHashes() if known is None else known
+    hashes = np.fromiter(map(known.__getitem__, words), U, len(words))
     n = min(size, len(words))
     with np.errstate(over="ignore"):
         total = np.full(len(words) - n + 1, n, U)
@@ -168,10 +167,11 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in slices(batches):
-            yield pa.record_batch([long(np.concatenate([shingles(t, size) for t in batch.column(0).to_pylist()]))], ["h"])
+            yield pa.record_batch([long(np.concatenate([shingles(t, size, known) for t in batch.column(0).to_pylist()]))], ["h"])
 
-    counted = texts.dropDuplicates(["text"]).mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON_TEXTS)
+    counted = map_in_arrow(texts.dropDuplicates(["text"]), run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON_TEXTS)
     found = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(found.view(U))
 
@@ -180,32 +180,86 @@ def long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+class Meetings:
+    """Keys and the nodes that have them, brought together within a task, so that a key in very many nodes is shuffled once for each block."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.nodes: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, node: int) -> None:
+        self.keys.append(keys)
+        self.nodes.append(np.full(len(keys), node, np.int64))
+        self.held += len(keys)
+
+    def full(self) -> bool:
+        return self.held >= COMBINED_KEYS
+
+    def take(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(MET, keys, least node of each) and (TIED, nodes, the least node that shares a key), in arrays of ARRAY numbers."""
+        if not self.held:
+            return
+        keys, nodes = np.concatenate(self.keys).view(np.int64), np.concatenate(self.nodes)
+        self.__init__()
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = nodes[new]
+        least = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(keys))))
+        ties = np.unique(np.stack([nodes, least])[:, nodes != least], axis=1)
+        for kind, (a, b) in ((MET, (keys[new], first)), (TIED, ties)):
+            for i in range(0, len(a), ARRAY):
+                yield kind, a[i : i + ARRAY], b[i : i + ARRAY]
+
+
+#: In the column n of signatures: rows that hold meetings and ties.
+MET, TIED = -1, -2
+
+
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, keys): the set's number of shingles, two hashes of it, and its meeting keys."""
+    """(doc_id, n, h1, h2, a, b): the set's number of shingles and two hashes of it; other rows, told by n, hold the meetings of the sets' keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # MOST_COMMON hashes at most
+    names, none = ["doc_id", "n", "h1", "h2", "a", "b"], pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, met = WordHashes(), Meetings()
+
+        def meetings() -> pa.RecordBatch:
+            kinds, a, b = zip(*met.take(), strict=True)
+            gone = pa.nulls(len(kinds), pa.int64())
+            return pa.record_batch([gone, pa.array(kinds, pa.int64()), gone, gone, pa.array(a, none), pa.array(b, none)], names)
+
         for batch in slices(batches):
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, size, known) for t in batch.column(1).to_pylist()]
             with np.errstate(over="ignore"):
                 h1, h2 = (np.array([mix(s, k).sum(dtype=U) for s in sets], U) for k in (11, 13))
-            keys = [meeting_keys(s, percent, shared.value).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)), pa.array(np.concatenate(keys)))
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), long(h1), long(h2), flat], ["doc_id", "n", "h1", "h2", "keys"])
+            for s, node in zip(sets, h1.view(np.int64).tolist(), strict=True):
+                if len(s):
+                    met.add(meeting_keys(s, percent, shared.value), node)
+            gone = pa.nulls(len(sets), none)
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), long(h1), long(h2), gone, gone], names)
+            if met.full():
+                yield meetings()
+        if met.held:
+            yield meetings()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>")
+    return map_in_arrow(rows, run, "doc_id long, n long, h1 long, h2 long, a array<long>, b array<long>")
+
+
+def tied(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes that share a key, from rows (n, a, b) of meetings. Of each key there is a row for each block of a task at most."""
+    pairs = lambda kind: rows.filter(F.col("n") == kind).select(F.inline(F.arrays_zip("a", "b")))
+    # the first node at each key; the frame ends at the current row, so a key's rows pass by one at a time
+    w = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = pairs(MET).withColumn("first", F.first("b").over(w)).filter("b <> first").select(F.col("b").alias("a"), F.col("first").alias("b"))
+    return met.unionAll(pairs(TIED))
 
 
 def candidate_clusters(sigs: DataFrame) -> DataFrame:
     """(h1, cluster): sets that meet, directly or through others. Sets that meet no other are left out."""
-    from pyspark.sql import Window
-
-    met = sigs.filter("n > 0").select("h1", F.explode("keys").alias("key"))
-    # the first set at each key; the frame ends at the current row, so a key's rows pass by one at a time
-    w = Window.partitionBy("key").orderBy("h1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ties = met.withColumn("first", F.first("h1").over(w)).filter("h1 <> first").select(F.col("h1").alias("a"), F.col("first").alias("b"))
-    return components(ties, "candidates").select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
+    return components(tied(sigs), "candidates").select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -278,7 +332,7 @@ def decide_tiles(members: DataFrame, percent: int) -> DataFrame:
             yield decided(at[1], held)
 
     rows = members.select("tile", "cluster", "item", "shingles")
-    return rows.repartition("tile").sortWithinPartitions("tile", "cluster").mapInArrow(run, "cluster long, item long, label long")
+    return map_in_arrow(rows.repartition("tile").sortWithinPartitions("tile", "cluster"), run, "cluster long, item long, label long")
 
 
 def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
@@ -297,9 +351,9 @@ def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int,
     wanted = cut(wanted.join(plan, ["cluster", "band"]).withColumn("tile", tile).select("rep", "h1", "h2", "cluster", "band", "one", "tile"), "tiled")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = ["tile", "cluster", "band", "one", "item"]
+        kept, known = ["tile", "cluster", "band", "one", "item"], WordHashes()
         for batch in slices(batches):
-            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, size, known) for t in batch.column("text").to_pylist()]
             with np.errstate(over="ignore"):
                 h = np.array([(mix(s, 11).sum(dtype=U), mix(s, 13).sum(dtype=U)) for s in sets], U).reshape(-1, 2).view(np.int64)
             same = (h[:, 0] == batch.column("h1").to_numpy()) & (h[:, 1] == batch.column("h2").to_numpy())
@@ -309,7 +363,7 @@ def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int,
     # the clustered ids are broadcast if they are few enough, else the texts are shuffled to them
     side = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = texts.join(side, "rep").withColumnRenamed("rep", "item").mapInArrow(arrays, "tile long, cluster long, band int, one boolean, item long, shingles binary").filter("shingles is not null")
+    found = map_in_arrow(texts.join(side, "rep").withColumnRenamed("rep", "item"), arrays, "tile long, cluster long, band int, one boolean, item long, shingles binary").filter("shingles is not null")
     large = wanted.filter("not one")
     if large.isEmpty():
         return decide_tiles(found, percent).select("cluster", F.col("item").alias("rep"), "label")
@@ -322,8 +376,9 @@ def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int,
 def merge_tiles(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The labels (cluster, rep, label) after joining the tiles of each cluster.
 
-    Delegates of each label meet in tiles, all of a label in one, as long as a round merges many labels. What is still open then, is
-    decided between all tiles whose labels differ.
+    Delegates of each label meet in tiles, all of a label in one, as long as a round merges many labels. The sets of clusters that
+    are open then meet again by keys without the shingles that are common among them, which parts most of them (`regrouped`);
+    what still meets is compared in full where labels differ.
     """
     level = 0
     while True:
@@ -332,27 +387,73 @@ def merge_tiles(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             return labels
         level += 1
         chosen = labels.join(open_, "cluster").groupBy("cluster", "label").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"d{k}") for k in range(DELEGATES)))
-        tiles = chosen.groupBy("cluster").agg(F.ceil(F.count("*") * DELEGATES / TILE_SETS).cast("int").alias("tiles"))
-        chosen = chosen.join(tiles, "cluster").withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("label", F.lit(level)), "tiles")))
-        chosen = chosen.select("cluster", "tile", F.col("label"), F.explode(F.array_distinct(F.array(*(F.col(f"d{k}.rep") for k in range(DELEGATES))))).alias("item"))
-        met = held.drop("tile", "band").join(chosen, ["cluster", "item"]).select("tile", "cluster", F.col("label").alias("item"), "shingles")
+        chosen = chosen.select("cluster", F.col("label"), F.explode(F.array_distinct(F.array(*(F.col(f"d{k}.rep") for k in range(DELEGATES))))).alias("item"))
+        met = cut(held.drop("tile", "band").join(chosen, ["cluster", "item"]), "delegates")
+        tiles = met.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES))).cast("int").alias("tiles"))
+        met = met.join(tiles, "cluster").withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("label", F.lit(level)), "tiles"))).select("tile", "cluster", F.col("label").alias("item"), "shingles")
         merged = cut(decide_tiles(met, percent).filter("item <> label").select("cluster", F.col("item").alias("label"), F.col("label").alias("to")), "merged")
         count, merges = labels.join(open_, "cluster").select("label").distinct().count(), merged.count()
         if merges:
             labels = cut(labels.join(merged, ["cluster", "label"], "left").select("cluster", "rep", F.coalesce("to", "label").alias("label")), "labels")
         if merges < WORTH_A_ROUND * count:
-            links = cross_links(held.join(open_, "cluster").join(labels.withColumnRenamed("rep", "item"), ["cluster", "item"]), percent)
+            left = held.join(open_, "cluster").join(labels.withColumnRenamed("rep", "item"), ["cluster", "item"])
+            links = cross_links(regrouped(left, percent), percent)
             merged = components(links.select(F.col("item").alias("a"), F.col("label").alias("b")), "cross").select(F.col("node").alias("label"), F.col("component").alias("to"))
             return labels.join(merged, "label", "left").select("cluster", "rep", F.coalesce("to", "label").alias("label"))
 
 
+def regrouped(labelled: DataFrame, percent: int) -> DataFrame:
+    """(cluster, band, tile, item, label, shingles) in new, smaller clusters: those of sets that meet by keys without what is common in theirs.
+
+    Shingles are counted over all sets of the clusters that are left; so many times as often as COMMON_TEXTS, or more where there
+    would be over MOST_COMMON of them, is common. Left out may be any: linked sets still meet.
+    """
+    labelled = cut(labelled.select("cluster", "band", "item", "label", "shingles"), "open-sets")
+    long_ = pa.int64()
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            h, n = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]), return_counts=True)
+            yield pa.record_batch([pa.array(h, long_), pa.array(n, long_)], ["h", "n"])
+
+    total = labelled.agg(F.sum(F.octet_length("shingles") / 8)).first()[0] or 0
+    counted = map_in_arrow(labelled.select("shingles"), counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # those with so many of all shingles each are MOST_COMMON at most
+    found = counted.filter(F.col("n") >= max(COMMON_TEXTS, math.ceil(total / MOST_COMMON))).select("h").toPandas()["h"].to_numpy(np.int64)
+    shared = labelled.sparkSession.sparkContext.broadcast(np.sort(found.view(U)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Meetings()
+
+        def meetings() -> pa.RecordBatch:
+            kinds, a, b = zip(*met.take(), strict=True)
+            return pa.record_batch([pa.array(kinds, long_), pa.array(a, pa.list_(long_)), pa.array(b, pa.list_(long_))], ["n", "a", "b"])
+
+        for batch in slices(batches):
+            for cluster, item, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with np.errstate(over="ignore"):
+                    met.add(mix(meeting_keys(np.frombuffer(data, U), percent, shared.value) ^ U(cluster & 0xFFFFFFFFFFFFFFFF), 17), item)
+            if met.full():
+                yield meetings()
+        if met.held:
+            yield meetings()
+
+    rows = cut(map_in_arrow(labelled.select("cluster", "item", "shingles"), meet, "n long, a array<long>, b array<long>"), "meetings")
+    groups = components(tied(rows), "regrouped").select(F.col("node").alias("item"), F.col("component").alias("group"))
+    sets = cut(labelled.drop("cluster").join(groups, "item").withColumnRenamed("group", "cluster"), "regrouped-sets")
+    each = sets.groupBy("cluster", "band").agg(F.count("*").alias("m"), F.sum(F.octet_length("shingles") / 8).alias("s"))
+    plan = each.select("cluster", "band", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("s") / TILE_SHINGLES)).alias("tiles"))
+    return sets.join(plan, ["cluster", "band"]).withColumn("tile", F.xxhash64("cluster", "band", F.pmod(F.xxhash64("item", F.lit(7)), F.col("tiles")))).drop("tiles")
+
+
 def cross_links(labelled: DataFrame, percent: int) -> DataFrame:
-    """(cluster, item, label) of labels that links merge, for each two tiles of one band or of adjoining ones that hold different labels."""
+    """(cluster, item, label) of labels that links merge, for each tile and for each two of one band or of adjoining ones that hold different labels."""
+    labelled = cut(labelled, "cross-sets")
     tiles = cut(labelled.groupBy("cluster", "band", "tile").agg(F.min("label").alias("least"), F.max("label").alias("most")), "tiles")
     other = tiles.select("cluster", *(F.col(c).alias(f"other_{c}") for c in ("band", "tile", "least", "most")))
-    near = (F.col("other_band") - F.col("band")).isin(0, 1) & ((F.col("band") < F.col("other_band")) | (F.col("tile") < F.col("other_tile")))
+    near = (F.col("other_band") - F.col("band")).isin(0, 1) & ((F.col("band") < F.col("other_band")) | (F.col("tile") <= F.col("other_tile")))
     pairs = tiles.join(other, "cluster").filter(near & ((F.col("least") != F.col("other_most")) | (F.col("most") != F.col("other_least"))))
-    to = pairs.select(F.xxhash64("tile", "other_tile").alias("to"), F.explode(F.array("tile", "other_tile")).alias("tile"))
+    to = pairs.select(F.xxhash64("tile", "other_tile").alias("to"), F.explode(F.array_distinct(F.array("tile", "other_tile"))).alias("tile"))
     met = labelled.join(to, "tile").select(F.col("to").alias("tile"), "cluster", F.col("label").alias("item"), "shingles")
     return decide_tiles(met, percent).filter("item <> label")
 
