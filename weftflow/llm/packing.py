@@ -7,7 +7,7 @@ up to fill the room that others have left; what remains of the last bin is cut a
 padding. A group never holds more than `group_docs` documents, whatever the input's size.
 
 Nulls: a null text counts as empty, a document then has the end token alone; null ids stay null. Repeated rows
-are packed each. Extra columns are left behind. An empty table gives no rows.
+are packed each. Extra columns, whatever their names, are left behind. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import map_in_arrow, slices
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Documents of a group.
 GROUP_DOCS = 2048
 #: Bytes of text at which a group is closed early, so that long texts don't fill a worker.
-GROUP_BYTES = 32 << 20
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+GROUP_BYTES = 8 << 20
+#: Words whose ids a task keeps from one group to the next, beyond those of the last group.
+KEPT_WORDS = 150_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -79,9 +79,11 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't kept yet, many in one call."""
+        """Encode the words that aren't kept yet, many in one call. If there are too many, only those of this call stay."""
         if len(self) > KEPT_WORDS:
+            last = {w: self[w] for w in words if w in self}
             self.clear()
+            self.update(last)
         new = [w for w in words if w not in self]
         plain = [w for w in new if w.isalpha()]
         self.update((w, self.ids(w)) for w in new if not w.isalpha())
@@ -101,12 +103,12 @@ class WordIds(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(vocabulary: str, added_ids: bool) -> WordIds:
+def tokenizer_of(vocabulary: str, added_ids: bool) -> Tokenizer:
     fs, path = pa.fs.FileSystem.from_uri(vocabulary)
     with fs.open_input_stream(path) as f:
         tokenizer = Tokenizer.from_buffer(f.read())
     tokenizer.encode_special_tokens = not added_ids
-    return WordIds(tokenizer)
+    return tokenizer
 
 
 class RoomTree:
@@ -199,7 +201,7 @@ def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.j
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(vocabulary, added_ids)
+        words = WordIds(tokenizer_of(vocabulary, added_ids))  # goes with the task
         sequence = TaskContext.get().partitionId() << 40
 
         def packed(docs: list, texts: list[str]) -> pa.RecordBatch:
@@ -224,6 +226,7 @@ def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.j
         if docs:
             yield packed(docs, texts)
 
-    dealt = F.xxhash64("doc_id", "text")
+    # rows that repeat, as those without id and text, are told apart by where they stand; equal rows are packed alike wherever they go
+    dealt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("deal", dealt).repartition("deal").sortWithinPartitions("deal", "doc_id").drop("deal").mapInArrow(run, SCHEMA)
+    return map_in_arrow(rows.withColumn("deal", dealt).repartition("deal").sortWithinPartitions("deal", "doc_id").drop("deal"), run, SCHEMA)
