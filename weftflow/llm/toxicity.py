@@ -1,24 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on passages of toxic documents, one on ordinary text. Each window of a text,
-a word with the spaces around it, is compressed with either; where the toxic dictionary shortens it more, it is like the
-toxic passages. A window is joined to a tail that both dictionaries hold, since a compressor leaves a few bytes as they
-are. Every window of the whole text counts: a document is judged by its most suspicious windows.
-
-Training takes a bounded sample of labelled documents, of copies and near copies one each. Toxic passages are the stretches
-of toxic documents whose character n-grams are many times as common there as in ordinary documents. A third of the sample is
-kept from the dictionaries; on it thresholds are calibrated: how much more often toxic documents hold a window of some length
-of which the dictionaries save so and so many bytes than ordinary ones do, and a logistic curve from the two largest such
-weights to a probability.
+Two zstandard dictionaries are trained: one on ordinary text, one on toxic passages. Each window of a text, a few words with the
+spaces around them, is compressed twice: with the ordinary dictionary, and with the ordinary and the toxic one together, so that
+ordinary words cost the same on either side. The bytes that the toxic dictionary saves tell how like the window is to toxic
+passages. Windows overlap and cover the whole text.
+
+Training takes a bounded sample of labelled documents, of copies and near copies one each. Which windows of a toxic document are
+its toxic passages isn't known beforehand: a first dictionary is trained on all windows of one half of the toxic documents. In the
+other half, the windows that it shortens most, narrowed by compression again, train the next dictionary. Of that, the parts stay
+which shorten windows of the half that it hasn't seen many times as often as ordinary windows. A third of the sample is kept from
+the dictionaries; on it thresholds are calibrated: how much more often toxic documents hold a window of some compressed length and
+saving than ordinary ones do, and a logistic curve from the largest such weights to a probability.
 
 Nulls and empty texts have no windows and get the curve's value for none. Repeated rows score alike. Without labels, or
 where toxic documents hold no passage of their own, the score is the share of toxic documents with one document of each
-kind added. Extra columns are carried along; an empty table gives
-no rows.
+kind added. Extra columns are carried along, one named like the score is replaced; an empty table gives no rows.
+
+Bounds: at most TRAIN_DOCS documents reach the driver, whole; a training document's windows beyond TRAIN_WINDOWS are left out of
+the fit, never of a score.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -30,34 +34,39 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import labelled_sample, slices
-
-#: Labelled documents that a model is fitted to, at most.
-TRAIN_DOCS = 6000
-#: Characters of an n-gram.
-GRAMS = range(4, 10)
-#: Toxic documents that hold an n-gram at least, and how many times as common it is there.
-LEAST_DOCS, TIMES = 8, 12
-DICTIONARY_BYTES = 32 << 10
-LEVEL = 16
-#: Both dictionaries and all windows end with it: a compressor starts no match in the last bytes, and stores what it can't shorten.
+from .common import labelled_sample, map_in_arrow, slices
+
+#: Labelled documents that a model is fitted to, at most; windows of each.
+TRAIN_DOCS, TRAIN_WINDOWS = 6000, 4096
+#: Words of a window, and words after which the next one begins.
+WINDOW_WORDS, WINDOW_STEP = 4, 3
+#: A longer word counts as several, each starting WORD_STEP after the last.
+WORD_CHARS, WORD_STEP = 48, 32
+#: Both sides' dictionaries and all windows end with it: a compressor starts no match in the last bytes, and stores what it can't shorten.
 TAIL = bytes(range(1, 32))
-#: Characters of a window at most; a longer word gives several windows, each starting WINDOW_STEP after the last.
-WINDOW_CHARS, WINDOW_STEP = 48, 32
-#: Lengths of windows, and savings beyond SAVED_TAIL, that are told apart.
-LENGTHS, SAVED_TAIL = 24, 12
+#: Bytes of the ordinary dictionary, of the first toxic one and of the toxic one before it is pruned; bytes of the segments that training picks for each.
+ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 64 << 10, 8 << 10, 2 << 10
+ORDINARY_SEGMENT, TOXIC_SEGMENT, WORD_SEGMENT = 256, 32, 16
+#: Bytes of a match at least.
+LEAST_MATCH = 6
+#: Ordinary windows that the ordinary dictionary is trained on, at most; ordinary documents that the toxic one is pruned by, for each toxic one.
+ORDINARY_WINDOWS, PLAIN_DOCS = 150_000, 2
+#: Windows of each toxic document that the toxic dictionary is trained on, at most; bytes that they save at least; rounds.
+TOP_WINDOWS, LEAST_SAVED, ROUNDS = 4, 2, 2
+#: Toxic documents that a word of the toxic dictionary helps at least, and how many times as often as ordinary ones.
+LEAST_DOCS, TIMES = 3, 6.0
+#: Compressed lengths (in steps of LENGTH_STEP) and savings that are told apart.
+LENGTHS, LENGTH_STEP, SAVINGS = 16, 4, 24
 #: Least hashes by which near copies are told.
 SKETCHES = 4
-#: Documents that hold a window of a cell at least; those of rarer cells are judged by length and difference alone.
-LEAST_SEEN = 4
-#: Windows whose weights a worker keeps.
-KEPT_WINDOWS = 400_000
+#: Documents that hold a window of a cell at least; those of rarer cells are judged by the saving alone.
+LEAST_SEEN = 8
 
 
-def windows(text: str) -> list[str]:
+def words(text: str) -> list[str]:
     found = text.lower().split()
-    if any(len(w) > WINDOW_CHARS for w in found):
-        found = [w[i : i + WINDOW_CHARS] for w in found for i in range(0, max(1, len(w) - WINDOW_CHARS + WINDOW_STEP), WINDOW_STEP)]
+    if any(len(w) > WORD_CHARS for w in found):
+        found = [w[i : i + WORD_CHARS] for w in found for i in range(0, max(1, len(w) - WORD_CHARS + WORD_STEP), WORD_STEP)]
     return found
 
 
@@ -69,38 +78,56 @@ def encoded(text: str) -> bytes:
         return text.encode("utf-8", "surrogatepass")
 
 
+def windows(text: str) -> list[bytes]:
+    """WINDOW_WORDS words each, with the spaces around them; the last may be shorter."""
+    found = words(text)
+    if not found:
+        return []
+    data = encoded(f" {' '.join(found)} ")
+    gaps = [i for i, c in enumerate(data) if c == 32] if len(data) < 256 else np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist()
+    last = len(gaps) - 1
+    return [data[gaps[i] : gaps[min(i + WINDOW_WORDS, last)] + 1] for i in range(0, max(1, last - WINDOW_WORDS + WINDOW_STEP), WINDOW_STEP)]
+
+
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """Matches are of LEAST_MATCH bytes at least, so that a saving is that of a word's better part. Before the tail stands the same on either side, whatever the dictionary ends with."""
+    settings = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=LEAST_MATCH, window_log=18, hash_log=17, chain_log=17, search_log=4, write_checksum=False, write_content_size=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(dictionary + b"\0 " + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
+def lengths(by: zstandard.ZstdCompressor, found: Iterable[bytes]) -> np.ndarray:
+    return np.array([len(by.compress(w + TAIL)) for w in found], np.int64)
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:  # too few samples to choose from
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
 @dataclass
 class Model:
-    toxic: bytes = b""
     ordinary: bytes = b""
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((LENGTHS, LENGTHS, LENGTHS)))  # by length, and bytes saved by either dictionary
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)  # constant, factors of the largest weight and of the second largest
+    toxic: bytes = b""
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((LENGTHS, SAVINGS)))  # by compressed length and bytes saved
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0)  # constant, factors of the largest weight and of the sum of the next two
 
 
-class WindowWeights(dict):
-    """The weight of a window, from the difference of its two compressed lengths."""
+class WindowWeights:
+    """The weights of windows, from their two compressed lengths."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
         self.model = model
-        self.by = [self.compressor(d) for d in (model.ordinary, model.toxic)] if model.toxic else None
-
-    @staticmethod
-    def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
+        self.by = [compressor(model.ordinary), compressor(model.ordinary + model.toxic)] if model.toxic else None
 
-    def cell(self, window: str) -> tuple[int, int, int]:
-        """Length, and bytes that the ordinary and the toxic dictionary save, each within its limits."""
-        data = encoded(f" {window} ") + TAIL
-        saved = (len(data) - len(c.compress(data)) for c in self.by)
-        return min(len(data) - len(TAIL), LENGTHS) - 1, *(min(max(x - SAVED_TAIL, 0), LENGTHS - 1) for x in saved)
+    def cells(self, found: list[bytes]) -> np.ndarray:
+        """For each window the row and column of its weight."""
+        plain, both = (lengths(c, found) for c in self.by)
+        return np.stack([np.minimum(plain // LENGTH_STEP, LENGTHS - 1), np.clip(plain - both, 0, SAVINGS - 1)])
 
-    def __missing__(self, window: str) -> float:
-        if len(self) > KEPT_WINDOWS:
-            self.clear()
-        found = self[window] = float(self.model.weights[self.cell(window)])
-        return found
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return self.model.weights[tuple(self.cells(found))] if self.by and found else np.zeros(0)
 
 
 def unlike(texts: list[str]) -> list[int]:
@@ -108,7 +135,7 @@ def unlike(texts: list[str]) -> list[int]:
     seen: set[tuple[int, int]] = set()
     kept = []
     for i, t in enumerate(texts):
-        w = windows(t)
+        w = words(t)
         h = np.array([xxhash.xxh3_64_intdigest(" ".join(w[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(w) - 2))], np.uint64)
         sketch = {(k, int((h * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) ^ (h >> np.uint64(32))).min())) for k in range(SKETCHES)}
         if seen.isdisjoint(sketch):
@@ -117,104 +144,105 @@ def unlike(texts: list[str]) -> list[int]:
     return kept
 
 
-def grams(text: str) -> set[str]:
-    """N-grams within a window and the spaces around it."""
-    return {t[i : i + n] for t in {f" {w} " for w in windows(text)} for n in GRAMS for i in range(len(t) - n + 1)}
-
-
-def telling_grams(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """N-grams of toxic documents that ordinary ones lack, the shortest: none holds another."""
-    seen: Counter = Counter()
-    for t in toxic:
-        seen.update(grams(t))
-    few = min(LEAST_DOCS, max(2, len(toxic) // 30))
-    seen = Counter({g: c for g, c in seen.items() if c >= few})
-    plain: Counter = Counter()
-    for t in ordinary:
-        plain.update(grams(t) & seen.keys())
-    found: set[str] = set()
-    for g in sorted((g for g, c in seen.items() if c / len(toxic) >= TIMES * (plain[g] + 0.5) / len(ordinary)), key=len):
-        if not any(g[i : i + n] in found for n in GRAMS if n < len(g) for i in range(len(g) - n + 1)):
-            found.add(g)
-    return found
+#: A document's windows and their lengths under the ordinary dictionary.
+Measured = tuple[list[bytes], np.ndarray]
 
 
-def passages(text: str, telling: set[str]) -> list[str]:
-    """The stretches of a text's windows that telling n-grams cover."""
-    found = []
-    for w in windows(text):
-        marked = f" {w} "
-        covered = np.zeros(len(marked) + 1, bool)
-        for n in GRAMS:
-            for i in range(len(marked) - n + 1):
-                if marked[i : i + n] in telling:
-                    covered[i : i + n] = True
-        if covered.any():
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], covered]).astype(np.int8)))
-            found += [marked[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def passages(docs: list[Measured], ordinary: bytes, toxic: bytes) -> list[bytes]:
+    """Of each document the windows that a toxic dictionary shortens most, TOP_WINDOWS at most, narrowed to the word without which it saves least."""
+    base, by, found = compressor(ordinary), compressor(ordinary + toxic), []
+    for d, plain in docs:
+        saved = plain - lengths(by, d)
+        for i in np.argsort(-saved, kind="stable")[:TOP_WINDOWS]:
+            if saved[i] < LEAST_SAVED:
+                break
+            gaps = [k for k, c in enumerate(d[i]) if c == 32]
+            without = [d[i][:a] + d[i][b:] for a, b in zip(gaps, gaps[1:], strict=False)]
+            at = int(np.argmin(lengths(base, without) - lengths(by, without)))
+            found.append(d[i][gaps[at] : gaps[at + 1] + 1])
     return found
 
 
-def dictionary(samples: Counter) -> bytes:
-    """The most frequent samples, the most frequent last, where they are found soonest."""
-    kept, size = [], 0
-    for text, _ in sorted(samples.items(), key=lambda x: (-x[1], x[0])):
-        data = encoded(text)
-        if size + len(data) > DICTIONARY_BYTES:
-            break
-        kept.append(data)
-        size += len(data)
-    return b"".join(kept[::-1]) + TAIL
-
-
-def two_largest(weights: Iterable[float]) -> tuple[float, float]:
-    """0 where there is none above it."""
-    first, second = 0.0, 0.0
-    for x in weights:
-        if x > second:
-            first, second = max(first, x), min(first, x)
-    return first, second
+def pruned(dictionary: bytes, ordinary: bytes, toxic: list[Measured], plain: list[Measured]) -> bytes:
+    """The words of a toxic dictionary that shorten windows of toxic documents, and seldom ordinary ones, beyond what better words do; the best last, where it is nearest."""
+    whole, asked, docs, before = compressor(ordinary + dictionary), [], [], []  # windows that the whole dictionary shortens, their documents, toxic ones first, and their lengths
+    for i, (d, known) in enumerate([*toxic, *plain]):
+        at = np.flatnonzero(known - lengths(whole, d) >= LEAST_SAVED)
+        asked += [d[k] for k in at]
+        docs += [i] * len(at)
+        before += known[at].tolist()
+    docs, before = np.array(docs, np.int64), np.array(before, np.int64)
+
+    def helped(words_: bytes) -> tuple[int, np.ndarray]:
+        """How many toxic documents they help, none unless the odds are high enough, and the lengths with them."""
+        after = lengths(compressor(ordinary + words_), asked)
+        hit = np.unique(docs[before - after >= LEAST_SAVED])
+        n = int((hit < len(toxic)).sum())
+        odds = ((n + 0.5) / (len(toxic) + 1)) / ((len(hit) - n + 0.5) / (len(plain) + 1))
+        return n if n >= LEAST_DOCS and odds >= TIMES else 0, after
+
+    found = {p: helped(p)[0] for p in {b" " + p + b" " for p in re.split(rb"[\x00-\x20]+", dictionary) if p}} if asked else {}
+    kept = b""
+    for piece in sorted((p for p, n in found.items() if n), key=lambda p: (-found[p], p)):
+        n, after = helped(piece + kept)
+        if n:
+            kept, before = piece + kept, np.minimum(before, after)
+    return kept
 
 
-def dictionaries(toxic: list[str], plain: list[str]) -> Model:
-    telling = telling_grams(toxic, plain)
-    found = Counter(p for t in toxic for p in passages(t, telling))
-    return Model(dictionary(found), dictionary(Counter(f" {w}" for t in plain for w in windows(t)))) if found else Model()
+def dictionaries(toxic: list[list[bytes]], plain: list[list[bytes]], seed: int = 0) -> Model:
+    """From the windows of toxic and of ordinary documents. Each half of the toxic ones gets a dictionary that is judged by the other half."""
+    rng = np.random.default_rng(seed)
+    pool = [w for d in plain for w in d]
+    pool = [pool[i] for i in rng.permutation(len(pool))[:ORDINARY_WINDOWS]]
+    if not pool or not all(any(h) for h in (toxic[::2], toxic[1::2])):
+        return Model()
+    ordinary = trained(pool, ORDINARY_BYTES, ORDINARY_SEGMENT)
+    base = compressor(ordinary)
+    measured = lambda docs: [(d, lengths(base, d)) for d in docs]
+    picked = measured([plain[i] for i in rng.permutation(len(plain))[: PLAIN_DOCS * len(toxic)]])
+    halves = measured(toxic[::2]), measured(toxic[1::2])
+    parts, kept = [trained([w for d, _ in h for w in d], FIRST_BYTES, TOXIC_SEGMENT) for h in halves], [b"", b""]
+    for _ in range(ROUNDS):
+        found = [passages(h, ordinary, p) for h, p in zip(halves, parts[::-1], strict=True)]
+        parts = kept = [pruned(trained(f, TOXIC_BYTES, WORD_SEGMENT) + k if f else k, ordinary, h, picked) for f, k, h in zip(found, kept, halves[::-1], strict=True)]
+    return Model(ordinary, b"".join(kept))
+
+
+def largest(weights: np.ndarray) -> tuple[float, float]:
+    """The largest and the sum of the next two; what isn't above 0 counts as 0."""
+    top = np.zeros(3)
+    best = np.sort(weights[weights > 0])[::-1][:3]
+    top[: len(best)] = best
+    return float(top[0]), float(top[1] + top[2])
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    """Fit to the documents; of copies and near copies only the first counts, since a text that recurs would make all of its words telling."""
+    """Fit to the documents; of copies and near copies only the first counts, since a text that recurs would pass for what toxic documents share."""
     kept = unlike(texts)
-    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
+    labels = [labels[i] for i in kept]
     share = (sum(labels) + 1) / (len(labels) + 2)
     prior = (float(np.log(share / (1 - share))), 0.0, 0.0)
-    fitted, judged = ([[t for i, (t, x) in enumerate(zip(texts, labels, strict=True)) if x == k and (i % 3 == 0) == late] for k in (0, 1)] for late in (False, True))
+    cut = [windows(texts[i])[:TRAIN_WINDOWS] for i in kept]
+    fitted, judged = ([[w for i, (w, x) in enumerate(zip(cut, labels, strict=True)) if x == k and (i % 3 == 0) == late] for k in (0, 1)] for late in (False, True))
     model = dictionaries(fitted[1], fitted[0]) if all(fitted) and all(judged) else Model()
     model.curve = prior
     if not model.toxic:
-        return model
-    # how much more often toxic documents hold a window of a cell, and of its length and difference
-    counts, wide, seen = np.zeros((2, *model.weights.shape)), np.zeros((2, LENGTHS, LENGTHS)), []
-    compare, cells = WindowWeights(model), {}
+        return Model(curve=prior)
+    # how much more often toxic documents hold a window of a cell, and of its saving
+    compare, counts, wide, seen = WindowWeights(model), np.zeros((2, LENGTHS, SAVINGS)), np.zeros((2, SAVINGS)), []
     for kind in (0, 1):
-        for t in judged[kind]:
-            held = Counter()
-            for w in windows(t):
-                if w not in cells:
-                    cells[w] = compare.cell(w)
-                held[cells[w]] += 1
-            for cell in held:
-                counts[(kind, *cell)] += 1
-            for length, difference in {(n, max(0, toxic - plain)) for n, plain, toxic in held}:
-                wide[kind, length, difference] += 1
-            seen.append((kind, held))
+        for d in judged[kind]:
+            cells = compare.cells(d) if d else np.zeros((2, 0), np.int64)
+            here = np.unique(cells, axis=1)
+            counts[kind, here[0], here[1]] += 1
+            wide[kind, np.unique(cells[1])] += 1
+            seen.append((kind, cells))
     n0, n1 = len(judged[0]), len(judged[1])
-    odds = lambda c, pull: np.log((c[1] + pull * n1 / n0) / (n1 + pull)) - np.log((c[0] + pull) / (n0 + pull))
-    broad = odds(wide, 0.5)
-    length, plain, toxic = np.indices(model.weights.shape)
-    model.weights = np.where(counts.sum(0) >= LEAST_SEEN, odds(counts, 0.5), broad[length, np.maximum(0, toxic - plain)])
-    model.weights[toxic <= plain] = 0.0  # no difference says nothing
-    x = np.array([(1.0, *two_largest(model.weights[cell] for cell, n in held.items() for _ in range(min(n, 2)))) for _, held in seen])
+    odds = lambda c: np.log((c[1] + 0.5 * n1 / n0) / (n1 + 0.5)) - np.log((c[0] + 0.5) / (n0 + 0.5))
+    model.weights = np.where(counts.sum(0) >= LEAST_SEEN, odds(counts), odds(wide)[None, :])
+    model.weights[:, 0] = 0.0  # no saving says nothing
+    x = np.array([(1.0, *largest(model.weights[tuple(cells)])) for _, cells in seen])
     model.curve = tuple(logistic(x, np.array([float(kind) for kind, _ in seen])))
     return model
 
@@ -231,13 +259,13 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2
 
 def score_text(text: str, weights: WindowWeights) -> float:
     c = weights.model.curve
-    first, second = two_largest(map(weights.__getitem__, windows(text))) if weights.by else (0.0, 0.0)
-    return float(1 / (1 + np.exp(-np.clip(c[0] + c[1] * first + c[2] * second, -700, 700))))
+    first, next_ = largest(weights.of(windows(text))) if weights.by else (0.0, 0.0)
+    return float(1 / (1 + np.exp(-np.clip(c[0] + c[1] * first + c[2] * next_, -700, 700))))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The rows with a column score_col, double, from 0 to 1; a column that has its name already is replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES and a small table, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a small table, whatever the input
     rows = df.drop(score_col)
     at, names = rows.columns.index(text_col), [*rows.columns, score_col]
 
@@ -247,7 +275,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
             scores = pa.array([score_text(t or "", weights) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return map_in_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_DOCS) -> Model:
