@@ -1,19 +1,25 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive and tags negative: a tag's weight is learned from labelled
-pages, those with exactly one article element, as the log odds of the tag inside and outside of the article, no higher
-than a small negative number. A linear scan finds the contiguous region with the greatest sum; of equal ones the first and
-longest. Elements that aren't article text by their name, class, id or role (menus, notices, adverts, forms, scripts, reader
-comments, ...) score nothing and are left out, wherever they stand. A class, id or role names such a part as a whole or with
-each of its words ("cookie-notice", not "has-sidebar"); an element that holds an article or main element is never left out,
-but for parts within an article, and within main after its first article (readers' comments are often articles). Other
-elements are left to the weights.
+A page is a sequence of words and tags. Words score positive and tags negative; a linear scan finds the contiguous region with the
+greatest sum, of equal ones the first and longest. Weights are learned from labelled pages, those with exactly one article
+element, as log odds of standing inside and outside of the article:
+
+- of each kind of tag, between MOST_TAG and LEAST_TAG. Within an article or main element every tag scores LEAST_TAG.
+- of each name in class, id and role, and of the tags that HTML has for other parts (nav, footer, ...). The words of an element
+  score less by NAMED times the least such sum among the elements around them, those beyond the next article or main element
+  aside, but not less than nothing. So a menu, notice or advert is worth nothing, however long it is, and is left out within the
+  region without parting it, while one name never costs an article around which it stands. Names that fewer than LEAST_SEEN labelled elements have start from a
+  prior: PART where HTML or all words of the name tell of another part of a page, else 0.
+
+An article within another one, as readers' comments often are, is judged as any element. Where no word of a page scores above 0,
+all words do: such a page is one form or menu as a whole. What browsers don't show, as scripts, is no text.
 
 Character references are decoded, white space within a block becomes one space, and blocks are joined by a line feed.
 
 Nulls: null html is empty and gives an empty text; a page without words too. Repeated rows are extracted each. Pages that
-break off, unclosed and stray tags are read as browsers do, roughly: an unclosed part ends with the element around it.
-Extra columns are left behind. Without labelled pages the tags have one weight.
+break off, unclosed and stray tags are read as browsers do, roughly: an unclosed part ends with the element around it. Time grows
+with a page's length, not with its depth. Extra columns are left behind, whatever their names. Without labelled pages there are
+the priors; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import hash_share, map_in_arrow, slices
 
-#: Labelled pages that the weights are learned from, at most.
-TRAIN_PAGES = 400
-#: Of a word, of tags at most, of tags that no labelled page has: low, so that a list of single words isn't cut off.
-WORD, LEAST_TAG, OTHER_TAG = 0.2, -0.01, -0.05
+#: Labelled pages that the weights are learned from, at most; elements with a name from which on its learned weight counts.
+TRAIN_PAGES, LEAST_SEEN = 400, 3
+#: Of a word; of tags at most, at least, and of tags that no labelled page has: low, so that a list of single words isn't cut off.
+WORD, LEAST_TAG, MOST_TAG, OTHER_TAG = 0.2, -0.01, -1.0, -0.05
+#: Prior of names of other parts; how much of a name's weight each word below it gets.
+PART, NAMED = -4.0, 0.1
 
 # Names of HTML.
 SILENT = {"script", "style", "noscript", "template", "title", "textarea", "svg", "math", "iframe", "object", "canvas", "select", "button", "head"}
@@ -60,64 +68,80 @@ NAMING = re.compile(rf"""(?P<name>class|id|role)\s*=\s*(?:"([^"]*)|'([^']*)|([^\
 
 
 @dataclass
+class Weights:
+    tags: dict[str, float] = field(default_factory=dict)
+    names: dict[str, float] = field(default_factory=dict)  # of a tag in PARTS as it is, of a class, id or role after a dot
+
+    def of(self, names: tuple[str, ...]) -> float:
+        """The sum over an element's names."""
+        return sum(self.names[n] if n in self.names else prior(n) for n in names)
+
+
+def prior(name: str) -> float:
+    return PART if name in PARTS or name[0] == "." and PART_WORDS.issuperset(re.split(r"[-_]+", name[1:])) else 0.0
+
+
+def names_of(name: str, attributes: str) -> tuple[str, ...]:
+    """What an element is named: its tag where HTML has it for another part, and its classes, ids and roles."""
+    own = (name,) if name in PARTS else ()
+    if not attributes or "=" not in attributes or name in ("html", "body", "main", "article"):
+        return own
+    found = ("".join(x or "" for x in m.groups()[1:]).lower() for m in NAMING.finditer(attributes) if m["name"])
+    return own + tuple(dict.fromkeys(f".{x}" for value in found for x in value.split()))
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element; what holds for all that it holds."""
+
+    name: str
+    silent: bool
+    article: bool  # within an article or main element, or one itself
+    weight: float  # the least of the elements around, this one included, from the next article or main element on
+    paragraph: int  # place of the open paragraph that a block would end, or -1
+    names: tuple[str, ...]
+
+
+@dataclass(slots=True)
 class Token:
     kind: str  # word, open, close
     name: str  # of a tag
-    silent: bool  # it stands in, begins or ends an element that isn't shown or isn't article text
-    article: bool  # within an article element
+    silent: bool  # it stands in an element that isn't shown, or begins or ends one
+    article: bool
+    weight: float
     block: int  # blocks begun before it
+    text: str = ""  # decoded, with the white space at its ends
+    names: tuple[str, ...] = ()
+    held: bool = False  # the element that it begins holds an article or main element
 
 
-@dataclass
-class Weights:
-    tags: dict[str, float] = field(default_factory=dict)
+ROOT = Open("", False, False, 0.0, -1, ())
+
+
+def tokens(page: str, weights: Weights) -> list[Token]:
+    """Words and tags in page order."""
+    out: list[Token] = []
+    open_, begun, count = [ROOT], [-1], Counter()  # elements, their tokens, and how many of a name are open
+    block, at, articles = 0, 0, 0
 
-    def of(self, token: Token) -> float:
-        if token.silent:
-            return 0.0
-        if token.kind == "word":
-            return WORD
-        return self.tags.get(token.name, OTHER_TAG)
-
-
-def named_part(name: str, attributes: str) -> str:
-    """The part that an element begins, or nothing."""
-    if name in PARTS:
-        return name
-    if name not in ("html", "body", "main", "article") and attributes:
-        for found in NAMING.finditer(attributes):
-            if found["name"] and any(PART_WORDS.issuperset(re.split(r"[-_]+", x)) for x in "".join(x or "" for x in found.groups()[1:]).lower().split()):
-                return "box"
-    return ""
-
-
-def tokens(page: str, holders: frozenset[int] = frozenset()) -> tuple[list[Token], list[str]]:
-    """Tokens in page order, and the text of each word token, decoded, with the white space at its ends kept.
-
-    `holders` are the tokens that begin elements which would be parts, but hold an article or main element. They are known
-    when the page has been read, so it is then read again with them.
-    """
-    out, texts = [], []
-    open_: list[tuple[str, str]] = []  # elements and the parts that they begin
-    begun: list[int] = []  # their tokens
-    block, at, articles, found_holders = 0, 0, 0, set()
-
-    def add(kind: str, name: str, text: str = "", edge: bool = False) -> None:
-        silent = edge or any(p or n in SILENT for n, p in open_)
-        out.append(Token(kind, name, silent, any(n == "article" for n, _ in open_), block))
-        texts.append(text)
+    def leave(size: int) -> Open:
+        """End elements until `size` are left; the last one ended."""
+        while len(open_) > size:
+            last = open_.pop()
+            count[last.name] -= 1
+            begun.pop()
+        return last
 
     while at < len(page):
         found = TOKEN.match(page, at)
         at = found.end()
         close, name, attributes, text = found.groups()
+        top = open_[-1]
         if text is not None:
-            if text == "<" and out and out[-1].kind == "word":
-                texts[-1] += "<"
-            elif out and out[-1].kind == "word":
-                texts[-1] += html.unescape(text)
+            if out and out[-1].kind == "word":
+                out[-1].text += text if text == "<" else html.unescape(text)
             else:
-                add("word", "", html.unescape(text))
+                out.append(Token("word", "", top.silent, top.article, top.weight, block, html.unescape(text)))
             continue
         if name is None:
             continue
@@ -125,39 +149,49 @@ def tokens(page: str, holders: frozenset[int] = frozenset()) -> tuple[list[Token
         if name in BLOCKS:
             block += 1
         if close:
-            edge = ""
-            if any(n == name for n, _ in open_):
-                while (last := open_.pop())[0] != name:
-                    pass
-                del begun[len(open_) :]
-                edge = last[1]
-            add("close", name, edge=bool(edge) or name in SILENT)
+            if count[name]:
+                while open_[-1].name != name:
+                    leave(len(open_) - 1)
+                top = leave(len(open_) - 1)
+            out.append(Token("close", name, top.silent or name in SILENT, top.article, top.weight, block))
             continue
-        if name in CLOSES_P:  # an open paragraph ends before a block
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == "p":
-                    del open_[i:], begun[i:]
-                    break
-                if open_[i][0] in BLOCKS:
-                    break
-        if name in ("li", "dt", "dd", "option", "tr", "td", "th") and open_ and open_[-1][0] == name:
-            open_.pop()
-            begun.pop()
-        part = "" if len(out) in holders else named_part(name, attributes)
-        if name in ("article", "main"):
-            above = [n for n, _ in open_]
-            first = above.index("main") if articles and "main" in above else len(above)
-            first = min(first, above.index("article")) if "article" in above else first
-            found_holders.update(begun[i] for i in range(first) if open_[i][1])
-            articles += name == "article"
-        add("open", name, edge=bool(part) or name in SILENT)
+        if name in CLOSES_P and top.paragraph >= 0:  # an open paragraph ends before a block
+            leave(top.paragraph)
+        if name in ("li", "dt", "dd", "option", "tr", "td", "th") and open_[-1].name == name:
+            leave(len(open_) - 1)
+        top, named = open_[-1], names_of(name, attributes)
+        whole = name in ("article", "main")
+        # what stands around an article doesn't count against it, but within another one and, after main's first, within main
+        fresh = whole and not (count["article"] or name == "article" and articles and count["main"])
+        if fresh:
+            for i in begun[1:]:
+                out[i].held = True
+        articles += name == "article"
+        own = Open(name, top.silent or name in SILENT, top.article or whole, 0.0 if fresh else min(top.weight, weights.of(named)), len(open_) if name == "p" else -1 if name in BLOCKS else top.paragraph, named)
+        out.append(Token("open", name, own.silent, own.article, own.weight, block, names=named))
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            open_.append((name, part))
+            open_.append(own)
             begun.append(len(out) - 1)
+            count[name] += 1
             if name in RAW:
                 end = re.compile(f"</{name}", re.I).search(page, at)
                 at = end.start() if end else len(page)
-    return tokens(page, holders | found_holders) if found_holders else (out, texts)
+    return out
+
+
+def scores_of(found: list[Token], weights: Weights) -> np.ndarray:
+    """A score for each token, that of a run of words for all of them."""
+    out = np.zeros(len(found))
+    for i, t in enumerate(found):
+        if t.silent:
+            continue
+        if t.kind == "word":
+            out[i] = len(t.text.split()) * max(0.0, WORD + NAMED * min(0.0, t.weight))
+        else:
+            out[i] = LEAST_TAG if t.article else weights.tags.get(t.name, OTHER_TAG)
+    if not (out > 0).any():  # all of the page stands in parts
+        out = np.array([x if t.kind != "word" or t.silent else len(t.text.split()) * WORD for x, t in zip(out, found, strict=True)])
+    return out
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -175,15 +209,14 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    found, texts = tokens(page or "")
-    scores = np.array([weights.of(t) * (len(x.split()) if t.kind == "word" else 1) for t, x in zip(found, texts, strict=True)])
+    found = tokens(page or "", weights)
+    scores = scores_of(found, weights)
     begin, end = best_region(scores)
     blocks: dict[int, list[str]] = {}
-    for token, text in zip(found[begin:end], texts[begin:end], strict=True):
-        if token.silent:
-            continue
-        if token.kind == "word":
-            blocks.setdefault(token.block, []).append(text)
+    for i in range(begin, end):
+        token = found[i]
+        if token.kind == "word" and (scores[i] > 0 or not token.silent and token.text.isspace()):
+            blocks.setdefault(token.block, []).append(token.text)
         elif token.name == "br":
             blocks.setdefault(token.block, []).append(" ")
     joined = (" ".join("".join(b).split()) for b in blocks.values())
@@ -191,30 +224,39 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def learn(pages: list[str]) -> Weights:
-    """Weights from pages with exactly one article element; other pages say nothing."""
-    inside, outside = Counter(), Counter()
+    """Weights from pages with exactly one article element; other pages say nothing. An element around the article counts as inside."""
+    tags, names = (Counter(), Counter()), (Counter(), Counter())
     for page in pages:
-        found, _ = tokens(page)
+        found = tokens(page, Weights())
         if sum(t.kind == "open" and t.name == "article" for t in found) != 1:
             continue
+        within = False
         for t in found:
-            if t.kind != "word" and not t.silent:
-                (inside if t.article else outside)[t.name] += 1
-    total = sum(inside.values()) + 1, sum(outside.values()) + 1
-    keys = inside.keys() | outside.keys()
-    return Weights({k: min(LEAST_TAG, float(np.log((inside[k] + 0.5) / total[0]) - np.log((outside[k] + 0.5) / total[1]))) for k in keys})
+            if t.name == "article":
+                within = t.kind == "open"
+            if t.kind != "word":
+                tags[within or t.name == "article"][t.name] += 1
+            if t.kind == "open":
+                names[within or t.held].update(t.names)
+    total = [sum(c.values()) + 1 for c in tags]
+    odds = lambda counts, k: float(np.log((counts[1][k] + 0.5) / total[1]) - np.log((counts[0][k] + 0.5) / total[0]))
+    return Weights(
+        {k: min(LEAST_TAG, max(MOST_TAG, odds(tags, k))) for k in tags[0].keys() | tags[1].keys()},
+        {k: odds(names, k) for k in names[0].keys() | names[1].keys() if names[0][k] + names[1][k] >= LEAST_SEEN},
+    )
 
 
 def fit(pages: DataFrame, rows: int = TRAIN_PAGES) -> Weights:
-    """Weights from at most `rows` labelled pages, drawn by a hash of the page."""
+    """Weights from at most `rows` labelled pages, drawn by a hash of the page. Not many more than `rows` reach the driver, whatever the table's size."""
     pick = F.xxhash64("html")
-    sample = pages.select("html").filter(F.lower("html").contains("<article")).orderBy(pick, "html").limit(rows)
+    labelled = pages.select("html").filter(F.lower("html").contains("<article"))
+    sample = labelled.filter(hash_share(pick, labelled.count(), 2 * rows)).orderBy(pick, "html").limit(rows)
     return learn([r["html"] for r in sample.collect()])
 
 
 def main_text(pages: DataFrame, weights: Weights, keys: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """(keys, text string) of each row."""
-    shared = pages.sparkSession.sparkContext.broadcast(weights)  # a number for each kind of tag
+    shared = pages.sparkSession.sparkContext.broadcast(weights)  # a number for each kind of tag and each name on TRAIN_PAGES pages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -223,4 +265,4 @@ def main_text(pages: DataFrame, weights: Weights, keys: tuple[str, ...] = ("page
 
     rows = pages.select(*keys, F.col(html_col).cast("string").alias("_html"))
     kinds = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}, text string")
+    return map_in_arrow(rows, run, f"{kinds}, text string")
