@@ -52,14 +52,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.edited_neighbours(table(spark, sf_dir, "documents")).withColumn("edited", simhash.edit(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "utf-8"), 256))
-    keys = ["slot", "place", "doc_id", "n_chars", "edited_sha256"]
-    kinds = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("text")) for kind, c in (("own", "text"), ("edited", "edited"), ("next", "next_text")))))
-    prints = simhash.fingerprints(rows.select(*keys, kinds.alias("k")).select(*keys, "k.kind", "k.text"), [*keys, "kind"])
-    halves = [F.max(F.when(F.col("kind") == kind, F.col(half))).alias(f"{kind}_{half}") for kind in ("own", "edited", "next") for half in ("high", "low")]
-    each = prints.groupBy(*keys).agg(*halves)
-    pair = lambda kind: (F.col(f"{kind}_high"), F.col(f"{kind}_low"))
+    each = simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    pair = lambda kind: (F.col(f"{kind}.high"), F.col(f"{kind}.low"))
     return each.select(
         "doc_id", "n_chars", "edited_sha256", simhash.as_text(*pair("own")).alias("fingerprint"), simhash.as_text(*pair("edited")).alias("edited_fingerprint"),
         simhash.likeness(*pair("own"), *pair("edited")).alias("near_edited"), simhash.likeness(*pair("own"), *pair("next")).alias("near_next"),
