@@ -3,9 +3,14 @@
 `plan_records` decides which pages are responses and which revisit an equal payload, `write_archives` writes one or
 more files per task into a folder that all executors share, `read_archives` reads them back and validates each record.
 
+A record's id holds the page's id and the payload's digest, so that a revisit can name the response to an equal payload without
+looking it up; the ids of all records but one of each payload end with a number of their own, so no two records share one. A url
+is read back as it was: where the target header can't hold it as it is, a header of our own does, with all but letters and digits
+escaped.
+
 Nulls: null html is an empty payload, a null url has no target header, a page without an id is written with the id
 "null" and read back as null; it is a response only where no equal payload has an id. Repeated rows that share the
-smallest id are each a response. Extra columns are left behind. An empty table gives no files and no rows.
+smallest id are each a response. Extra columns, whatever their names, are left behind. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, map_in_arrow, slices
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -52,30 +57,36 @@ def sha1_base32(data: bytes) -> str:
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, first_id): first_id is the smallest id among equal payloads, or null for a response.
+    """(page_id, url, html, first_id, serial): first_id is the smallest id among equal payloads, or null for a response; serial is null for one record of each payload.
 
     Payloads meet by digest. The smallest ids are aggregated before the shuffle; in the join that follows only the
     pages' side can be skewed, and adaptive execution splits it.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("serial", F.monotonically_increasing_id())
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("serial", F.struct(F.col("page_id").isNull(), "page_id", "serial")).alias("first_serial"))
     again = (F.octet_length("html") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "digest").select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("first_id"))
+    own = F.when(F.col("serial") != F.col("first_serial"), F.col("serial"))
+    return rows.join(first, "digest").select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("first_id"), own.alias("serial"))
+
+
+def record_id(page_id: int | None, digest: str, serial: int | None = None) -> str:
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{digest}{'' if serial is None else f':{serial}'}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first_id: int | None) -> bytes:
-    revisit = first_id is not None
+def record(page_id: int | None, url: str | None, payload: bytes, first_id: int | None, serial: int | None = None) -> bytes:
+    revisit, digest = first_id is not None, sha1_base32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:x-page:{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, serial)}", f"WARC-Date: {DATE}",
+        f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~' + chr(39))}")
+        target = quote(url, safe=":/?#[]@!$&()*+,;=%~" + chr(39), errors="surrogatepass")
+        head += [f"WARC-Target-URI: {target}"] + [f"X-Page-URL: {quote(url, safe='', errors='surrogatepass')}"] * (target != url)
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:x-page:{first_id}>"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(first_id, digest)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -97,7 +108,12 @@ def headers(data: bytes, what: str) -> tuple[str, dict[str, str], bytes]:
 def page_of(uri: str, what: str) -> int | None:
     if not (uri.startswith("<urn:x-page:") and uri.endswith(">")):
         raise BadRecord(f"{what}: {uri} isn't the id of a page")
-    return None if uri[12:-1] == "null" else int(uri[12:-1])
+    found = uri[12:-1].split(":")[0]
+    return None if found == "null" else int(found)
+
+
+def url_of(head: dict[str, str]) -> str | None:
+    return unquote(head["x-page-url"], errors="surrogatepass") if "x-page-url" in head else head.get("warc-target-uri")
 
 
 def parse(data: bytes) -> dict:
@@ -119,7 +135,7 @@ def parse(data: bytes) -> dict:
     elif kind != "revisit" or payload or "warc-refers-to" not in head:
         raise BadRecord(f"a {kind} record that isn't understood")
     return {
-        "page_id": page_of(head["warc-record-id"], "record"), "url": unquote(head["warc-target-uri"]) if "warc-target-uri" in head else None, "payload_bytes": size, "payload_digest": digest,
+        "page_id": page_of(head["warc-record-id"], "record"), "url": url_of(head), "payload_bytes": size, "payload_digest": digest,
         "record_type": kind, "refers_to": page_of(head["warc-refers-to"], "revisit") if kind == "revisit" else None, "payload": payload,
     }
 
@@ -221,15 +237,15 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
                 if writer is None:
                     name = f"{task.partitionId():06}-{uuid.uuid4().hex}.warc.zst"
                     writer = ArchiveWriter(fs.open_output_stream(f"{path}/{name}"))
-                page_id, url, html, first_id = row
-                writer.add(record(page_id, url, html.encode(), first_id))
+                page_id, url, html, first_id, serial = row
+                writer.add(record(page_id, url, html.encode(), first_id, serial))
                 if writer.size >= FILE_BYTES:
                     yield done()
                     writer = None
         if writer is not None:
             yield done()
 
-    return cut(planned.mapInArrow(run, "file string, records long, bytes long"), "archive-files")
+    return cut(map_in_arrow(planned, run, "file string, records long, bytes long"), "archive-files")
 
 
 def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -260,4 +276,4 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = False) -> Data
                     yield batch_of(found)
 
     # as many tasks as files: adaptive execution would join so few rows in one task
-    return files.select("file", "records").repartition(max(1, min(files.count(), MOST_TASKS)), "file").mapInArrow(run, schema)
+    return map_in_arrow(files.select("file", "records").repartition(max(1, min(files.count(), MOST_TASKS)), "file"), run, schema)
