@@ -183,6 +183,59 @@ def test_jobs(spark):
     assert jobs.submit(spark.range(5).select(F.raise_error(F.lit("no"))), lambda df: df.collect()).wait(60).status == "failed"
 
 
+def test_jobs_are_held_and_cancelled(spark):
+    steps = []
+    job = jobs.submit(spark.range(3), lambda df: steps.append(df.count()), lambda df: steps.append(df.count() + 1), paused=True)
+    job.wait(0.5)
+    assert not steps and job.status == "paused"
+    jobs.resume(job)
+    assert job.wait(60).status == "completed" and steps == [3, 4] and job.done == 2
+    slow = spark.range(8).repartition(8).select(F.call_function("java_method", F.lit("java.lang.Thread"), F.lit("sleep"), F.lit(60_000).cast("long")).alias("x"))
+    job = jobs.submit(slow, lambda df: df.collect(), paused=True)
+    jobs.cancel(slow, job)
+    assert job.wait(60).status == "cancelled" and job.done == 0
+
+
+def test_counts_of_nodes(spark):
+    df = spark.range(10).withColumnRenamed("id", "n")
+    doc = {"nodes": [{"id": "a", "type": "input"}, {"id": "f", "type": "filterRows", "config": {"expression": "12 / n > 2"}}], "edges": [{"from": "a", "to": "f"}]}
+    bound = Pipeline.parse(doc).bind({"a": df}, observe=True)
+    bound.output().count()
+    assert bound.counts("f") == {"rows_in": 10, "rows": 5} and bound.failed("f") == 1 and bound.failed("a") == 0
+
+
+def test_fills_scan_once(spark, tmp_path, capsys):
+    spark.createDataFrame([(1.0, None, "x"), (None, 4.0, ""), (3.0, 2.0, "x")], "a double, b double, c string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = apply("fillMissingValues", df, {"fills": {"a": None, "b": None}, "strategy": "mean"}).df
+    assert sorted(rows(got), key=str) == sorted([(1.0, 3.0, "x"), (2.0, 4.0, ""), (3.0, 2.0, "x")], key=str)
+    apply("fillMissingValues", df, {"fills": {"a": None, "b": None}, "strategy": "mean"}).df.explain("simple")
+    assert capsys.readouterr().out.count("FileScan parquet") == 2  # one for the rows, one for the means
+    assert [r.c for r in apply("fillMissingValues", df, {"fills": {"c": None}, "strategy": "mode"}).df.collect()] == ["x"] * 3
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", "1")], "k string, v string")
+    from weftflow.plans import profile as profiles
+
+    found = profiles.report(df, 2).collect()
+    assert [c["column"] for c in found["columns"]] == ["k", "v"] and len(found["sample"]) == 2 and len(found["warnings"]) == 2
+    near = {c["column"]: c["distinct_count"] for c in profiles.report(df, 2, approximate=True).collect()["columns"]}
+    assert near == {"k": 2, "v": 1}
+
+
+def test_file_streams(spark, tmp_path):
+    from weftflow.sources import files
+
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text('id,name\n1,"x, y"\n2,\n')
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('{"id": 1}\nbroken\n\n{"id": 2}\n')
+    for name, stream in (("c", files.stream_csv(spark, str(tmp_path / "csv"), ["id", "name"], preserve_empty=True)), ("j", files.stream_ndjson(spark, str(tmp_path / "json"), "id long"))):
+        stream.writeStream.format("memory").queryName(f"files_{name}").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination(120)
+    assert rows(spark.table("files_c")) == [("1", "x, y"), ("2", "")] and rows(spark.table("files_j")) == [(1,), (2,)]
+
+
 def test_streams(spark, tmp_path):
     spark.range(20).select(F.col("id").cast("string").alias("age")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("age string").parquet(str(tmp_path / "in"))

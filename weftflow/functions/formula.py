@@ -204,6 +204,7 @@ def first_filled(cols: list[Column], kind: str) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) if kind == "string" else c for c in cols))
 
 
+MOST_ARGUMENTS = 1 << 16
 #: name: (least and most arguments, function of the argument values); missing arguments up to the most are null where `fill` is set.
 FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "contains": (2, 2, scalar("boolean", F.contains, shown)),
@@ -212,18 +213,18 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "upper": (1, 1, scalar("string", F.upper, shown)),
     "lower": (1, 1, scalar("string", F.lower, shown)),
     "trim": (1, 1, scalar("string", coerce.strip, shown)),
-    "concat": (0, 99, lambda a: Value(F.concat(F.lit(""), *(shown(*v.pair()) for v in a)), "string", first_error(*a))),
+    "concat": (0, MOST_ARGUMENTS, lambda a: Value(F.concat(F.lit(""), *(shown(*v.pair()) for v in a)), "string", first_error(*a))),
     "length": (1, 1, scalar("double", lambda s: F.char_length(s).cast("double"), shown)),
     "len": (1, 1, scalar("double", lambda s: F.char_length(s).cast("double"), shown)),
     "replace": (3, 3, lambda a: Value(replaced(shown(*a[0].pair()), a[1], a[2]), "string", first_error(*a))),
     "substr": (2, 3, lambda a: Value(piece(shown(*a[0].pair()), number(*a[1].pair()), number(*a[2].pair()) if len(a) > 2 else None), "string", first_error(*a))),
     "round": (1, 2, lambda a: Value(rounded(number(*a[0].pair()), number(*a[1].pair()) if len(a) > 1 else F.lit(0.0)), "double", first_error(*a))),
     "abs": (1, 1, scalar("double", F.abs, number)),
-    "min": (1, 99, least_of(F.least)),
-    "max": (1, 99, least_of(F.greatest)),
+    "min": (1, MOST_ARGUMENTS, least_of(F.least)),
+    "max": (1, MOST_ARGUMENTS, least_of(F.greatest)),
     "isnull": (1, 1, lambda a: Value(a[0].col.isNull(), "boolean", first_error(*a))),
     "isempty": (1, 1, lambda a: Value(coerce.missing(*a[0].pair()), "boolean", first_error(*a))),
-    "coalesce": (0, 99, lambda a: merged(a, first_filled) if a else Value(F.lit(None), "null")),
+    "coalesce": (0, MOST_ARGUMENTS, lambda a: merged(a, first_filled) if a else Value(F.lit(None), "null")),
     "if": (2, 3, lambda a: choose([*a, Value(F.lit(None), "null")][:3])),
     "ifelse": (2, 3, lambda a: choose([*a, Value(F.lit(None), "null")][:3])),
     "now": (0, 0, lambda a: Value(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "string")),
@@ -305,7 +306,10 @@ def fold(node: ast.expr, df: DataFrame) -> Value:
 
 def compile(source: str, df: DataFrame) -> Value:  # noqa: A001
     """The value of a formula over the columns of `df`; names that it lacks are null."""
-    return fold(parse(source), df)
+    try:
+        return fold(parse(source), df)
+    except RecursionError:
+        raise FormulaError("the formula is nested too deeply") from None
 
 
 def validate(source: str, df: DataFrame | None = None) -> str | None:
@@ -324,4 +328,6 @@ def validate(source: str, df: DataFrame | None = None) -> str | None:
             fold(tree, df)
     except FormulaError as e:
         return str(e)
+    except RecursionError:
+        return "the formula is nested too deeply"
     return None

@@ -60,28 +60,38 @@ def type_cast(x: Inputs) -> Output:
     return Output(out, error_rows(df, F.coalesce(*messages)) if messages else None)
 
 
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of m0, m1, ...: the most frequent text of each column that isn't empty, of equally frequent ones the smallest, "" without any."""
+    texts = F.array(*(F.struct(F.lit(i).alias("i"), F.when(~coerce.missing(*field(df, c)), text(*field(df, c)).cast("string")).alias("v")) for i, c in enumerate(columns)))
+    counted = df.select(F.explode(texts).alias("p")).select("p.*").filter(F.col("v").isNotNull()).groupBy("i", "v").count()
+    best = counted.groupBy("i").agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("v"))
+    return best.agg(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col("v"))), F.lit("")).alias(f"m{i}") for i in range(len(columns))))
+
+
 @node("fillMissingValues")
 def fill_missing(x: Inputs) -> DataFrame:
     """Null and empty values of the columns in `fills`: the given value, or by `strategy` the column's mean or mode.
 
     The mean is of the values that are numbers, 0 without any; the mode is the most frequent text, of equal ones the smallest.
-    Both are scalar subqueries: one aggregation each, whose single value joins without a shuffle of the rows.
+    Whatever their number, one aggregation over the input gives all means or modes; its single row is broadcast.
     """
     df, strategy = x.main, x.get("strategy", str, "static")
-    for column, given in x.get("fills", dict, {}).items():
+    fills = x.get("fills", dict, {})
+    found = None
+    if fills and strategy == "mean":
+        found = df.agg(*(F.coalesce(F.avg(coerce.try_number(*field(df, c))), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(fills)))
+    elif fills and strategy == "mode":
+        found = modes(df, list(fills))
+    given = lambda v: (F.lit(v), "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "long" if isinstance(v, int) else "null" if v is None else "double")
+    values = {c: (F.col(f"found.m{i}"), "double" if strategy == "mean" else "string") if found is not None else given(v) for i, (c, v) in enumerate(fills.items())}
+    done: dict[str, Column] = {}
+    for column, value in values.items():
         c, kind = field(df, column)
-        empty = coerce.missing(c, kind)
-        if strategy == "mean":
-            value, value_kind = df.select(coerce.try_number(c, kind).alias("v")).agg(F.coalesce(F.avg("v"), F.lit(0.0))).scalar(), "double"
-        elif strategy == "mode":
-            counted = df.filter(~empty).groupBy(text(c, kind).cast("string").alias("v")).count()
-            best = counted.agg(F.coalesce(F.min_by("v", F.struct(-F.col("count"), F.col("v"))), F.lit("")))
-            value, value_kind = best.scalar(), "string"
-        else:
-            value, value_kind = F.lit(given), "string" if isinstance(given, str) else "boolean" if isinstance(given, bool) else "long" if isinstance(given, int) else "null" if given is None else "double"
-        (old, new), _ = coerce.same_kind([(c, kind), (value, value_kind)])
-        df = with_column(df, column, F.when(empty, new).otherwise(old))
-    return df
+        (old, new), _ = coerce.same_kind([(F.col(f"main.`{column}`") if found is not None and column in df.columns else c, kind), value])
+        done[column] = F.when(coerce.missing(F.col(f"main.`{column}`") if found is not None and column in df.columns else c, kind), new).otherwise(old)
+    rows = df if found is None else df.alias("main").crossJoin(F.broadcast(found.alias("found")))
+    own = lambda c: F.col(f"main.`{c}`") if found is not None else name(c)
+    return rows.select(*((done[c] if c in done else own(c)).alias(c) for c in df.columns), *(v.alias(c) for c, v in done.items() if c not in df.columns)) if done else df
 
 
 @node("generateColumn")

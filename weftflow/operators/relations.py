@@ -12,6 +12,8 @@ from ..functions.coerce import field, name, text
 from .base import AnalysisError, Inputs, node, place
 from .ordinal import with_ordinal
 
+#: Standard deviations by which a random sample is drawn too large before it is cut.
+SPARE = 7
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "cross": "cross"}
 
 
@@ -206,13 +208,20 @@ def sort(x: Inputs) -> DataFrame:
 
 @node("sampling")
 def sampling(x: Inputs) -> DataFrame:
-    """`size` rows: `first` by `orderBy`, `random` by `seed`, or `systematic`, each so many rows in that order. All where there are no more."""
+    """`size` rows: `first` by `orderBy`, `random` by `seed`, or `systematic`, each so many rows in that order. All where there are no more.
+
+    Random rows are those with the smallest of random numbers; numbers beyond one that so many rows hardly fail to reach are
+    left out beforehand, so the sort sees little more than `size` rows. They come in the order that the input has.
+    """
     size, method = int(x.get("size", (int, float), 0)), x.get("method", str) or "first"
     order = [name(k).asc_nulls_last() for k in x.get("orderBy", list, [])]
     if size <= 0:
         return x.main
     if method == "random":
-        return x.main.orderBy(F.rand(int(x.get("seed", (int, float), 0)))).limit(size)
+        n = x.main.agg(F.count(F.lit(1))).scalar()
+        rows = x.main.withColumn("__at", place(x)).withColumn("__r", F.rand(int(x.get("seed", (int, float), 0))))
+        few = rows.filter(F.col("__r") * n <= size + SPARE * size**0.5 + SPARE**2).orderBy("__r").limit(size)
+        return few.orderBy("__at").drop("__at", "__r")
     if method == "systematic":
         rows, n = with_ordinal(x.main, x.get("orderBy", list, []))
         if size >= n:

@@ -15,12 +15,16 @@ Action = Callable[[DataFrame], object]
 
 @dataclass
 class Job:
+    """Its results are those of its steps, the last one in `result`; it can be held before each step."""
+
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
-    status: str = "queued"  # then running, and completed, failed or cancelled
+    status: str = "queued"  # then running, paused between steps, and completed, failed or cancelled
     result: object = None
+    done: int = 0
     error: str = ""
     seconds: float = 0.0
     thread: threading.Thread | None = None
+    open: threading.Event = field(default_factory=threading.Event)
 
     def wait(self, timeout: float | None = None) -> Job:
         if self.thread:
@@ -28,18 +32,26 @@ class Job:
         return self
 
 
-def submit(df: DataFrame, action: Action) -> Job:
-    """Run `action(df)`, such as a write, in a thread of its own."""
+def submit(df: DataFrame, *actions: Action, paused: bool = False) -> Job:
+    """Run `action(df)`, such as a write, for each action, in a thread of its own; with `paused` it waits for `resume`."""
     spark, job = df.sparkSession, Job()
+    if not paused:
+        job.open.set()
 
     def run() -> None:
         began = time.time()
         spark.addTag(job.id)
-        job.status = "running" if job.status == "queued" else job.status
         try:
-            if job.status == "running":
+            for action in actions:
+                if not job.open.is_set() and job.status != "cancelled":
+                    job.status = "paused"
+                job.open.wait()
+                if job.status == "cancelled":
+                    return
+                job.status = "running"
                 job.result = action(df)
-                job.status = "completed"
+                job.done += 1
+            job.status = "completed"
         except Exception as e:  # noqa: BLE001  what the job met is told by its status
             job.status, job.error = ("cancelled" if job.status == "cancelled" else "failed"), str(e)
         finally:
@@ -51,7 +63,17 @@ def submit(df: DataFrame, action: Action) -> Job:
     return job
 
 
+def pause(job: Job) -> None:
+    """Hold the job before its next step; Spark can't hold one that runs."""
+    job.open.clear()
+
+
+def resume(job: Job) -> None:
+    job.open.set()
+
+
 def cancel(df: DataFrame, job: Job) -> None:
-    if job.status in ("queued", "running"):
+    if job.status in ("queued", "running", "paused"):
         job.status = "cancelled"
+        job.open.set()
         df.sparkSession.interruptTag(job.id)

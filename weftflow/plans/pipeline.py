@@ -1,7 +1,8 @@
 """Pipeline documents: a graph of nodes, bound to one lazy DataFrame for each node.
 
-A document has `nodes` (id, type, config, onError, disabled) and `edges` (from, to, toPort, fromPort). Binding runs nothing:
-Catalyst sees the whole graph as one plan for each result that is asked for. Several edges into one port are united by
+A document has `nodes` (id, type, config, onError, disabled) and `edges` (from, to, toPort, fromPort). Binding is lazy, and
+Catalyst sees the whole graph as one plan for each result that is asked for, but for what needs to see rows beforehand: a
+systematic sample numbers its input, a pivot without `values` and a map that is flattened look for their columns. Several edges into one port are united by
 column name. An edge from the port `errors` carries the rows that failed in a node, with their messages.
 """
 
@@ -58,6 +59,14 @@ class Result:
     def metrics(self, node: str) -> dict[str, int]:
         return self.observed[node].get
 
+    def counts(self, node: str) -> dict[str, int]:
+        """The rows that came into a node (`rows_in`) and went out (`rows`), once an action has run over an observed pipeline."""
+        return {k: v for name in (f"{node}.in", node) if name in self.observed for k, v in self.observed[name].get.items()}
+
+    def failed(self, node: str) -> int:
+        """The number of rows that failed in a node; runs a job."""
+        return self.errors[node].count() if node in self.errors else 0
+
 
 @dataclass
 class Pipeline:
@@ -126,6 +135,11 @@ class Pipeline:
                 out = Output(sources[n.id])
             elif main is None:
                 raise AnalysisError(f"{n.id} has no input")
+            elif observe and not main.isStreaming:
+                done.observed[f"{n.id}.in"] = seen = Observation(f"{n.id}.in")
+                main = main.observe(seen, F.count(F.lit(1)).alias("rows_in"))
+            if n.type == "input":
+                pass
             elif n.type == "output" or n.disabled:
                 out = Output(main)
             else:

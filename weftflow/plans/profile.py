@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field as field_
 
 from pyspark.sql import Column, DataFrame
@@ -37,23 +38,26 @@ def pattern_of(value: Column) -> Column:
     return F.when(F.octet_length(value) <= PATTERN_BYTES, F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[a-zA-Z]", "A"))
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """A row for each column: inferred type, counts and rates of nulls, distinct values and repeats, least and greatest value, mean bytes, most frequent format.
 
     Values are texts; white space alone counts as null. Each different value of a column is counted once, before the
     shuffle where it can be; all else is an aggregation over those counts. Ties fall to the first type and the smallest pattern.
+    With `approximate` the numbers of distinct values come from sketches, and only formats are shuffled, not values: for tables with
+    columns of many different values.
     """
     pairs = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(c).alias("column"), text(*field(df, c)).cast("string").alias("value")) for i, c in enumerate(df.columns)))
     each = df.select(F.explode(pairs).alias("p")).select("p.*")
     blank = F.coalesce(coerce.strip(F.col("value")) == "", F.lit(True))
-    counted = each.groupBy("at", "column", F.when(~blank, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    whole = each.select("at", "column", F.when(~blank, F.col("value")).alias("value"), F.lit(1).cast("long").alias("n"))
+    counted = whole if approximate else whole.groupBy("at", "column", "value").agg(F.count(F.lit(1)).alias("n"))
     there = F.col("value").isNotNull()
     kinds = [F.sum(F.when(there & (F.col("type") == t), F.col("n")).otherwise(0)).alias(f"t_{t}") for t in CLASSES]
     number = coerce.parse(F.col("value"))
     typed = counted.withColumn("type", type_of(F.col("value"))).withColumn("pattern", pattern_of(F.col("value")))
     per_pattern = typed.groupBy("at", "column", "pattern").agg(
         F.sum("n").alias("rows"), F.sum(F.when(~there, F.col("n")).otherwise(0)).alias("nulls"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("pn"),
-        F.sum(there.cast("long")).alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(number).alias("low_n"), F.max(number).alias("high_n"),
+        (F.approx_count_distinct("value", 0.01) if approximate else F.sum(there.cast("long"))).alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(number).alias("low_n"), F.max(number).alias("high_n"),
         F.sum(F.octet_length("value") * F.col("n")).alias("bytes"), *kinds,
     )
     total = per_pattern.groupBy("at", "column").agg(
@@ -79,6 +83,29 @@ def sample_values(df: DataFrame, column: str, n: int = 8) -> DataFrame:
     return df.filter(~F.coalesce(coerce.strip(value) == "", F.lit(True))).select(value.alias("value")).limit(n)
 
 
+@dataclass
+class Report:
+    """What one call tells of a table: its columns, its first rows, warnings, and the seconds that `collect` took."""
+
+    columns: DataFrame
+    sample: DataFrame
+    warnings: DataFrame
+    seconds: float = 0.0
+
+    def collect(self) -> dict[str, list[dict]]:
+        began = time.time()
+        found = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in (("columns", self.columns), ("sample", self.sample), ("warnings", self.warnings))}
+        self.seconds = time.time() - began
+        return found
+
+
+def report(df: DataFrame, rows: int = 8, approximate: bool = False) -> Report:
+    """Profile, sample and warnings (columns that are mostly null, rows that repeat) of a table; nothing runs before `collect` or an action on a part."""
+    columns = profile(df, approximate)
+    empty = columns.filter("null_rate > 0.5").select(F.format_string("column %s: %.1f%% of the values are missing", F.col("column"), F.col("null_rate") * 100).alias("warning"))
+    return Report(columns, df.limit(rows), empty.unionAll(repeated_rows(df).select("warning").filter("warning is not null")))
+
+
 def repeated_rows(df: DataFrame) -> DataFrame:
     """(rows, repeats, warning): how many rows repeat another one; the warning stands from one in a hundred on."""
     hashed = df.groupBy(*(name(c) for c in df.columns)).agg(F.count(F.lit(1)).alias("__n"))
@@ -146,6 +173,7 @@ def severity(share: Column) -> Column:
     return F.when(share >= 0.25, "critical").when(share >= 0.05, "warning").otherwise("info")
 
 
+# The wording of messages, here and of the warning in repeated_rows.
 def issues(columns: DataFrame, expected: list[Expected]) -> DataFrame:
     """(column, dimension, message, severity, affected_pct): broken rules, missing values, values of another type, repeats in unique columns."""
     per = []

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import extras
 from .plans import profile as profiles
+from .functions.coerce import name as column
+from .operators.shared import work_dir
 from .plans.pipeline import run
-from .sources.exports import export_lines
+from .sources import files
+from .sources.exports import export_lines, write
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -288,3 +291,71 @@ QUERIES["operating_hours"] = open_hours
 ORACLE_SQL["operating_hours"] = """SELECT event_id, (isodow(ts) = 1 AND hour(ts) * 60 + minute(ts) >= 540 AND hour(ts) * 60 + minute(ts) < 1020) OR (isodow(ts) = 6 AND hour(ts) * 60 + minute(ts) >= 600 AND hour(ts) * 60 + minute(ts) < 720) AS "open" FROM events"""
 QUERIES["expected_seconds"] = lambda spark, sf_dir: extras.expected_seconds(table(spark, sf_dir, "events"), "event_type", "ts", "value").withColumn("expected_seconds", F.round("expected_seconds", 4))
 ORACLE_SQL["expected_seconds"] = "SELECT event_type, round(avg(value), 4) AS expected_seconds FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) <= 10) GROUP BY event_type"
+
+
+# Sources: what is written is read back
+def read_back(name: str, source: str, columns: list[str], save: Callable[[DataFrame, str], None], load: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{work_dir(spark, name)}/{name}"
+        save(table(spark, sf_dir, source).select(*columns), path)
+        return load(spark, path)
+
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
+def spelled(*columns_: str) -> str:
+    return ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns_)
+
+
+one_file = lambda df: df.coalesce(1)
+read_back("source_csv", "nation", ["n_nationkey", "n_name", "n_regionkey"], lambda df, path: write(one_file(df), path, "csv"), lambda spark, path: files.read_csv(spark, path), f"SELECT {spelled('n_nationkey', 'n_name', 'n_regionkey')} FROM nation")
+read_back("source_csv_quoted", "documents", ["doc_id", "text"], lambda df, path: df.write.csv(path, header=True, escape='"', quoteAll=True, lineSep="\n"), lambda spark, path: files.read_csv(spark, path).withColumn("text", F.sha2("text", 256)), "SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS text FROM documents")
+read_back("source_tsv_detected", "customer", ["c_custkey", "c_name", "c_mktsegment"], lambda df, path: one_file(df).write.csv(path, header=True, sep="\t"), lambda spark, path: files.read(spark, path, "csv"), f"SELECT {spelled('c_custkey', 'c_name', 'c_mktsegment')} FROM customer")
+read_back("source_csv_headerless", "supplier", ["s_suppkey", "s_name"], lambda df, path: df.write.csv(path, sep="|"), lambda spark, path: files.read_csv(spark, path, delimiter="|", header=False), "SELECT CAST(s_suppkey AS VARCHAR) AS column_1, s_name AS column_2 FROM supplier")
+read_back("source_ndjson", "events", ["event_id", "event_type", "value"], lambda df, path: df.write.json(path), lambda spark, path: files.read_ndjson(spark, path, "event_id long, event_type string, value double"), "SELECT event_id, event_type, value FROM events")
+read_back("source_json_envelope", "nation", ["n_nationkey", "n_name"], lambda df, path: one_file(df.agg(F.collect_list(F.struct(*map(column, df.columns))).alias("items"), F.count(F.lit(1)).alias("count"))).write.json(path), lambda spark, path: files.read_json(spark, path), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+read_back("source_json_array", "region", ["r_regionkey", "r_name"], lambda df, path: one_file(export_lines(df, "json")).write.text(path), lambda spark, path: files.read_json(spark, path, "r_regionkey long, r_name string"), "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+read_back("source_orc", "part", ["p_partkey", "p_name", "p_retailprice"], lambda df, path: df.write.orc(path + ".orc"), lambda spark, path: files.read(spark, path + ".orc"), "SELECT p_partkey, p_name, p_retailprice FROM part")
+
+
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats told from names and first lines."""
+    cases = [("x.csv", "a,b"), ("x.tsv", "a\tb"), ("x.json", "[1]"), ("x.ndjson", '{"a": 1}'), ("x.jsonl", "{}"), ("x.txt", "a;b"), ("x", '{"a": 1}\n{"a": 2}'), ("x", "[1, 2]"), ("x", "a|b\n1|2"), ("x.parquet", ""), ("x.orc", "")]
+    return spark.createDataFrame([(i, files.detect_format(p, t.split("\n")), files.detect_delimiter(t.split("\n"))) for i, (p, t) in enumerate(cases)], "i long, format string, delimiter string")
+
+
+QUERIES["source_detection"] = detected
+ORACLE_SQL["source_detection"] = "SELECT CAST(i AS BIGINT) AS i, format, delimiter FROM (VALUES (0, 'csv', ','), (1, 'csv', chr(9)), (2, 'json', ','), (3, 'ndjson', ','), (4, 'ndjson', ','), (5, 'csv', ';'), (6, 'ndjson', ','), (7, 'json', ','), (8, 'csv', '|'), (9, 'parquet', ','), (10, 'orc', ',')) t(i, format, delimiter)"
+
+# What had no query: `<=`, now, random samples by content, issues, sample values
+add("filter_at_most", "lineitem", [("filterRows", {"expression": "l_quantity <= 10 && l_tax <= l_discount"}), select("l_orderkey", "l_partkey", "l_linenumber")], "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_quantity <= 10 AND l_tax <= l_discount")
+add("formula_now", "region", [gen("y", "year(substr(now(), 0, 10)) >= 2024"), gen("n", "len(substr(now(), 0, 10))"), select("r_regionkey", "y", "n")], "SELECT r_regionkey, true AS y, 10.0::DOUBLE AS n FROM region")
+add("fill_several", "customer", [gen("a", NULLED[0]), gen("b", "if(c_custkey % 3 == 0, nothing, c_custkey)"), ("fillMissingValues", {"fills": {"a": None, "b": None}, "strategy": "mean"}), select("c_custkey", "a", "b")],
+    f"WITH x AS (SELECT c_custkey, {NULLED[1]} AS a, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS b FROM customer) SELECT c_custkey, round(coalesce(a, (SELECT avg(a) FROM x)), 4) AS a, round(coalesce(b, (SELECT avg(b) FROM x)), 4) AS b FROM x", rounding(a=4, b=4))
+
+
+def sample_random_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a random sample: its size, its different keys, those that the table has with equal values, and whether it keeps the table's order."""
+    orders = table(spark, sf_dir, "orders")
+    one = run(chain(("sampling", {"size": 400, "method": "random", "seed": 3})), {"in": orders})
+    known = one.withColumn("at", F.monotonically_increasing_id()).join(orders.withColumnRenamed("o_totalprice", "p"), "o_orderkey")
+    return known.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum((F.col("o_totalprice") == F.col("p")).cast("long")).alias("equal"), (F.corr("at", "o_orderkey") > 0.5).alias("in_order"))
+
+
+QUERIES["sample_random_rows"] = sample_random_rows
+ORACLE_SQL["sample_random_rows"] = "SELECT least(count(*), 400) AS n, least(count(*), 400) AS keys, CAST(least(count(*), 400) AS BIGINT) AS equal, true AS in_order FROM orders"
+
+
+def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.issues(profiles.quality(defective(spark, sf_dir), EXPECTED), EXPECTED).withColumn("affected_pct", F.round("affected_pct", 4))
+
+
+QUERIES["quality_issues"] = quality_issues
+ORACLE_SQL["quality_issues"] = QUALITY_SQL.rstrip().removesuffix("\n") + """,
+i AS (SELECT 'size' AS "column", 'accuracy' AS dimension, CAST(lo AS BIGINT) AS n, f AS total, ' values violate constraint min 5' AS said FROM c
+  UNION ALL SELECT 'size', 'accuracy', hi, f, ' values violate constraint max 45' FROM c UNION ALL SELECT 'size', 'completeness', t - f, t, ' missing values' FROM c
+  UNION ALL SELECT 'size', 'validity', bad, f, ' values don''t match inferred type integer' FROM c UNION ALL SELECT 'p_brand', 'accuracy', brands, t, ' values violate constraint enum Brand#1, Brand#2, Brand#3' FROM c
+  UNION ALL SELECT 'p_name', 'uniqueness', t - names, t, ' duplicate values in a column marked unique' FROM c)
+SELECT "column", dimension, n || said AS message, CASE WHEN n / total >= 0.25 THEN 'critical' WHEN n / total >= 0.05 THEN 'warning' ELSE 'info' END AS severity, round(100 * n / total, 4) AS affected_pct FROM i WHERE n > 0"""
+QUERIES["sample_values"] = lambda spark, sf_dir: profiles.sample_values(table(spark, sf_dir, "region"), "r_name", 10)
+ORACLE_SQL["sample_values"] = "SELECT r_name AS value FROM region"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import name
 
+#: Delimiters that are tried, in order.
 DELIMITERS = (",", "\t", ";", "|")
 #: Fields under which a JSON document may keep its rows, in order.
 ENVELOPES = ("data", "items", "results", "rows", "records")
@@ -84,9 +85,13 @@ def unwrap(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents, one for each file: arrays give their items, objects their envelope or themselves, scalars a column `value`."""
-    df = spark.read.option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """JSON documents, one for each file: arrays give their items, objects their envelope or themselves, scalars a column `value`.
+
+    A `schema` of the documents, with their envelope if they have one, saves the pass over all data that infers it.
+    """
+    reader = spark.read.option("multiLine", True)
+    df = (reader.schema(schema) if schema else reader).json(path)
     if df.columns == ["_corrupt_record"]:  # scalars
         whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
         array = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
@@ -94,9 +99,24 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return unwrap(df)
 
 
-def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each line; blank and malformed lines are passed over."""
-    return spark.read.option("mode", "DROPMALFORMED").json(path)
+def read_ndjson(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A row for each line; blank and malformed lines are passed over. A `schema` saves the pass that infers it, and files of other fields are read alike."""
+    reader = spark.read.option("mode", "DROPMALFORMED")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def stream_csv(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", header: bool = True, preserve_empty: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the files that arrive in a folder, as `read_csv` reads them; the columns are named beforehand, one record stands on each line."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    reader = spark.readStream.schema(schema).option("header", header).option("sep", delimiter).option("escape", '"').option("mode", "PERMISSIVE")
+    rows = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).csv(path)
+    return rows.select(*(F.coalesce(name(c), F.lit("")).alias(c) for c in columns)) if preserve_empty else rows
+
+
+def stream_ndjson(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the JSON lines that arrive in a folder; blank and malformed lines are passed over."""
+    reader = spark.readStream.schema(schema).option("mode", "DROPMALFORMED")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

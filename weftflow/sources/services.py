@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.shared import cut
 from .files import ENVELOPES
 
 TIMEOUT_S, MOST_BYTES = 30, 256 << 20
@@ -98,14 +100,16 @@ class RestSource(DataSource):
 
 
 def read_rest(spark: SparkSession, request: Request, schema: str | None = None) -> DataFrame:
-    """The items of the answers; without a schema it is taken from the first one."""
+    """The items of the answers. Without a schema it is taken from all of them, which are written to the shared folder first, so that no request is made twice."""
     spark.dataSource.register(RestSource)
     rows = spark.read.format("rest").option("request", json.dumps(request.__dict__)).load()
     if schema is None:
-        first = rows.first()
-        if first is None:
+        rows = cut(rows, "rest")
+        found = rows.select(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0]
+        if not found or not found.startswith("OBJECT<"):
             return rows
-        schema = spark.range(1).select(F.schema_of_json(F.lit(first[0]))).first()[0]
+        # what variants tell of themselves, as types of columns
+        schema = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING"))
     return rows.select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
