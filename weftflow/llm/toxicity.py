@@ -60,7 +60,7 @@ LENGTHS, LENGTH_STEP, SAVINGS = 16, 4, 24
 #: Least hashes by which near copies are told.
 SKETCHES = 4
 #: Documents that hold a window of a cell at least; those of rarer cells are judged by the saving alone.
-LEAST_SEEN = 8
+LEAST_SEEN = 64
 
 
 def words(text: str) -> list[str]:
