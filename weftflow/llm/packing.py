@@ -36,7 +36,7 @@ END_ID = 2
 GROUP_DOCS = 2048
 #: Bytes of text at which a group is closed early, so that long texts don't fill a worker.
 GROUP_BYTES = 8 << 20
-#: Words whose ids a task keeps from one group to the next, beyond those of the last group.
+#: Words whose ids a worker keeps from one group to the next, beyond those of the last group.
 KEPT_WORDS = 150_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -111,6 +111,11 @@ def tokenizer_of(vocabulary: str, added_ids: bool) -> Tokenizer:
     return tokenizer
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids(vocabulary: str, added_ids: bool) -> WordIds:
+    return WordIds(tokenizer_of(vocabulary, added_ids))
+
+
 class RoomTree:
     """A tournament tree over bins; a node holds the most room of the bins below it."""
 
@@ -201,7 +206,7 @@ def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.j
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_of(vocabulary, added_ids))  # goes with the task
+        words = word_ids(vocabulary, added_ids)
         sequence = TaskContext.get().partitionId() << 40
 
         def packed(docs: list, texts: list[str]) -> pa.RecordBatch:
