@@ -36,8 +36,10 @@ END_ID = 2
 GROUP_DOCS = 2048
 #: Bytes of text at which a group is closed early, so that long texts don't fill a worker.
 GROUP_BYTES = 8 << 20
-#: Words whose ids a worker keeps from one group to the next, beyond those of the last group.
-KEPT_WORDS = 150_000
+#: Bytes of text whose words are held at once.
+BLOCK_BYTES = 2 << 20
+#: Words whose ids a worker keeps from one block to the next, beyond those of the last block.
+KEPT_WORDS = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -85,8 +87,9 @@ class WordIds(dict):
             self.clear()
             self.update(last)
         new = [w for w in words if w not in self]
-        plain = [w for w in new if w.isalpha()]
-        self.update((w, self.ids(w)) for w in new if not w.isalpha())
+        plain, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self[word] = np.array(got.ids, "<u4").tobytes()
         blocks = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         encoded = self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
         for block, got in zip(blocks, encoded, strict=True):
@@ -101,6 +104,11 @@ class WordIds(dict):
         data = words if isinstance(words, bytes) else b"".join(map(self.__getitem__, words))
         return np.frombuffer(data + np.array([end_id], "<u4").tobytes(), "<u4")
 
+    def encode_texts(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        pieces = [self.words(t) for t in texts]
+        self.learn(set().union(*(p for p in pieces if isinstance(p, list))))
+        return [self.encode(p, end_id) for p in pieces]
+
 
 @functools.lru_cache(maxsize=2)
 def tokenizer_of(vocabulary: str, added_ids: bool) -> Tokenizer:
@@ -209,27 +217,29 @@ def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.j
         words = word_ids(vocabulary, added_ids)
         sequence = TaskContext.get().partitionId() << 40
 
-        def packed(docs: list, texts: list[str]) -> pa.RecordBatch:
+        def packed(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal sequence
-            pieces = [words.words(t) for t in texts]
-            words.learn(set().union(*(p for p in pieces if isinstance(p, list))))
-            ids = [words.encode(p, end_id) for p in pieces]
             out = pd.DataFrame([(docs[d], start, n, zlib.crc32(ids[d][start : start + n]), len(ids[d]), sequence + s, at) for d, start, n, s, at in pack_group([len(x) for x in ids], size)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
             sequence += int(out["sequence_id"].max() - sequence) + 1
             out["doc_id"] = out["doc_id"].astype("Int64")
             return pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-        docs, texts, held = [], [], 0
+        # a group's words would take ten times its ids' memory, so texts are encoded a block at a time
+        docs, ids, texts, held, block = [], [], [], 0, 0
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(doc)
                 texts.append(text or "")
-                held += len(texts[-1])
-                if len(docs) >= group_docs or held >= GROUP_BYTES:
-                    yield packed(docs, texts)
-                    docs, texts, held = [], [], 0
+                held, block = held + len(texts[-1]), block + len(texts[-1])
+                full = len(docs) >= group_docs or held >= GROUP_BYTES
+                if full or block >= BLOCK_BYTES:
+                    ids += words.encode_texts(texts, end_id)
+                    texts, block = [], 0
+                if full:
+                    yield packed(docs, ids)
+                    docs, ids, held = [], [], 0
         if docs:
-            yield packed(docs, texts)
+            yield packed(docs, ids + words.encode_texts(texts, end_id))
 
     # rows that repeat, as those without id and text, are told apart by where they stand; equal rows are packed alike wherever they go
     dealt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
