@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, html_main, jaccard, packing, quality, simhash, toxicity, warc, wordpiece
+from . import align, bpe, hnsw, html_main, jaccard, packing, quality, simhash, toxicity, warc, wordpiece
 from .common import held_out, table, work_dir
 
 GOOD, TOXIC = 0.7, 0.3
@@ -69,8 +69,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), added_ids=True)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"), keep=lambda groups: F.sha2(groups, 256))
+    return found.select("doc_id", *align.COUNTS, F.coalesce("groups", F.lit("")).alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_neighbours, op5_warc, op6_toxicity, op7_bpe, op8_fingerprints, op9_main_text, op10_packing)
+    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_neighbours, op5_warc, op6_toxicity, op7_bpe, op8_fingerprints, op9_main_text, op10_packing, op11_alignment)
 }
 
 ORACLE_SQL = {
