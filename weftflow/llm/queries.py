@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, hnsw, html_main, jaccard, packing, quality, simhash, toxicity, warc, wordpiece
+from . import align, bpe, divergence, hnsw, html_main, jaccard, packing, quality, simhash, toxicity, warc, wordpiece
 from .common import held_out, table, work_dir
 
 GOOD, TOXIC = 0.7, 0.3
@@ -74,8 +74,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *align.COUNTS, F.coalesce("groups", F.lit("")).alias("groups_sha256"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_neighbours, op5_warc, op6_toxicity, op7_bpe, op8_fingerprints, op9_main_text, op10_packing, op11_alignment)
+    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_neighbours, op5_warc, op6_toxicity, op7_bpe, op8_fingerprints, op9_main_text, op10_packing, op11_alignment, op12_divergence)
 }
 
 ORACLE_SQL = {
@@ -106,4 +110,25 @@ SELECT page_id, payload_bytes,
     1 + 16 * CAST(substr(z, i, 1) AS INT) + 8 * CAST(substr(z, i + 1, 1) AS INT) + 4 * CAST(substr(z, i + 2, 1) AS INT) + 2 * CAST(substr(z, i + 3, 1) AS INT) + CAST(substr(z, i + 4, 1) AS INT), 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM bits""",
+    "op12_divergence": """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+occ AS (SELECT id, lang, source, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t FROM occ GROUP BY lang, t HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, t, count(*) AS n FROM occ JOIN kept USING (lang, t) GROUP BY lang, source, t),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM groups g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+whole AS (SELECT lang, t, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM c GROUP BY lang, t),
+p AS (
+  SELECT k.lang, o.source, k.t, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * CAST(coalesce(c.n, 0) + 1 AS HUGEINT) // CAST(o.n + v.v AS HUGEINT) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * CAST(w.n + 1 AS HUGEINT) // CAST(w.total + v.v AS HUGEINT) AS q
+  FROM kept k JOIN totals o USING (lang) JOIN v USING (lang) JOIN whole w ON w.lang = k.lang AND w.t = k.t LEFT JOIN c ON c.lang = k.lang AND c.source = o.source AND c.t = k.t),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+marks AS (SELECT lang, source, t AS item, (p - q) * (p - q) // q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // q DESC, t) AS rank FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(rank AS INT) FROM marks WHERE rank <= 200""",
 }
