@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, divergence, hnsw, html_main, jaccard, packing, quality, simhash, toxicity, warc, wordpiece
+from . import align, bpe, divergence, hnsw, html_main, jaccard, packing, pii, quality, simhash, toxicity, warc, wordpiece
 from .common import held_out, table, work_dir
 
 GOOD, TOXIC = 0.7, 0.3
@@ -78,8 +78,14 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    return found.select("doc_id", *(pii.count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_neighbours, op5_warc, op6_toxicity, op7_bpe, op8_fingerprints, op9_main_text, op10_packing, op11_alignment, op12_divergence)
+    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_neighbours, op5_warc, op6_toxicity, op7_bpe, op8_fingerprints, op9_main_text, op10_packing, op11_alignment, op12_divergence, op13_personal_data)
 }
 
 ORACLE_SQL = {
