@@ -7,20 +7,21 @@ behind another character, which is checked when the model is loaded), so both si
 unit, and what holds for a text is what holds for its units, one after the other. So each different unit is tokenised and
 aligned once, with its number of occurrences, and documents are put together from their units by a join.
 
-Tables of different units, of links and of documents are relational throughout: exploded tokens with positions, windowed
-sums of lengths for their ends, an equi-join on unit and end for links, a running count of cuts for group numbers.
+Units are aligned by relations alone: exploded tokens with positions, windowed sums of lengths for their ends, an equi-join
+on unit and end, whose matches are cuts and links, a running count of cuts for group numbers, joins of links with corpus-wide counts.
+Documents are put together from their units in Arrow, block by block.
 
 Nulls: a null or empty text has no tokens, and neither has one whose bytes B doesn't give back (it holds U+2581). Repeated rows and
 ids, null ids included, are documents each. Extra columns, whatever their names, are left behind. An empty table gives no rows.
 A unit may be as long as a text without spaces; it is one row. Blocks of about BLOCK_UNITS units have a dictionary each,
-so that exploded documents aren't shuffled and a frequent unit stands once in each block.
+so that documents are shuffled as arrays, and a frequent unit stands once in each block.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import cut, drop, map_in_arrow, settings
+from .common import cut, drop, map_in_arrow, settings, slices
 
 #: Where units begin: a single space between characters that are surely neither white space nor controls.
-BETWEEN = r"(?<=[\p{L}\p{N}!-~])(?= [\p{L}\p{N}!-~])"
+BETWEEN = r"(?= [\p{L}\p{N}!-~])(?<=[\p{L}\p{N}!-~])"
 #: Units of a block of documents, about.
 BLOCK_UNITS = 2_000_000
 #: Parts into which links of a frequent pair of ids are dealt.
-SALTS = 16
+SALTS = 4
 SPACE = "▁"
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -105,7 +106,7 @@ def tokenise(found: DataFrame, a_file: str, b_file: str) -> DataFrame:
         a_sizes, b_sizes = (np.array([len(x) for x in side], "i4") for side in (a_bytes, b_bytes))
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            left = [x.ids for x in a.encode_batch(texts, add_special_tokens=False)]
+            left = [x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)]
             right = b.encode([t[1:] for t in texts], num_threads=1) if texts else []
             whole = [t.encode() for t in texts]
             same = [b"".join([a_bytes[i] for i in x]) == w == b"".join([b_bytes[i] for i in y]) for w, x, y in zip(whole, left, right, strict=True)]
@@ -115,18 +116,28 @@ def tokenise(found: DataFrame, a_file: str, b_file: str) -> DataFrame:
     return map_in_arrow(found.select("unit", "times"), run, f"unit string, times long, same boolean, a {token}, b {token}")
 
 
-def placed(held: DataFrame) -> DataFrame:
-    """(uid, times, kind, pos, id, end): a row for each token, A's with kind 0 and B's with kind 1, and the offset where it ends."""
-    each = [held.select("uid", "times", F.lit(k).alias("kind"), F.posexplode(c).alias("pos", "t")).select("uid", "times", "kind", "pos", "t.id", "t.size") for k, c in enumerate("ab")]
+def ends(held: DataFrame) -> DataFrame:
+    """(uid, times, end, a, b): a row for each offset where a token of A, of B or of both ends, with their ids."""
     along = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each[0].withColumn("end", F.sum("size").over(along)).unionAll(each[1].withColumn("end", F.sum("size").over(along))).drop("size")
-
-
-def linked(tokens: DataFrame) -> DataFrame:
-    """(uid, times, end, a, b): the occurrences of a token of A and one of B that end together."""
-    a = tokens.filter("kind = 0").select("uid", "times", "end", F.col("id").alias("a"))
-    b = tokens.filter("kind = 1").select("uid", "end", F.col("id").alias("b"))
-    return a.join(b, ["uid", "end"])
+    sides = [held.select("uid", "times", F.posexplode(c).alias("pos", "t")).select("uid", "times", F.sum("t.size").over(along).alias("end"), F.col("t.id").alias(c)) for c in "ab"]
+    return sides[0].join(sides[1].drop("times"), ["uid", "end"], "full")
+
+
+def grouped(found: DataFrame) -> DataFrame:
+    """(uid, times, n_a, n_b, n_groups, groups, links) of each unit: groups as text `a1,a2|b1;a3|b2`, links as an array of (a, b)."""
+    cuts = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
+    before = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = found.withColumn("grp", F.coalesce(F.sum(cuts).over(before), F.lit(0).cast("long")))
+    side = lambda k, c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("grp", F.lit(k).alias("kind"), "end", F.col(c).alias("id"))))
+    links = F.collect_list(F.when(cuts == 1, F.struct("a", "b")))
+    per = numbered.groupBy("uid").agg(
+        F.max("times").alias("times"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.sum(cuts).alias("n_groups"),
+        F.sort_array(F.concat(side(0, "a"), side(1, "b"))).alias("t"), links.alias("links"),
+    )
+    last = lambda i: F.get("t", i - 1)
+    sign = lambda x, i: F.when(i == 0, "").when(last(i)["grp"] < x["grp"], ";").when(last(i)["kind"] < x["kind"], "|").otherwise(",")
+    text = F.array_join(F.transform("t", lambda x, i: F.concat(sign(x, i), x["id"].cast("string"))), "")
+    return per.select("uid", "times", "n_a", "n_b", "n_groups", text.alias("groups"), "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -136,40 +147,34 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return counts.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best"))
 
 
-def grouped(tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, groups): the tokens between cuts as text `a1,a2|b1;a3|b2`."""
-    marks = links.select("uid", "times", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit(0).alias("id"), "end")
-    before = Window.partitionBy("uid").orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
-    numbered = tokens.unionAll(marks).withColumn("grp", F.coalesce(F.sum((F.col("kind") == 2).cast("long")).over(before), F.lit(0))).filter("kind < 2")
-    per = numbered.groupBy("uid", "grp").agg(F.sort_array(F.collect_list(F.struct("kind", "pos", "id"))).alias("t"))
-    ids = lambda k: F.array_join(F.transform(F.filter("t", lambda x: x["kind"] == k), lambda x: x["id"].cast("string")), ",")
-    size = lambda k: F.size(F.filter("t", lambda x: x["kind"] == k))
-    texts = per.select("uid", "grp", F.concat(ids(0), F.lit("|"), ids(1)).alias("g"), size(0).alias("na"), size(1).alias("nb"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", "g"))), lambda x: x["g"]), ";")
-    return texts.groupBy("uid").agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), joined.alias("groups"))
-
-
-def aligned_units(different: DataFrame, parts: int) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of a stored table of units as `tokenise` gives them, with a `uid`."""
-    tokens = placed(different.filter("same").repartition(parts, "uid"))
-    links = linked(tokens)
-    found = cut(links.select("uid", "times", "a", "b"), "links")
-    counts = pair_counts(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = found.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(counts, ["a", "b", "salt"])
-    sums = scored.groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
-    out = cut(grouped(tokens, links).join(sums, "uid").select("uid", *COUNTS, "groups"), "aligned")
-    drop(found)
-    return out
+def link_sums(aligned: DataFrame) -> DataFrame:
+    """(uid, n_links, n_best, count_sum) of the stored table that `grouped` gives. A frequent pair of ids is dealt over SALTS keys."""
+    links = aligned.select("uid", "times", F.inline("links"))
+    counts = pair_counts(links).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = links.drop("times").withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(counts, ["a", "b", "salt"])
+    return scored.groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
+
+
+def together(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The documents of a block, from their units and the block's dictionary of units."""
+    known = dict(zip(right["unit"].to_pylist(), zip(*(right[c].to_pylist() for c in (*COUNTS, "groups")), strict=True), strict=True))
+    done = []
+    for batch in slices(left.to_batches(), 64):
+        rows = []
+        for id_, found in zip(batch.column("id").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            *counts, groups = zip(*map(known.__getitem__, found), strict=True)
+            rows.append((id_, *map(sum, counts), ";".join(groups)) if None not in groups else (id_, *[0] * len(COUNTS), None))
+        done.append(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 7, pa.string()], strict=True)], ["id", *COUNTS, "groups"]))
+    return pa.Table.from_batches(done)
 
 
 def align(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[Column], Column] = lambda groups: groups,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a_file: str = public_tokenizers.path("byte_bpe_50k.json"), b_file: str = public_tokenizers.path("piece_bpe_32k.model"),
 ) -> DataFrame:
-    """(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document, as a stored table.
+    """(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document.
 
-    `groups` is `keep` of the text of a document's groups (`a1,a2|b1;a3|b2,b3`), null where it has no tokens; `keep` may shorten it before it is written.
-    Joins on unit and block count as placed by block alone while this runs, so documents move once, as arrays.
+    `groups` is the text of a document's groups (`a1,a2|b1;a3|b2,b3`), null where it has no tokens.
     """
     spark = docs.sparkSession
     rows = cut(
@@ -181,18 +186,14 @@ def align(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_units // BLOCK_UNITS))
     block = F.struct(F.shiftright("row", 33).alias("part"), F.floor(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) / per_block).alias("at"))
     full = rows.filter("n > 0").withColumn("block", F.xxhash64(block))
-    with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
-        pairs = cut(full.select("block", F.explode("units").alias("unit")).groupBy("block", "unit").count(), "pairs")
-        different = cut(tokenise(pairs.groupBy("unit").agg(F.sum("count").alias("times")), a_file, b_file).withColumn("uid", F.monotonically_increasing_id()), "different")
-        aligned = aligned_units(different, parts)
-        stats = different.select("unit", "uid", "same").join(aligned, "uid", "left").drop("uid")
-        known = pairs.select("block", "unit").join(stats, "unit").repartition(parts, "block")
-        each = full.repartition(parts, "block").select("block", "row", "id", F.posexplode("units").alias("pos", "unit"))
-        met = each.join(known.hint("shuffle_hash"), ["block", "unit"])
-        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"]), ";")
-        whole = met.groupBy("block", "row", "id").agg(F.bool_and("same").alias("same"), *(F.sum(c).alias(c) for c in COUNTS), text.alias("groups"))
-        kept = [F.when(F.col("same"), F.col(c)).otherwise(F.lit(0)).cast("long").alias(c) for c in COUNTS]
-        without = rows.filter("n = 0").select(F.col("id").alias(id_col), *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("groups"))
-        out = cut(whole.select(F.col("id").alias(id_col), *kept, F.when(F.col("same"), keep(F.col("groups"))).alias("groups")).unionAll(without), "alignment")
-    drop(rows, pairs, different, aligned)
-    return out
+    pairs = cut(full.select("block", F.explode("units").alias("unit")).groupBy("block", "unit").count(), "pairs")
+    different = cut(tokenise(pairs.groupBy("unit").agg(F.sum("count").alias("times")), a_file, b_file).withColumn("uid", F.monotonically_increasing_id()), "different")
+    with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # one shuffle by uid serves windows, join and grouping
+        aligned = cut(grouped(ends(different.filter("same").repartition(parts, "uid"))), "aligned")
+    stats = different.select("unit", "uid").join(aligned.select("uid", "n_a", "n_b", "n_groups", "groups").join(link_sums(aligned), "uid"), "uid", "left").drop("uid")
+    stats = cut(stats.fillna(0, list(COUNTS)), "stats")
+    drop(different, aligned)
+    known = pairs.select("block", "unit").join(stats, "unit")
+    each = full.select("block", "id", "units").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
+    without = rows.filter("n = 0").select(F.col("id").alias(id_col), *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("groups"))
+    return each.withColumnRenamed("id", id_col).unionAll(without)

@@ -70,8 +70,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.align(table(spark, sf_dir, "documents"), keep=lambda groups: F.sha2(groups, 256))
-    return found.select("doc_id", *align.COUNTS, F.coalesce("groups", F.lit("")).alias("groups_sha256"))
+    found = align.align(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *align.COUNTS, F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256"))
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
