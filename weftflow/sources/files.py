@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import name
+from . import ranges
 
 #: Delimiters that are tried, in order.
 DELIMITERS = (",", "\t", ";", "|")
@@ -62,15 +63,23 @@ def detect_format(path: str, lines: list[str]) -> str:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, preserve_empty: bool = False, multi_line: bool = True) -> DataFrame:
     """Delimited text, all columns texts. Short rows are filled with nulls, surplus fields dropped; of equal headers the last counts.
 
-    Line feeds within quotes are read, so a file isn't split over tasks; `multi_line=False` splits files that are known to have
-    a record on each line. `preserve_empty` turns nulls into "".
+    Line feeds within quotes are read, and files are split over tasks all the same: a pass when this is called finds where records
+    begin (see `ranges`). `multi_line=False` saves it for files that are known to have a record on each line. Lines end with a line feed; a carriage
+    return before one goes, also within quotes. `preserve_empty` turns nulls into "".
     """
     lines = first_lines(spark, path)
     sep = delimiter or detect_delimiter(lines)
     first = next(csv.reader((x + "\n" for x in lines) if multi_line else lines[:1], delimiter=sep), [])
     names = first if header else [f"column_{i + 1}" for i in range(len(first))]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    options = {"sep": sep, "multiLine": str(multi_line).lower(), "escape": '"', "mode": "PERMISSIVE"}
+    if multi_line:
+        records = ranges.csv_records(spark, path, sep)
+        kept = records.filter(~F.col("leads")) if header else records
+        text = F.regexp_replace("record", r"\r(?=\n|\z)", "")
+        rows = kept.select(text.alias("r")).filter("r <> ''").select(F.from_csv("r", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("v")).select("v.*")
+    else:
+        rows = spark.read.schema(schema).options(**options).option("header", header).option("enforceSchema", True).csv(path)
     last = {n: i for i, n in enumerate(names)}
     value = lambda i: F.coalesce(F.col(f"c{i}"), F.lit("")) if preserve_empty else F.col(f"c{i}")
     return rows.select(*(value(i).alias(n) for n, i in last.items()))
