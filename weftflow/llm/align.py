@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import cut, drop, map_in_arrow, settings, slices
+from .common import cut, drop, forget, map_in_arrow, settings, slices
 
 #: Where units begin: a single space between characters that are surely neither white space nor controls.
 BETWEEN = r"(?= [\p{L}\p{N}!-~])(?<=[\p{L}\p{N}!-~])"
@@ -187,12 +187,16 @@ def align(
     block = F.struct(F.shiftright("row", 33).alias("part"), F.floor(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) / per_block).alias("at"))
     full = rows.filter("n > 0").withColumn("block", F.xxhash64(block))
     pairs = cut(full.select("block", F.explode("units").alias("unit")).groupBy("block", "unit").count(), "pairs")
+    forget(spark)
     different = cut(tokenise(pairs.groupBy("unit").agg(F.sum("count").alias("times")), a_file, b_file).withColumn("uid", F.monotonically_increasing_id()), "different")
+    forget(spark)
     with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # one shuffle by uid serves windows, join and grouping
         aligned = cut(grouped(ends(different.filter("same").repartition(parts, "uid"))), "aligned")
+    forget(spark)
     stats = different.select("unit", "uid").join(aligned.select("uid", "n_a", "n_b", "n_groups", "groups").join(link_sums(aligned), "uid"), "uid", "left").drop("uid")
     stats = cut(stats.fillna(0, list(COUNTS)), "stats")
     drop(different, aligned)
+    forget(spark)
     known = pairs.select("block", "unit").join(stats, "unit")
     each = full.select("block", "id", "units").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
     without = rows.filter("n = 0").select(F.col("id").alias(id_col), *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("groups"))

@@ -45,6 +45,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done now, rather than when the driver's memory is next cleared."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as no column of df has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

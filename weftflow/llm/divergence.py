@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their words: sums over pairs of sources, and the terms that mark a source.
 
 Terms are counted in byte tries, whose leaves count the occurrences of a term by source and its documents. Each task fills
-tries for the languages it meets and gives out their leaves in the order of UTF-8; a trie that has grown to MOST_LEAVES leaves is
+tries for the languages it meets and gives out their leaves in the order of UTF-8; tries that have grown to some MOST_LEAVES leaves are
 given out and begun anew, which is right since tries merge: leaves are dealt by ranges of language and term, and a task merges
 the sorted leaves of its range, as one walk over many tries. A second walk over the merged leaves, the totals of their language before
 them, streams the sums of all pairs of sources and the first candidates of each source, ties in the order of the terms.
@@ -16,11 +16,11 @@ as long as a text. Nothing but the tables' own rows reaches the driver, and noth
 from __future__ import annotations
 
 from bisect import insort
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ LEAST_DOCS = 3
 #: Ranks of marking terms.
 TOP_TERMS = 200
 #: Leaves and bytes of labels at which a task gives out its tries.
-MOST_LEAVES, MOST_BYTES = 100_000, 16 << 20
+MOST_LEAVES, MOST_BYTES = 1_000_000, 64 << 20
 #: Rows of a batch of leaves that a task gives out.
 BATCH = 5000
 #: Sources of one block of items; each block of a range of terms is walked on its own.
@@ -40,127 +40,141 @@ SOURCES = 1024
 CELLS = 1 << 18
 
 #: Letters: A-Z become a-z, all other bytes below 128 part terms.
-LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+LETTERS = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], "u1")
 
 
 class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, leaf]; a leaf is [documents, {source: occurrences}]."""
-
-    def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-        self.size = 0
-        self.label_bytes = 0
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term, made where there is none."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = [term[at:], {}, None]
-                node[1][term[at]] = child
-                self.label_bytes += len(child[0])
-                node, at = child, len(term)
-                break
-            label = child[0]
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            same = 1
-            most = min(len(label), len(term) - at)
-            while same < most and label[same] == term[at + same]:
-                same += 1
-            upper = [label[:same], {label[same]: child}, None]
-            child[0] = label[same:]
-            node[1][term[at]] = upper
-            node, at = upper, at + same
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.size += 1
-        return node[2]
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """(term, leaf) in the order of the terms' bytes. A stack rather than recursion: a path may be as deep as a term is long."""
-        stack = [(b"", self.root)]
-        while stack:
-            before, node = stack.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            stack.extend((term, node[1][b]) for b in sorted(node[1], reverse=True))
-
-
-def leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, docs, by_source = zip(*rows, strict=True)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in by_source])]).astype("i4")
-    names = pa.array([s for x in by_source for s in x], pa.string())
-    counts = pa.array([n for x in by_source for n in x.values()], pa.int64())
-    lists = [pa.ListArray.from_arrays(pa.array(ends), v) for v in (names, counts)]
-    return pa.record_batch([pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), *lists], ["lang", "term", "docs", "sources", "counts"])
+    """A radix trie over bytes, as arrays in the order of its walk.
+
+    `terms` are the leaves' paths in the order of their bytes, so leaves below one node stand together and two tries merge like sorted
+    lists. `docs` counts a leaf's documents; its counters by source are entries (leaf, source, occurrences), by leaf and source.
+    """
+
+    def __init__(self, terms: pa.Array, docs: np.ndarray, leaf: np.ndarray, source: np.ndarray, n: np.ndarray) -> None:
+        """Terms in any order, each once; several entries of a leaf and source are added up."""
+        order = pc.sort_indices(terms).to_numpy()
+        place = np.empty(len(order), "i8")
+        place[order] = np.arange(len(order))
+        self.terms, self.docs = terms.take(pa.array(order)), docs[order]
+        width = int(source.max()) + 1 if len(source) else 1
+        key = place[leaf] * width + source
+        by_key = np.argsort(key, kind="stable")
+        key, n = key[by_key], n[by_key]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.leaf, self.source = np.divmod(key[first], width)
+        self.n = np.add.reduceat(n, first) if len(first) else n
+
+    def __len__(self) -> int:
+        return len(self.docs)
+
+    @classmethod
+    def of_texts(cls, texts: pa.Array, sources: np.ndarray) -> Trie:
+        """The terms of texts, each with its source's number."""
+        data = LETTERS[np.frombuffer(texts.buffers()[2] or b"", "u1")]
+        spaced = pa.StringArray.from_buffers(len(texts), texts.buffers()[1], pa.py_buffer(data), offset=texts.offset)
+        lists = pc.ascii_split_whitespace(spaced)
+        words, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+        full = pc.greater(pc.binary_length(words), 0)
+        words, doc = words.filter(full).dictionary_encode(), doc[full.to_numpy(zero_copy_only=False)].astype("i8")
+        size = max(len(words.dictionary), 1)
+        (doc, term), n = np.divmod((pair := np.unique(doc * size + words.indices.to_numpy(), return_counts=True))[0], size), pair[1]
+        return cls(words.dictionary.cast(pa.binary()), np.bincount(term, minlength=len(words.dictionary)), term, sources[doc], n)
+
+    @classmethod
+    def merge(cls, tries: list[Trie]) -> Trie:
+        both = pa.concat_arrays([t.terms for t in tries]).dictionary_encode()
+        at = both.indices.to_numpy().astype("i8")
+        starts = np.cumsum([0, *map(len, tries)])
+        docs = np.zeros(len(both.dictionary), "i8")
+        np.add.at(docs, at, np.concatenate([t.docs for t in tries]))
+        leaf = at[np.concatenate([t.leaf + s for t, s in zip(tries, starts, strict=False)])]
+        return cls(both.dictionary, docs, leaf, np.concatenate([t.source for t in tries]), np.concatenate([t.n for t in tries]))
+
+    def batches(self, lang: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """The leaves in order, as rows of LEAVES."""
+        edges = np.searchsorted(self.leaf, np.arange(len(self) + 1))
+        sources = pa.array(names, pa.string())
+        for a in range(0, len(self), BATCH):
+            b = min(a + BATCH, len(self))
+            i, j, ends = edges[a], edges[b], pa.array((edges[a : b + 1] - edges[a]).astype("i4"))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (sources.take(pa.array(self.source[i:j])), pa.array(self.n[i:j]))]
+            yield pa.record_batch([pa.array([lang] * (b - a)), self.terms.slice(a, b - a), pa.array(self.docs[a:b]), *lists], ["lang", "term", "docs", "sources", "counts"])
 
 
 LEAVES = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 
-def batches_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= BATCH:
-            yield leaf_batch(held)
-            held = []
-    if held:
-        yield leaf_batch(held)
+class Names(dict):
+    """Numbers of names, in the order in which they come."""
 
+    def __missing__(self, name: str) -> int:
+        self[name] = len(self)
+        return self[name]
 
-def count_terms(docs: DataFrame) -> DataFrame:
-    """Leaves of (lang, source, text): the terms of each task's tries, sorted by language and term within each time they are given out."""
 
-    def given(tries: dict[str, Trie]) -> Iterator[tuple]:
-        for lang in sorted(tries, key=str.encode):
-            for term, (n_docs, by_source) in tries[lang].walk():
-                yield lang, term, n_docs, by_source
+def count_terms(docs: DataFrame) -> DataFrame:
+    """Leaves of (lang, source, text): the tries of each task, which are merged as they grow and given out by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
-        known: dict[str, dict[bytes, list]] = {}
+        names, held, size = Names(), {}, 0
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                trie, leaves = tries.setdefault(lang, Trie()), known.setdefault(lang, {})
-                for term, n in Counter(text.translate(LETTERS).split()).items():
-                    found = leaves.get(term)
-                    if found is None:
-                        found = leaves[term] = trie.leaf(term)
-                    found[0] += 1
-                    found[1][source] = found[1].get(source, 0) + n
-                if trie.label_bytes > MOST_BYTES or sum(t.size for t in tries.values()) > MOST_LEAVES:
-                    yield from batches_of(given(tries))
-                    tries, known = {}, {}
-        yield from batches_of(given(tries))
+            langs = batch.column("lang").dictionary_encode()
+            sources = np.array([names[s] for s in batch.column("source").to_pylist()], "i8")
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                own = np.flatnonzero(langs.indices.to_numpy() == k)
+                held.setdefault(lang, []).append(Trie.of_texts(batch.column("text").take(pa.array(own)), sources[own]))
+                size += len(held[lang][-1])
+            if size > MOST_LEAVES or sum(t.terms.nbytes for tries in held.values() for t in tries) > MOST_BYTES:
+                held = {lang: [Trie.merge(tries)] for lang, tries in held.items()}
+                size = sum(len(t) for (t,) in held.values())
+                if size > MOST_LEAVES // 2 or sum(t.terms.nbytes for (t,) in held.values()) > MOST_BYTES // 2:
+                    yield from given(held, names)
+                    names, held, size = Names(), {}, 0
+        yield from given(held, names)
+
+    def given(held: dict[str, list[Trie]], names: Names) -> Iterator[pa.RecordBatch]:
+        for lang in sorted(held):
+            yield from Trie.merge(held[lang]).batches(lang, list(names))
 
     return map_in_arrow(docs.select("lang", "source", F.col("text").cast("binary").alias("text")), run, LEAVES)
 
 
 def merge(leaves: DataFrame, parts: int, least_docs: int) -> DataFrame:
-    """(lang, part, term, sources, counts) of the terms in `least_docs` documents of their language at least; `part` is the range of terms."""
+    """(lang, part, term, sources, counts) of the terms in `least_docs` documents of their language at least; `part` is the range of terms.
+
+    The leaves of a range arrive in order, so of each language and term all stand together; the last term of a batch waits for the next.
+    """
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        at: tuple[str, bytes] | None = None
-        n_docs, total = 0, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, term) != at:
-                    if at and n_docs >= least_docs:
-                        yield *at, n_docs, total
-                    at, n_docs, total = (lang, term), 0, {}
-                n_docs += docs
-                for s, n in zip(sources, counts, strict=True):
-                    total[s] = total.get(s, 0) + n
-        if at and n_docs >= least_docs:
-            yield *at, n_docs, total
+            if not batch.num_rows:
+                continue
+            same = pc.and_(pc.equal(batch.column("lang"), batch.column("lang")[-1]), pc.equal(batch.column("term"), batch.column("term")[-1]))
+            last = batch.num_rows - int(pc.sum(same).as_py())
+            if last or waiting and (waiting[-1].column("term")[-1] != batch.column("term")[0] or waiting[-1].column("lang")[-1] != batch.column("lang")[0]):
+                yield from merged([*waiting, batch.slice(0, last)])
+                waiting = []
+            waiting.append(batch.slice(last))
+        yield from merged(waiting)
+
+    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks() if held else None
+        for lang in rows.column("lang").unique().to_pylist() if rows else []:
+            own = rows.filter(pc.equal(rows.column("lang"), lang)).combine_chunks()
+            sources, counts = own.column("sources").combine_chunks(), own.column("counts").combine_chunks()
+            known = sources.flatten().dictionary_encode()
+            terms = own.column("term").combine_chunks().dictionary_encode()
+            at = terms.indices.to_numpy().astype("i8")
+            docs = np.zeros(len(terms.dictionary), "i8")
+            np.add.at(docs, at, own.column("docs").to_numpy())
+            leaf = at[pc.list_parent_indices(sources).to_numpy()]
+            found = Trie(terms.dictionary, docs, leaf, known.indices.to_numpy().astype("i8"), counts.flatten().to_numpy())
+            for batch in found.batches(lang, known.dictionary.to_pylist()):
+                yield batch.filter(pc.greater_equal(batch.column("docs"), least_docs))
 
     ranged = leaves.repartitionByRange(parts, "lang", "term").sortWithinPartitions("lang", "term")
-    return map_in_arrow(ranged, lambda batches: batches_of(merged(batches)), LEAVES).select("lang", F.spark_partition_id().alias("part"), "term", "sources", "counts")
+    return map_in_arrow(ranged, run, LEAVES).select("lang", F.spark_partition_id().alias("part"), "term", "sources", "counts")
 
 
 def share(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
