@@ -13,14 +13,15 @@ Documents are put together from their units in Arrow, block by block.
 
 Nulls: a null or empty text has no tokens, and neither has one whose bytes B doesn't give back (it holds U+2581). Repeated rows and
 ids, null ids included, are documents each. Extra columns, whatever their names, are left behind. An empty table gives no rows.
-A unit may be as long as a text without spaces; it is one row. Blocks of about BLOCK_UNITS units have a dictionary each,
-so that documents are shuffled as arrays, and a frequent unit stands once in each block.
+A unit may be as long as a text without spaces; it is one row. Blocks of about BLOCK_BYTES of text have a dictionary each,
+so that documents are shuffled whole, and a frequent unit stands once in each block.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,12 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import cut, drop, forget, map_in_arrow, settings, slices
 
-#: Where units begin: a single space between characters that are surely neither white space nor controls.
-BETWEEN = r"(?= [\p{L}\p{N}!-~])(?<=[\p{L}\p{N}!-~])"
-#: Units of a block of documents, about.
-BLOCK_UNITS = 2_000_000
+#: Characters that are surely neither white space nor controls, as ranges that Java and Python read alike.
+VISIBLE = r"!-~\u00A1-\u167F\u1681-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2FFF\u3001-\uD7FF\uF900-\uFEFE"
+#: Where units begin: a single space between two of them.
+BETWEEN = rf"(?= [{VISIBLE}])(?<=[{VISIBLE}])"
+#: Bytes of text of a block of documents, about.
+BLOCK_BYTES = 24 << 20
 #: Parts into which links of a frequent pair of ids are dealt.
 SALTS = 4
 SPACE = "▁"
@@ -88,18 +91,17 @@ def pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes]
 
 
 def units(text: Column) -> Column:
-    """The units of a text, each with its leading space; none of a null or empty one."""
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.split(F.concat(F.lit(" "), text), BETWEEN, -1)).otherwise(F.array().cast("array<string>"))
+    """The units of a text that isn't empty, each with its leading space."""
+    return F.split(F.concat(F.lit(" "), text), BETWEEN, -1)
 
 
 def tokenise(found: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """(unit, times, same, a, b) of (unit, times): both sides' tokens as arrays of (id, size in bytes), and whether they have the same bytes."""
+    """(unit, times, same, a, a_sizes, b, b_sizes) of (unit, times): both sides' tokens and their sizes in bytes, and whether they have the same bytes."""
 
-    def tokens(ids: list[list[int]], sizes: np.ndarray) -> pa.ListArray:
-        flat = np.fromiter((i for x in ids for i in x), "i4", sum(map(len, ids)))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
-        each = pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat] if len(flat) else flat)], ["id", "size"])
-        return pa.ListArray.from_arrays(pa.array(ends), each)
+    def lists(rows: list[list[int]], sizes: np.ndarray) -> list[pa.ListArray]:
+        flat = np.fromiter((i for x in rows for i in x), "i4", sum(map(len, rows)))
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype("i4"))
+        return [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (flat, sizes[flat] if len(flat) else flat)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, a_bytes), (b, b_bytes) = byte_level(a_file), pieces(b_file)
@@ -110,34 +112,33 @@ def tokenise(found: DataFrame, a_file: str, b_file: str) -> DataFrame:
             right = b.encode([t[1:] for t in texts], num_threads=1) if texts else []
             whole = [t.encode() for t in texts]
             same = [b"".join([a_bytes[i] for i in x]) == w == b"".join([b_bytes[i] for i in y]) for w, x, y in zip(whole, left, right, strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.bool_()), tokens(left, a_sizes), tokens(right, b_sizes)], ["unit", "times", "same", "a", "b"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.bool_()), *lists(left, a_sizes), *lists(right, b_sizes)], ["unit", "times", "same", "a", "a_sizes", "b", "b_sizes"])
 
-    token = "array<struct<id int, size int>>"
-    return map_in_arrow(found.select("unit", "times"), run, f"unit string, times long, same boolean, a {token}, b {token}")
+    ids = "array<int>"
+    return map_in_arrow(found.select("unit", "times"), run, f"unit string, times long, same boolean, a {ids}, a_sizes {ids}, b {ids}, b_sizes {ids}")
 
 
 def ends(held: DataFrame) -> DataFrame:
     """(uid, times, end, a, b): a row for each offset where a token of A, of B or of both ends, with their ids."""
     along = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sides = [held.select("uid", "times", F.posexplode(c).alias("pos", "t")).select("uid", "times", F.sum("t.size").over(along).alias("end"), F.col("t.id").alias(c)) for c in "ab"]
+    sides = [held.select("uid", "times", F.posexplode(F.arrays_zip(c, f"{c}_sizes")).alias("pos", "t")).select("uid", "times", F.sum(f"t.{c}_sizes").over(along).alias("end"), F.col(f"t.{c}")) for c in "ab"]
     return sides[0].join(sides[1].drop("times"), ["uid", "end"], "full")
 
 
 def grouped(found: DataFrame) -> DataFrame:
-    """(uid, times, n_a, n_b, n_groups, groups, links) of each unit: groups as text `a1,a2|b1;a3|b2`, links as an array of (a, b)."""
+    """(uid, times, groups, links) of each unit: groups as text `a1,a2|b1;a3|b2`, links as an array of (a, b)."""
     cuts = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     before = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     numbered = found.withColumn("grp", F.coalesce(F.sum(cuts).over(before), F.lit(0).cast("long")))
     side = lambda k, c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("grp", F.lit(k).alias("kind"), "end", F.col(c).alias("id"))))
     links = F.collect_list(F.when(cuts == 1, F.struct("a", "b")))
     per = numbered.groupBy("uid").agg(
-        F.max("times").alias("times"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.sum(cuts).alias("n_groups"),
-        F.sort_array(F.concat(side(0, "a"), side(1, "b"))).alias("t"), links.alias("links"),
+        F.max("times").alias("times"), F.sort_array(F.concat(side(0, "a"), side(1, "b"))).alias("t"), links.alias("links"),
     )
     last = lambda i: F.get("t", i - 1)
     sign = lambda x, i: F.when(i == 0, "").when(last(i)["grp"] < x["grp"], ";").when(last(i)["kind"] < x["kind"], "|").otherwise(",")
     text = F.array_join(F.transform("t", lambda x, i: F.concat(sign(x, i), x["id"].cast("string"))), "")
-    return per.select("uid", "times", "n_a", "n_b", "n_groups", text.alias("groups"), "links")
+    return per.select("uid", "times", text.alias("groups"), "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -148,21 +149,31 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 
 def link_sums(aligned: DataFrame) -> DataFrame:
-    """(uid, n_links, n_best, count_sum) of the stored table that `grouped` gives. A frequent pair of ids is dealt over SALTS keys."""
+    """(uid, n_best, count_sum) of the stored table that `grouped` gives. A frequent pair of ids is dealt over SALTS keys."""
     links = aligned.select("uid", "times", F.inline("links"))
     counts = pair_counts(links).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     scored = links.drop("times").withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(counts, ["a", "b", "salt"])
-    return scored.groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
+    return scored.groupBy("uid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
+
+
+def counted(facts: str | None) -> tuple:
+    """COUNTS and groups of a unit, from its groups, n_best and count_sum as one text; each group has one link, that of the two tokens at its end."""
+    if facts is None:
+        return (*[0] * len(COUNTS), None)
+    groups, best, total = facts.split(" ")
+    n_groups = groups.count("|")
+    n_a = sum(g.count(",", 0, g.index("|")) for g in groups.split(";")) + n_groups
+    return n_a, groups.count(",") + 2 * n_groups - n_a, n_groups, n_groups, int(best), int(total), groups
 
 
 def together(left: pa.Table, right: pa.Table) -> pa.Table:
     """The documents of a block, from their units and the block's dictionary of units."""
-    known = dict(zip(right["unit"].to_pylist(), zip(*(right[c].to_pylist() for c in (*COUNTS, "groups")), strict=True), strict=True))
-    done = []
+    known = {unit: counted(facts) for unit, facts in zip(right["unit"].to_pylist(), right["facts"].to_pylist(), strict=True)}
+    cut_at, done = re.compile(BETWEEN), []
     for batch in slices(left.to_batches(), 64):
         rows = []
-        for id_, found in zip(batch.column("id").to_pylist(), batch.column("units").to_pylist(), strict=True):
-            *counts, groups = zip(*map(known.__getitem__, found), strict=True)
+        for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            *counts, groups = zip(*map(known.__getitem__, cut_at.split(" " + text)), strict=True)
             rows.append((id_, *map(sum, counts), ";".join(groups)) if None not in groups else (id_, *[0] * len(COUNTS), None))
         done.append(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 7, pa.string()], strict=True)], ["id", *COUNTS, "groups"]))
     return pa.Table.from_batches(done)
@@ -177,27 +188,28 @@ def align(
     `groups` is the text of a document's groups (`a1,a2|b1;a3|b2,b3`), null where it has no tokens.
     """
     spark = docs.sparkSession
-    rows = cut(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), units(F.col(text_col).cast("string")).alias("units"))
-        .withColumn("n", F.size("units")), "units",
-    )
-    n_docs, n_units = rows.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-    per_block = max(1, BLOCK_UNITS * max(n_docs, 1) // max(n_units, 1))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_units // BLOCK_UNITS))
-    block = F.struct(F.shiftright("row", 33).alias("part"), F.floor(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) / per_block).alias("at"))
-    full = rows.filter("n > 0").withColumn("block", F.xxhash64(block))
-    pairs = cut(full.select("block", F.explode("units").alias("unit")).groupBy("block", "unit").count(), "pairs")
-    forget(spark)
-    different = cut(tokenise(pairs.groupBy("unit").agg(F.sum("count").alias("times")), a_file, b_file).withColumn("uid", F.monotonically_increasing_id()), "different")
-    forget(spark)
-    with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # one shuffle by uid serves windows, join and grouping
-        aligned = cut(grouped(ends(different.filter("same").repartition(parts, "uid"))), "aligned")
-    forget(spark)
-    stats = different.select("unit", "uid").join(aligned.select("uid", "n_a", "n_b", "n_groups", "groups").join(link_sums(aligned), "uid"), "uid", "left").drop("uid")
-    stats = cut(stats.fillna(0, list(COUNTS)), "stats")
-    drop(different, aligned)
-    forget(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n_docs, n_bytes = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    per_block = max(1, BLOCK_BYTES * n_docs // max(n_bytes, 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BLOCK_BYTES))
+    # documents that Spark reads after one another make up a block: there a unit is counted before it is shuffled
+    row = F.monotonically_increasing_id()
+    block = F.xxhash64(F.shiftright(row, 33), F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / per_block))
+    with settings(spark, {"spark.sql.parquet.compression.codec": "zstd"}):
+        rows = cut(texts.select("id", "text", block.alias("block")), "texts")
+        full = rows.filter("text <> ''")
+        pairs = cut(full.select("block", F.explode(units(F.col("text"))).alias("unit")).groupBy("block", "unit").count(), "pairs")
+        forget(spark)
+        different = cut(tokenise(pairs.groupBy("unit").agg(F.sum("count").alias("times")), a_file, b_file).withColumn("uid", F.monotonically_increasing_id()), "different")
+        forget(spark)
+        with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # one shuffle by uid serves windows, join and grouping
+            aligned = cut(grouped(ends(different.filter("same").repartition(parts, "uid"))), "aligned")
+        forget(spark)
+        facts = aligned.select("uid", "groups").join(link_sums(aligned), "uid").select("uid", F.concat_ws(" ", "groups", "n_best", "count_sum").alias("facts"))
+        stats = cut(different.select("unit", "uid").join(facts, "uid", "left").select("unit", "facts"), "stats")
+        drop(different, aligned)
+        forget(spark)
     known = pairs.select("block", "unit").join(stats, "unit")
-    each = full.select("block", "id", "units").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
-    without = rows.filter("n = 0").select(F.col("id").alias(id_col), *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("groups"))
-    return each.withColumnRenamed("id", id_col).unionAll(without)
+    each = full.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
+    without = rows.filter("text = ''").select("id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("groups"))
+    return each.unionAll(without).withColumnRenamed("id", id_col)
