@@ -36,6 +36,8 @@ MOST_LEAVES, MOST_BYTES = 1_000_000, 64 << 20
 BATCH = 5000
 #: Sources of one block of items; each block of a range of terms is walked on its own.
 SOURCES = 1024
+#: Terms of one range that is scored, about.
+RANGE_TERMS = 200_000
 #: Counters of terms by source that are scored at once.
 CELLS = 1 << 18
 
@@ -293,7 +295,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     by_source = terms.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("occurrences"))
     n_terms = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"))
     totals = cut(groups.join(by_source, ["lang", "source"], "left").join(n_terms, "lang", "left").select("lang", "source", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("n_terms", F.lit(0)).alias("n_terms")), "totals")
-    found = cut(score(terms, totals, top), "scores")
+    # a range gives a row for each pair of sources, so it takes as many terms as make that little
+    wide = max(1, min(parts, terms.count() // RANGE_TERMS))
+    found = cut(score(terms.withColumn("part", F.floor(F.col("part") * wide / parts)), totals, top), "scores")
     item = F.col("item").cast("string").alias("item")
     # each other source of the language is a row of the result, also where no term is kept
     others = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").filter("source <> item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
