@@ -131,3 +131,14 @@ def test_database_gives_all_rows(spark):
     db = services.Database(url="jdbc:derby:memory:x;create=true")
     ones = "(SELECT 1 AS one FROM sys.syscolumns FETCH FIRST 60 ROWS ONLY)"
     assert db.query(spark, f"SELECT 1 AS one FROM {ones} a, {ones} b, {ones} c").count() == 216_000
+
+
+def test_rest_names_of_types(spark):
+    """Fields named like types, and such as need backticks, keep their names and values."""
+    assert services.column_type("OBJECT<VOIDED: BIGINT, VARIANT: VOID, `a b`: DECIMAL(3,1), `x``:`: ARRAY<OBJECT<OBJECT: BOOLEAN>>>") == "STRUCT<`VOIDED`: BIGINT,`VARIANT`: STRING,`a b`: DOUBLE,`x``:`: ARRAY<STRUCT<`OBJECT`: BOOLEAN>>>"
+    rows = spark.createDataFrame([('{"id":1,"VOIDED":5,"OBJECT":"x","a b":1.5,"c:d":null,"VARIANT":{"VOID":[1]}}',)], "value string")
+    from pyspark.sql import functions as F
+
+    found = rows.select(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0]
+    got = rows.select(F.from_json("value", services.column_type(found)).alias("v")).select("v.*").first().asDict(recursive=True)
+    assert got == {"id": 1, "VOIDED": 5, "OBJECT": "x", "a b": 1.5, "c:d": None, "VARIANT": {"VOID": [1]}}

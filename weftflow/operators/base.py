@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import name
+from .shared import work_dir
 
 
 class AnalysisError(ValueError):
@@ -38,10 +39,16 @@ class Inputs:
 
 @dataclass
 class Output:
-    """The rows that go on, and those that failed as (row struct, message string), lazily."""
+    """The rows that go on, and those that failed as (row struct, message string), lazily.
+
+    Nodes whose rows can fail also tell the `message` of a row of their input, null where it doesn't fail, and what both tables come
+    from in one pass: `judged`, the output's columns, `__row`, `__message` and `__kept`, whether the row goes on.
+    """
 
     df: DataFrame
     errors: DataFrame | None = None
+    message: Column | None = None
+    judged: DataFrame | None = None
 
 
 NODES: dict[str, Callable[[Inputs], Output]] = {}
@@ -70,6 +77,24 @@ def error_rows(df: DataFrame, message: Column) -> DataFrame:
     return bad.select(F.struct(*(name(c).alias(c) for c in df.columns)).alias("row"), F.col("__message").alias("message"))
 
 
+def failing(df: DataFrame, out: DataFrame, message: Column, kept: Column | None = None, columns: list[Column] | None = None) -> Output:
+    """The output of a node over `df` whose rows can fail: `out` are the rows that go on. `columns` are its columns over df, df's own by default; all rows are `kept` by default."""
+    row = F.struct(*(name(c).alias(c) for c in df.columns))
+    marks = [F.when(message.isNotNull(), row).alias("__row"), message.alias("__message"), (F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))).alias("__kept")]
+    return Output(out, error_rows(df, message), message, df.select(*(columns or [name(c).alias(c) for c in df.columns]), *marks))
+
+
+def parted(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that go on and the failed ones, from one write of what a node has judged: its parts are read apart."""
+    part = F.when(F.col("__message").isNull(), 0).when(F.col("__kept"), 1).otherwise(2)
+    path = work_dir(judged.sparkSession, "judged")
+    marked = judged.filter(F.col("__kept") | F.col("__message").isNotNull()).withColumn("__part", part)
+    marked.write.partitionBy("__part").parquet(path)
+    whole = judged.sparkSession.read.schema(marked.schema).parquet(path)
+    good = whole.filter("__part < 2").drop("__row", "__message", "__kept", "__part")
+    return good, whole.filter("__part > 0").select(F.col("__row").alias("row"), F.col("__message").alias("message"))
+
+
 def stopping(value: Column, message: Column | None, on_error: str) -> Column:
     """The value; under `stop` a row's message is raised when the row is computed."""
     if message is None or on_error != "stop":

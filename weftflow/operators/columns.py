@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import coerce, formula
 from ..functions.coerce import field, name, text
-from .base import AnalysisError, Inputs, Output, error_rows, node, stopping
+from .base import AnalysisError, Inputs, Output, failing, node, stopping
 
 
 def with_column(df: DataFrame, column: str, value: Column) -> DataFrame:
@@ -56,8 +56,9 @@ def type_cast(x: Inputs) -> Output:
             value = stopping(value, bad, x.on_error)
             messages.append(bad)
         done[column] = value
-    out = df.select(*(done[c].alias(c) if c in done else name(c) for c in df.columns), *(v.alias(c) for c, v in done.items() if c not in df.columns))
-    return Output(out, error_rows(df, F.coalesce(*messages)) if messages else None)
+    columns = [*((done[c] if c in done else name(c)).alias(c) for c in df.columns), *(v.alias(c) for c, v in done.items() if c not in df.columns)]
+    out = df.select(*columns)
+    return failing(df, out, F.coalesce(*messages), columns=columns) if messages else Output(out)
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,13 +85,14 @@ def fill_missing(x: Inputs) -> DataFrame:
         found = modes(df, list(fills))
     given = lambda v: (F.lit(v), "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "long" if isinstance(v, int) else "null" if v is None else "double")
     values = {c: (F.col(f"found.m{i}"), "double" if strategy == "mean" else "string") if found is not None else given(v) for i, (c, v) in enumerate(fills.items())}
+    own = lambda c: F.col("main.`" + c.replace("`", "``") + "`") if found is not None else name(c)
     done: dict[str, Column] = {}
     for column, value in values.items():
         c, kind = field(df, column)
-        (old, new), _ = coerce.same_kind([(F.col(f"main.`{column}`") if found is not None and column in df.columns else c, kind), value])
-        done[column] = F.when(coerce.missing(F.col(f"main.`{column}`") if found is not None and column in df.columns else c, kind), new).otherwise(old)
+        c = own(column) if column in df.columns else c
+        (old, new), _ = coerce.same_kind([(c, kind), value])
+        done[column] = F.when(coerce.missing(c, kind), new).otherwise(old)
     rows = df if found is None else df.alias("main").crossJoin(F.broadcast(found.alias("found")))
-    own = lambda c: F.col(f"main.`{c}`") if found is not None else name(c)
     return rows.select(*((done[c] if c in done else own(c)).alias(c) for c in df.columns), *(v.alias(c) for c, v in done.items() if c not in df.columns)) if done else df
 
 
@@ -109,7 +111,8 @@ def generate_column(x: Inputs) -> Output:
         value = F.when(v.err.isNull(), new).otherwise(old)
     elif x.on_error != "stop":
         value = F.when(v.err.isNull(), value)
-    return Output(with_column(x.main, column, value), error_rows(x.main, v.err))
+    columns = [(value if c == column else name(c)).alias(c) for c in dict.fromkeys([*x.main.columns, column])]
+    return failing(x.main, with_column(x.main, column, value), v.err, columns=columns)
 
 
 @node("filterRows")
@@ -122,7 +125,8 @@ def filter_rows(x: Inputs) -> Output:
     if v.err is None:
         return Output(x.main.filter(v.bare if v.bare is not None else coerce.truthy(*v.pair())))
     keep = stopping(coerce.truthy(*v.pair()), v.err, x.on_error)
-    return Output(x.main.filter(keep if x.on_error == "stop" else v.err.isNull() & keep), error_rows(x.main, v.err))
+    whole = keep if x.on_error == "stop" else v.err.isNull() & keep
+    return failing(x.main, x.main.filter(whole), v.err, kept=whole)
 
 
 @node("regexExtract")
@@ -255,4 +259,4 @@ def validate_schema(x: Inputs) -> Output:
     whole = kept[0]
     for k in kept[1:]:
         whole = whole & k
-    return Output(x.main.filter(whole), error_rows(x.main, message))
+    return failing(x.main, x.main.filter(whole), message, kept=whole)

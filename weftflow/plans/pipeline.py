@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import FormulaError
 from ..operators import NODES, AnalysisError, Inputs, Output
+from ..operators.base import parted
 from ..operators.relations import union_all
 
 POLICIES = ("stop", "skip", "collect")
+#: The milliseconds at which a row is read, by the executor's clock.
+CLOCK = "CAST(java_method('java.lang.System', 'currentTimeMillis') AS LONG)"
 
 
 @dataclass
@@ -57,14 +60,21 @@ class Result:
         return self.frames[self.outputs[0]]
 
     def metrics(self, node: str) -> dict[str, int]:
-        return self.observed[node].get
+        return {k: v for k, v in self.observed[node].get.items() if k == "rows"}
 
     def counts(self, node: str) -> dict[str, int]:
-        """The rows that came into a node (`rows_in`) and went out (`rows`), once an action has run over an observed pipeline."""
-        return {k: v for name in (f"{node}.in", node) if name in self.observed for k, v in self.observed[name].get.items()}
+        """What an action over an observed pipeline told of a node: `rows_in`, `rows` that went out, `errors`, and `milliseconds` from the first row in to the last row out.
+
+        Nodes of one stage take rows from each other, so their times overlap; the times are those of the executors' clocks.
+        """
+        found = {k: v for name in (f"{node}.in", node) if name in self.observed for k, v in self.observed[name].get.items()}
+        first, last = found.pop("first_in", None), found.pop("last_out", None)
+        return found | ({"milliseconds": max(0, last - first)} if first is not None and last is not None else {})
 
     def failed(self, node: str) -> int:
-        """The number of rows that failed in a node; runs a job."""
+        """The number of rows that failed in a node: observed, or else by a job."""
+        if f"{node}.in" in self.observed and (seen := self.observed[f"{node}.in"].get.get("errors")) is not None:
+            return seen
         return self.errors[node].count() if node in self.errors else 0
 
 
@@ -109,12 +119,17 @@ class Pipeline:
         except CycleError as e:
             raise AnalysisError(f"cycle detected: {' -> '.join(e.args[1])}") from None
 
-    def bind(self, sources: dict[str, DataFrame], observe: bool = False, persist_shared: bool = False) -> Result:
-        """DataFrames of all nodes. `persist_shared` keeps what several nodes read, for callers that use several outputs."""
+    def bind(self, sources: dict[str, DataFrame], observe: bool = False, persist_shared: bool = False, part_errors: bool = True) -> Result:
+        """DataFrames of all nodes. `persist_shared` keeps what several nodes read, for callers that use several outputs.
+
+        Where an edge takes a node's errors, its input is read once: all rows are written as the node has judged them, parted by
+        it, and both ports read their part; without `part_errors` each port reads the input by itself.
+        """
         into: dict[str, dict[str, list[Edge]]] = defaultdict(lambda: defaultdict(list))
         for e in self.edges:
             into[e.target][e.port].append(e)
         readers = Counter(e.source for e in self.edges)
+        asked = {e.source for e in self.edges if e.source_port == "errors"}
         done = Result({}, {}, [n.id for n in self.nodes if not readers[n.id]])
 
         def arriving(edges: list[Edge]) -> DataFrame:
@@ -135,9 +150,6 @@ class Pipeline:
                 out = Output(sources[n.id])
             elif main is None:
                 raise AnalysisError(f"{n.id} has no input")
-            elif observe and not main.isStreaming:
-                done.observed[f"{n.id}.in"] = seen = Observation(f"{n.id}.in")
-                main = main.observe(seen, F.count(F.lit(1)).alias("rows_in"))
             if n.type == "input":
                 pass
             elif n.type == "output" or n.disabled:
@@ -145,12 +157,18 @@ class Pipeline:
             else:
                 try:
                     out = NODES[n.type](Inputs(main, ports, n.config, n.on_error))
+                    if observe and not main.isStreaming:
+                        done.observed[f"{n.id}.in"] = seen = Observation(f"{n.id}.in")
+                        errors = [] if out.message is None else [F.count_if(out.message.isNotNull()).alias("errors")]
+                        out = NODES[n.type](Inputs(main.observe(seen, F.count(F.lit(1)).alias("rows_in"), F.min(F.expr(CLOCK)).alias("first_in"), *errors), ports, n.config, n.on_error))
                 except (AnalysisError, FormulaError) as e:
                     raise AnalysisError(f"{n.id}: {e}") from None
+                if n.id in asked and part_errors and out.judged is not None and not main.isStreaming:
+                    out = Output(*parted(out.judged))
             df = out.df
             if observe and not df.isStreaming:
                 done.observed[n.id] = seen = Observation(f"{n.id}")
-                df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+                df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.expr(CLOCK)).alias("last_out"))
             if persist_shared and readers[n.id] > 1 and not df.isStreaming:
                 df = df.persist(StorageLevel.MEMORY_AND_DISK)
             done.frames[n.id] = df

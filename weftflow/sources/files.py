@@ -94,18 +94,37 @@ def unwrap(df: DataFrame) -> DataFrame:
     return df
 
 
+def item_type(spark: SparkSession, schema: str | T.StructType) -> T.StructType:
+    """The type of the rows of documents of a type."""
+    found = spark.createDataFrame([], schema).schema
+    for field in ENVELOPES:
+        kind = next((f.dataType for f in found.fields if f.name == field), None)
+        if isinstance(kind, T.ArrayType):
+            return kind.elementType if isinstance(kind.elementType, T.StructType) else T.StructType([T.StructField("value", kind.elementType)])
+    return found
+
+
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """JSON documents, one for each file: arrays give their items, objects their envelope or themselves, scalars a column `value`.
 
-    A `schema` of the documents, with their envelope if they have one, saves the pass over all data that infers it.
+    Documents are split over tasks (see `ranges`); a document that is one object without envelope is one row. A `schema` of the
+    documents, with their envelope if they have one, saves the pass over all items that infers it.
     """
-    reader = spark.read.option("multiLine", True)
-    df = (reader.schema(schema) if schema else reader).json(path)
-    if df.columns == ["_corrupt_record"]:  # scalars
-        whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
-        array = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
-        return whole.select(F.explode(array).alias("value"))
-    return unwrap(df)
+    items = ranges.json_items(spark, path, ENVELOPES)
+    scalar = F.from_json(F.concat(F.lit("["), F.col("item"), F.lit("]")), "array<string>")[0]
+    if schema:
+        kind = item_type(spark, schema)
+        if kind.names == ["value"] and not isinstance(kind["value"].dataType, T.StructType):
+            is_object = F.startswith("item", F.lit("{"))
+            return items.select(F.when(is_object, F.from_json("item", kind)["value"]).otherwise(scalar.cast(kind["value"].dataType)).alias("value"))
+        return items.select(F.from_json("item", kind).alias("v")).select("v.*")
+    objects, others = items.filter(F.startswith("item", F.lit("{"))), items.filter(~F.startswith("item", F.lit("{")))
+    kind = spark.read.json(objects.rdd.map(lambda r: r[0])).schema
+    values = others.select(scalar.alias("value"))
+    if not kind.fields:
+        return values
+    rows = objects.select(F.from_json("item", kind).alias("v")).select("v.*")
+    return rows if others.isEmpty() else rows.unionByName(values, allowMissingColumns=True) if "value" not in rows.columns else rows.withColumn("value", F.col("value").cast("string")).unionByName(values, allowMissingColumns=True)
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:

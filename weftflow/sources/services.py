@@ -99,6 +99,29 @@ class RestSource(DataSource):
         return RestReader(Request(**json.loads(self.options["request"])))
 
 
+#: Names in backticks, words, and signs of a type that a variant tells of itself.
+TYPE_TOKENS = re.compile(r"`(?:[^`]|``)*`|\w+|\S")
+#: Types of variants that columns haven't, and what stands for them.
+COLUMN_TYPES = {"OBJECT": "STRUCT", "VOID": "STRING", "VARIANT": "STRING", "DECIMAL": "DOUBLE"}
+
+
+def column_type(variant_type: str) -> str:
+    """The type of a column for what `schema_of_variant` tells; names of fields stay, whatever they are."""
+    tokens, out, at = TYPE_TOKENS.findall(variant_type), [], 0
+    while at < len(tokens):
+        token = tokens[at]
+        if tokens[at + 1 : at + 2] == [":"]:  # a field's name
+            out += [token if token.startswith("`") else f"`{token}`", ": "]
+            at += 2
+        elif token == "DECIMAL":
+            out.append(COLUMN_TYPES[token])
+            at = tokens.index(")", at) + 1
+        else:
+            out.append(COLUMN_TYPES.get(token, token))
+            at += 1
+    return "".join(out)
+
+
 def read_rest(spark: SparkSession, request: Request, schema: str | None = None) -> DataFrame:
     """The items of the answers. Without a schema it is taken from all of them, which are written to the shared folder first, so that no request is made twice."""
     spark.dataSource.register(RestSource)
@@ -108,8 +131,7 @@ def read_rest(spark: SparkSession, request: Request, schema: str | None = None)
         found = rows.select(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0]
         if not found or not found.startswith("OBJECT<"):
             return rows
-        # what variants tell of themselves, as types of columns
-        schema = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING"))
+        schema = column_type(found)
     return rows.select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
