@@ -8,7 +8,7 @@ unit, and what holds for a text is what holds for its units, one after the other
 aligned once, with its number of occurrences, and documents are put together from their units by a join.
 
 Units are aligned by relations alone: exploded tokens with positions, windowed sums of lengths for their ends, an equi-join
-on unit and end, whose matches are cuts and links, a running count of cuts for group numbers, joins of links with corpus-wide counts.
+on unit and end (as a grouping), whose matches are cuts and links, a running count of cuts for group numbers, joins of links with corpus-wide counts.
 Documents are put together from their units in Arrow, block by block.
 
 Nulls: a null or empty text has no tokens, and neither has one whose bytes B doesn't give back (it holds U+2581). Repeated rows and
@@ -119,10 +119,18 @@ def tokenise(found: DataFrame, a_file: str, b_file: str) -> DataFrame:
 
 
 def ends(held: DataFrame) -> DataFrame:
-    """(uid, times, end, a, b): a row for each offset where a token of A, of B or of both ends, with their ids."""
+    """(uid, times, end, a, b): a row for each offset where a token of A, of B or of both ends, with their ids.
+
+    The two sides meet by unit and end, as in a full join. They are grouped rather than joined, since that keeps them where their unit is.
+    """
     along = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sides = [held.select("uid", "times", F.posexplode(F.arrays_zip(c, f"{c}_sizes")).alias("pos", "t")).select("uid", "times", F.sum(f"t.{c}_sizes").over(along).alias("end"), F.col(f"t.{c}")) for c in "ab"]
-    return sides[0].join(sides[1].drop("times"), ["uid", "end"], "full")
+    exploded = {c: held.select("uid", "times", F.posexplode(F.arrays_zip(c, f"{c}_sizes")).alias("pos", "t")) for c in "ab"}
+    none = F.lit(None).cast("int")
+    sides = [
+        df.select("uid", "times", F.sum(f"t.{c}_sizes").over(along).alias("end"), *((F.col(f"t.{c}") if k == c else none).alias(k) for k in "ab"))
+        for c, df in exploded.items()
+    ]
+    return sides[0].unionAll(sides[1]).groupBy("uid", "end").agg(F.max("times").alias("times"), F.max("a").alias("a"), F.max("b").alias("b"))
 
 
 def grouped(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -47,6 +48,7 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 def forget(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are done now, rather than when the driver's memory is next cleared."""
+    gc.collect()  # plans that Python still holds keep their files
     spark.sparkContext._jvm.System.gc()
 
 
