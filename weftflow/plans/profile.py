@@ -24,6 +24,7 @@ TYPES = {
 }
 CLASSES = [*TYPES, "string"]
 PATTERN_BYTES = 32
+MOSTLY_NULL = "column %s: %.1f%% of the values are missing"
 
 
 def type_of(value: Column) -> Column:
@@ -64,6 +65,11 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         *(F.sum(c).alias(c) for c in ("rows", "nulls", "distinct", "bytes", *(f"t_{t}" for t in CLASSES))), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_n").alias("low_n"), F.max("high_n").alias("high_n"),
         F.min_by("pattern", F.when(F.col("pattern").isNotNull(), F.struct(-F.col("pn"), F.col("pattern")))).alias("format_pattern"),
     )
+    return finished(total)
+
+
+def finished(total: DataFrame) -> DataFrame:
+    """The profile of columns from their counts, bounds and most frequent format."""
     votes = F.array(*(F.struct((-F.col(f"t_{t}")).alias("v"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(CLASSES)))
     inferred = F.when(F.col("rows") == F.col("nulls"), "string").otherwise(F.array_min(votes)["t"])
     filled = F.col("rows") - F.col("nulls")
@@ -92,9 +98,17 @@ class Report:
     warnings: DataFrame
     seconds: float = 0.0
 
+    repeats: DataFrame | None = None
+
     def collect(self) -> dict[str, list[dict]]:
+        """All of it as plain values; the profile runs once, what is mostly null is told from its rows."""
         began = time.time()
-        found = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in (("columns", self.columns), ("sample", self.sample), ("warnings", self.warnings))}
+        rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+        found = {"columns": rows(self.columns), "sample": rows(self.sample)}
+        if self.repeats is None:
+            found["warnings"] = rows(self.warnings)
+        else:
+            found["warnings"] = [{"warning": MOSTLY_NULL % (c["column"], c["null_rate"] * 100)} for c in found["columns"] if (c["null_rate"] or 0) > 0.5] + rows(self.repeats)
         self.seconds = time.time() - began
         return found
 
@@ -102,8 +116,9 @@ class Report:
 def report(df: DataFrame, rows: int = 8, approximate: bool = False) -> Report:
     """Profile, sample and warnings (columns that are mostly null, rows that repeat) of a table; nothing runs before `collect` or an action on a part."""
     columns = profile(df, approximate)
-    empty = columns.filter("null_rate > 0.5").select(F.format_string("column %s: %.1f%% of the values are missing", F.col("column"), F.col("null_rate") * 100).alias("warning"))
-    return Report(columns, df.limit(rows), empty.unionAll(repeated_rows(df).select("warning").filter("warning is not null")))
+    empty = columns.filter("null_rate > 0.5").select(F.format_string(MOSTLY_NULL, F.col("column"), F.col("null_rate") * 100).alias("warning"))
+    repeats = repeated_rows(df).select("warning").filter("warning is not null")
+    return Report(columns, df.limit(rows), empty.unionAll(repeats), repeats=repeats)
 
 
 def repeated_rows(df: DataFrame) -> DataFrame:
