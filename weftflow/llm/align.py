@@ -41,7 +41,7 @@ VISIBLE = r"!-~\u00A1-\u167F\u1681-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2FFF
 #: Where units begin: a single space between two of them.
 BETWEEN = rf"(?= [{VISIBLE}])(?<=[{VISIBLE}])"
 #: Bytes of text of a block of documents, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 #: Parts into which links of a frequent pair of ids are dealt.
 SALTS = 4
 SPACE = "▁"
@@ -134,12 +134,12 @@ def ends(held: DataFrame) -> DataFrame:
 
 
 def grouped(found: DataFrame) -> DataFrame:
-    """(uid, times, groups, links) of each unit: groups as text `a1,a2|b1;a3|b2`, links as an array of (a, b)."""
+    """(uid, times, groups, links) of each unit: groups as text `a1,a2|b1;a3|b2`, links as an array of numbers with A's id above B's."""
     cuts = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     before = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     numbered = found.withColumn("grp", F.coalesce(F.sum(cuts).over(before), F.lit(0).cast("long")))
     side = lambda k, c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("grp", F.lit(k).alias("kind"), "end", F.col(c).alias("id"))))
-    links = F.collect_list(F.when(cuts == 1, F.struct("a", "b")))
+    links = F.collect_list(F.when(cuts == 1, F.call_function("shiftleft", F.col("a").cast("long"), F.lit(32)).bitwiseOR(F.col("b").cast("long"))))
     per = numbered.groupBy("uid").agg(
         F.max("times").alias("times"), F.sort_array(F.concat(side(0, "a"), side(1, "b"))).alias("t"), links.alias("links"),
     )
@@ -150,17 +150,18 @@ def grouped(found: DataFrame) -> DataFrame:
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """(a, b, links, best): how many links of the whole corpus hold the pair, and whether no pair of that b has more."""
-    counts = links.groupBy("a", "b").agg(F.sum("times").alias("links"))
+    """(pair, links, best) of (pair, times): how many links of the whole corpus hold a pair, A's id above B's in one number, and whether no pair of that B has more."""
+    counts = links.groupBy("pair").agg(F.sum("times").alias("links")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     most = counts.groupBy("b").agg(F.max("links").alias("most"))
-    return counts.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best"))
+    return counts.join(most, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"))
 
 
 def link_sums(aligned: DataFrame) -> DataFrame:
-    """(uid, n_best, count_sum) of the stored table that `grouped` gives. A frequent pair of ids is dealt over SALTS keys."""
-    links = aligned.select("uid", "times", F.inline("links"))
-    counts = pair_counts(links).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = links.drop("times").withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(counts, ["a", "b", "salt"])
+    """(uid, n_best, count_sum) of the stored table that `grouped` gives. A frequent pair is dealt over SALTS keys: its number is one of the keys' upper bits."""
+    links = aligned.select("uid", "times", F.explode("links").alias("pair"))
+    salted = lambda salt: F.col("pair").bitwiseOR(F.call_function("shiftleft", salt.cast("long"), F.lit(56))).alias("key")
+    counts = pair_counts(links).select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "*").select(salted(F.col("salt")), "links", "best")
+    scored = links.select("uid", salted(F.pmod("uid", F.lit(SALTS)))).join(counts, "key")
     return scored.groupBy("uid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
 
 

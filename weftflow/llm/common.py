@@ -48,7 +48,8 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 def forget(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are done now, rather than when the driver's memory is next cleared."""
-    gc.collect()  # plans that Python still holds keep their files
+    spark.range(1).write.format("noop").mode("overwrite").save()  # Spark holds on to the last plan that ran
+    gc.collect()  # and Python to plans that it hasn't let go yet
     spark.sparkContext._jvm.System.gc()
 
 
