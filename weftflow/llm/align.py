@@ -95,6 +95,11 @@ def units(text: Column) -> Column:
     return F.split(F.concat(F.lit(" "), text), BETWEEN, -1)
 
 
+def contains_space(text: Column) -> Column:
+    """Whether a text holds the sign that B writes for a space."""
+    return F.contains(text, F.lit(SPACE))
+
+
 def tokenise(found: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """(unit, times, same, a, a_sizes, b, b_sizes) of (unit, times): both sides' tokens and their sizes in bytes, and whether they have the same bytes."""
 
@@ -165,10 +170,8 @@ def link_sums(aligned: DataFrame) -> DataFrame:
     return scored.groupBy("uid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
 
 
-def counted(facts: str | None) -> tuple:
+def counted(facts: str) -> tuple:
     """COUNTS and groups of a unit, from its groups, n_best and count_sum as one text; each group has one link, that of the two tokens at its end."""
-    if facts is None:
-        return (*[0] * len(COUNTS), None)
     groups, best, total = facts.split(" ")
     n_groups = groups.count("|")
     n_a = sum(g.count(",", 0, g.index("|")) for g in groups.split(";")) + n_groups
@@ -183,7 +186,7 @@ def together(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             *counts, groups = zip(*map(known.__getitem__, cut_at.split(" " + text)), strict=True)
-            rows.append((id_, *map(sum, counts), ";".join(groups)) if None not in groups else (id_, *[0] * len(COUNTS), None))
+            rows.append((id_, *map(sum, counts), ";".join(groups)))
         done.append(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 7, pa.string()], strict=True)], ["id", *COUNTS, "groups"]))
     return pa.Table.from_batches(done)
 
@@ -205,20 +208,31 @@ def align(
     row = F.monotonically_increasing_id()
     block = F.xxhash64(F.shiftright(row, 33), F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / per_block))
     with settings(spark, {"spark.sql.parquet.compression.codec": "zstd"}):
-        rows = cut(texts.select("id", "text", block.alias("block")), "texts")
-        full = rows.filter("text <> ''")
-        pairs = cut(full.select("block", F.explode(units(F.col("text"))).alias("unit")).groupBy("block", "unit").count(), "pairs")
-        forget(spark)
-        different = cut(tokenise(pairs.groupBy("unit").agg(F.sum("count").alias("times")), a_file, b_file).withColumn("uid", F.monotonically_increasing_id()), "different")
-        forget(spark)
+        rows = cut(texts.select(row.alias("row"), "id", "text", block.alias("block")), "texts")
+        # B writes a space for its own sign, so texts that hold it don't come back; nor may others of another model, and their links mustn't count
+        full, lost = rows.filter((F.col("text") != "") & ~contains_space(F.col("text"))), None
+        while True:
+            pairs = cut(full.select("block", F.explode(units(F.col("text"))).alias("unit")).groupBy("block", "unit").count(), "pairs")
+            forget(spark)
+            different = cut(tokenise(pairs.groupBy("unit").agg(F.sum("count").alias("times")), a_file, b_file).withColumn("uid", F.monotonically_increasing_id()), "different")
+            forget(spark)
+            bad = different.filter("not same").select("unit")
+            if lost is not None or bad.isEmpty():
+                break
+            lost = cut(full.select("row", F.explode(units(F.col("text"))).alias("unit")).join(bad, "unit", "left_semi").select("row").distinct(), "lost")
+            full = full.join(lost, "row", "left_anti")
+            drop(pairs, different)
         with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # one shuffle by uid serves windows, join and grouping
-            aligned = cut(grouped(ends(different.filter("same").repartition(parts, "uid"))), "aligned")
+            aligned = cut(grouped(ends(different.repartition(parts, "uid"))), "aligned")
         forget(spark)
         facts = aligned.select("uid", "groups").join(link_sums(aligned), "uid").select("uid", F.concat_ws(" ", "groups", "n_best", "count_sum").alias("facts"))
-        stats = cut(different.select("unit", "uid").join(facts, "uid", "left").select("unit", "facts"), "stats")
+        stats = cut(different.select("unit", "uid").join(facts, "uid").select("unit", "facts"), "stats")
         drop(different, aligned)
         forget(spark)
     known = pairs.select("block", "unit").join(stats, "unit")
-    each = full.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
-    without = rows.filter("text = ''").select("id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("groups"))
+    each = full.select("block", "id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
+    gone = rows.filter((F.col("text") == "") | contains_space(F.col("text"))).select("id")
+    if lost is not None:
+        gone = gone.unionAll(rows.join(lost, "row", "left_semi").select("id"))
+    without = gone.select("id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(None).cast("string").alias("groups"))
     return each.unionAll(without).withColumnRenamed("id", id_col)
