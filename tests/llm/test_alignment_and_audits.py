@@ -248,3 +248,13 @@ def test_scores_of_a_graph(spark, seed):
     got = {(r.meaning, r.kind): r.score for r in pii.scores(found, 3, 0.6, 3).collect()}
     want = plain_scores([(p, m) for m, _, ps in rows for p in ps], seeds, 3, 0.6, 3)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_texts_of_bytes_that_differ_count_for_nothing(spark, monkeypatch, known):
+    """Whether it is known beforehand or found by its units, a document whose bytes differ has no tokens, and none of its links count."""
+    if not known:
+        monkeypatch.setattr(align, "contains_space", lambda text: F.lit(False))
+    docs = spark.createDataFrame([(1, "a b"), (2, "a ▁ b"), (3, "b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in align.align(docs).collect()}
+    assert len(got) == 3 and got[2].n_a == 0 and got[2].groups is None and got[1].count_sum == 3 and got[3].count_sum == 2
