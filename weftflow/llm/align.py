@@ -41,7 +41,7 @@ VISIBLE = r"!-~\u00A1-\u167F\u1681-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2FFF
 #: Where units begin: a single space between two of them.
 BETWEEN = rf"(?= [{VISIBLE}])(?<=[{VISIBLE}])"
 #: Bytes of text of a block of documents, about.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 10 << 20
 #: Parts into which links of a frequent pair of ids are dealt.
 SALTS = 4
 SPACE = "▁"
