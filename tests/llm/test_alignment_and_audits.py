@@ -77,7 +77,7 @@ def test_alignment_of_odd_texts(odd):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab.'  \n\t▁é😀<s> ,1-", min_size=1, max_size=40))
+@given(st.text(alphabet="ab.'  \n\té😀<s> ,1-", min_size=1, max_size=40))
 def test_units_keep_tokens(text):
     """Tokens of units are those of the whole text, on both sides."""
     a, _ = align.byte_level(public_tokenizers.path("byte_bpe_50k.json"))
