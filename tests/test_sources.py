@@ -142,3 +142,40 @@ def test_rest_names_of_types(spark):
     found = rows.select(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0]
     got = rows.select(F.from_json("value", services.column_type(found)).alias("v")).select("v.*").first().asDict(recursive=True)
     assert got == {"id": 1, "VOIDED": 5, "OBJECT": "x", "a b": 1.5, "c:d": None, "VARIANT": {"VOID": [1]}}
+
+
+def test_tables_and_even_parts(spark):
+    """The tables of a database, and one with a skewed key read in even parts."""
+    from pyspark.sql import functions as F
+
+    db = services.Database("derby", url="jdbc:derby:memory:parts;create=true")
+    skewed = spark.range(4000).select(F.pow(F.lit(1.004), "id").cast("long").alias("K"), F.col("id").alias("V")).unionAll(spark.createDataFrame([(None, -1)], "K long, V long"))
+    skewed.write.jdbc(db.url, "SKEWED", mode="overwrite")
+    assert db.tables(spark) == ["SKEWED"]
+    found = db.parted(spark, "SKEWED", "K", 8)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert rows(found) == rows(skewed) and len(sizes) == 8 and max(sizes) <= 2 * min(sizes)
+    assert rows(db.parted(spark, "SKEWED", "K", 1)) == rows(skewed)
+    names = spark.createDataFrame([(f"it's {i:03d}",) for i in range(40)], "N string")
+    names.write.jdbc(db.url, "NAMES", mode="overwrite", properties={"createTableColumnTypes": "N VARCHAR(20)"})
+    assert rows(db.parted(spark, "NAMES", "N", 4)) == rows(names)
+
+
+def test_stream_of_documents(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder, "a.json", '{"n": 1, "items": [{"a": 1}, {"a": 2}]}')
+    stream = files.stream_json(spark, str(folder), "n long, items array<struct<a long>>")
+    for more in (None, '{"items": [{"a": 3}]}', "{}"):
+        if more:
+            put(folder, f"{len(more)}.json", more)
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1,), (2,), (3,)]
+
+
+def test_preview(spark, tmp_path):
+    path = put(tmp_path, "a.csv", "a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(500)))
+    assert rows(files.preview(spark, path, 3)) == [("0", "x\ny"), ("1", "x\ny"), ("2", "x\ny")] and files.preview(spark, path).count() == files.PREVIEW_ROWS
+    assert rows(files.preview(spark, put(tmp_path, "b.json", '[{"a": 1}, {"a": 2}]'), 1)) == [(1,)]
+    spark.range(5).write.parquet(str(tmp_path / "p.parquet"))
+    assert files.preview(spark, str(tmp_path / "p.parquet"), 2).count() == 2

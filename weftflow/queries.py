@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import extras
 from .plans import profile as profiles
+from .plans import sketches
 from .functions.coerce import name as column
 from .operators.shared import work_dir
 from .plans.pipeline import run
@@ -359,3 +360,55 @@ i AS (SELECT 'size' AS "column", 'accuracy' AS dimension, CAST(lo AS BIGINT) AS
 SELECT "column", dimension, n || said AS message, CASE WHEN n / total >= 0.25 THEN 'critical' WHEN n / total >= 0.05 THEN 'warning' ELSE 'info' END AS severity, round(100 * n / total, 4) AS affected_pct FROM i WHERE n > 0"""
 QUERIES["sample_values"] = lambda spark, sf_dir: profiles.sample_values(table(spark, sf_dir, "region"), "r_name", 10)
 ORACLE_SQL["sample_values"] = "SELECT r_name AS value FROM region"
+
+# JSON documents in ranges, formats told from what was written, profiles merged from parts, both ports of nodes in one pass
+read_back("source_json_documents", "documents", ["doc_id", "text"], lambda df, path: one_file(export_lines(df, "json")).write.text(path), lambda spark, path: files.read_json(spark, path, "doc_id long, text string").withColumn("text", F.sha2("text", 256)), "SELECT CAST(doc_id AS BIGINT) AS doc_id, sha256(text) AS text FROM documents")
+
+
+def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written in five ways under names that tell nothing, each told from its lines and read back."""
+    nation, folder = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), work_dir(spark, "formats")
+    one_file(nation).write.csv(f"{folder}/a", header=True, sep="|")
+    one_file(nation).write.csv(f"{folder}/b", header=True, sep="\t")
+    one_file(nation).write.json(f"{folder}/c")
+    one_file(export_lines(nation, "json")).write.text(f"{folder}/d")
+    nation.write.parquet(f"{folder}/e.parquet")
+    found = None
+    for name in ("a", "b", "c", "d", "e.parquet"):
+        path = f"{folder}/{name}"
+        rows = files.read(spark, path).select(F.lit(name[0]).alias("file"), F.lit(files.told(spark, path)).alias("format"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+QUERIES["source_formats"] = source_formats
+ORACLE_SQL["source_formats"] = "SELECT file, format, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation CROSS JOIN (VALUES ('a', 'csv'), ('b', 'csv'), ('c', 'ndjson'), ('d', 'json'), ('e', 'parquet')) f(file, format)"
+SKETCHED = {"o_orderkey": "integer", "o_orderstatus": "string", "o_orderpriority": "string", "o_custkey": "integer"}
+
+
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of a profile that is merged from the states of two parts of a table."""
+    orders = table(spark, sf_dir, "orders").select(*SKETCHED)
+    parts = [sketches.states(orders.filter(F.col("o_orderkey") % 3 == 0)), sketches.states(orders.filter(F.col("o_orderkey") % 3 != 0))]
+    return sketches.estimates(sketches.merged(*parts)).select("column", "inferred_type", "row_count", "null_count", "min", "max", F.round("mean_length", 4).alias("mean_length"), "format_pattern")
+
+
+QUERIES["profile_merged"] = profile_merged
+ORACLE_SQL["profile_merged"] = f'SELECT "column", inferred_type, row_count, null_count, min, max, mean_length, format_pattern FROM ({profile_sql("orders", SKETCHED)})'
+
+
+def both_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a filter that fails for some rows: those that go on and those that failed, from one pass, counted by line number."""
+    count = lambda column: ("groupByAggregate", {"keys": ["l_linenumber", "port"], "aggregations": [{"column": column, "func": "count", "as": "n"}]})
+    nodes = {
+        "in": ("input", {}), "filter": ("filterRows", {"expression": "100 % (l_linenumber - 2) >= 0"}), "good": gen("port", '"rows"'), "bad": gen("port", '"errors"'),
+        "flat": ("flattenJSON", {"column": "row"}), "named": ("renameColumns", {"mapping": {"row.l_linenumber": "l_linenumber"}}), "rows": count("l_orderkey"), "errors": count("message"), "all": ("union", {}), "out": ("output", {}),
+    }
+    links = [("in", "filter"), ("filter", "good"), ("good", "rows"), ("rows", "all"), ("bad", "flat"), ("flat", "named"), ("named", "errors"), ("all", "out")]
+    edges = [{"from": a, "to": b} for a, b in links] + [{"from": "filter", "fromPort": "errors", "to": "bad"}, {"from": "errors", "to": "all", "toPort": "b"}]
+    document = {"nodes": [{"id": i, "type": t, "config": c} for i, (t, c) in nodes.items()], "edges": edges}
+    return run(document, {"in": table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")})
+
+
+QUERIES["both_ports"] = both_ports
+ORACLE_SQL["both_ports"] = "SELECT l_linenumber, CASE WHEN l_linenumber = 2 THEN 'errors' ELSE 'rows' END AS port, count(*) AS n FROM lineitem GROUP BY ALL"

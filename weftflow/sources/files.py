@@ -21,6 +21,8 @@ from . import ranges
 DELIMITERS = (",", "\t", ";", "|")
 #: Fields under which a JSON document may keep its rows, in order.
 ENVELOPES = ("data", "items", "results", "rows", "records")
+#: Rows of a preview.
+PREVIEW_ROWS = 200
 #: How surely a name tells a format.
 SUFFIXES = {".csv": ("csv", 0.95), ".tsv": ("csv", 0.9), ".json": ("json", 0.95), ".ndjson": ("ndjson", 0.95), ".jsonl": ("ndjson", 0.95), ".parquet": ("parquet", 0.95), ".orc": ("orc", 0.95)}
 
@@ -60,11 +62,11 @@ def detect_format(path: str, lines: list[str]) -> str:
     return kind
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, preserve_empty: bool = False, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, preserve_empty: bool = False, multi_line: bool = True, split: bool = True) -> DataFrame:
     """Delimited text, all columns texts. Short rows are filled with nulls, surplus fields dropped; of equal headers the last counts.
 
     Line feeds within quotes are read, and files are split over tasks all the same: a pass when this is called finds where records
-    begin (see `ranges`). `multi_line=False` saves it for files that are known to have a record on each line. Lines end with a line feed; a carriage
+    begin (see `ranges`); without `split` a file is one task, and nothing runs beforehand. `multi_line=False` saves the pass for files that are known to have a record on each line. Lines end with a line feed; a carriage
     return before one goes, also within quotes. `preserve_empty` turns nulls into "".
     """
     lines = first_lines(spark, path)
@@ -73,7 +75,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     names = first if header else [f"column_{i + 1}" for i in range(len(first))]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     options = {"sep": sep, "multiLine": str(multi_line).lower(), "escape": '"', "mode": "PERMISSIVE"}
-    if multi_line:
+    if multi_line and split:
         records = ranges.csv_records(spark, path, sep)
         kept = records.filter(~F.col("leads")) if header else records
         text = F.regexp_replace("record", r"\r(?=\n|\z)", "")
@@ -141,6 +143,12 @@ def stream_csv(spark: SparkSession, path: str, columns: list[str], delimiter: st
     return rows.select(*(F.coalesce(name(c), F.lit("")).alias(c) for c in columns)) if preserve_empty else rows
 
 
+def stream_json(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the items of the JSON documents that arrive in a folder, as `read_json` gives them. Each document is read whole by one task, as a stream has no second pass."""
+    reader = spark.readStream.schema(schema).option("multiLine", True)
+    return unwrap((reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path))
+
+
 def stream_ndjson(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the JSON lines that arrive in a folder; blank and malformed lines are passed over."""
     reader = spark.readStream.schema(schema).option("mode", "DROPMALFORMED")
@@ -153,15 +161,25 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def preview(spark: SparkSession, path: str, rows: int = PREVIEW_ROWS, format: str | None = None) -> DataFrame:  # noqa: A002
+    """The first rows of a file, without a pass over all of it where the format allows it: only JSON documents are read in ranges."""
+    kind = format or told(spark, path)
+    return read(spark, path, kind, **({"split": False} if kind == "csv" else {})).limit(rows)
+
+
 def formats() -> list[str]:
     return sorted(READERS)
 
 
+def told(spark: SparkSession, path: str) -> str:
+    """The format of a file, from its name and first lines."""
+    suffix = path.lower().rstrip("/").rpartition(".")[2]
+    return suffix if suffix in ("parquet", "orc") else detect_format(path, first_lines(spark, path))
+
+
 def read(spark: SparkSession, path: str, format: str | None = None, **options: object) -> DataFrame:  # noqa: A002
     """A file or folder in a format of READERS, told from its name and first lines where none is given."""
-    if format is None:
-        suffix = path.lower().rstrip("/").rpartition(".")[2]
-        format = suffix if suffix in ("parquet", "orc") else detect_format(path, first_lines(spark, path))  # noqa: A001
+    format = format or told(spark, path)  # noqa: A001
     if format not in READERS:
         raise ValueError(f"there is no reader for {format!r}; there are {', '.join(formats())}")
     return READERS[format](spark, path, **options)

@@ -143,7 +143,10 @@ TABLES = {
     "mysql": "SELECT table_name FROM information_schema.tables WHERE table_schema = database()",
     "sqlite": "SELECT name AS table_name FROM sqlite_master WHERE type = 'table'",
     "sqlserver": "SELECT table_name FROM information_schema.tables WHERE table_type = 'BASE TABLE'",
+    "derby": "SELECT tablename AS table_name FROM sys.systables WHERE tabletype = 'T'",
 }
+#: Engines that skip rows by LIMIT and OFFSET; others do so by the standard's OFFSET and FETCH.
+LIMITING = ("postgres", "mysql", "sqlite")
 
 
 @dataclass
@@ -174,6 +177,21 @@ class Database:
         rows = rows.select(*(F.col(c).cast("string").alias(c) if t == "binary" else F.col(c) for c, t in rows.dtypes))
         return rows.limit(limit) if limit else rows
 
+    def parted(self, spark: SparkSession, table: str, key: str, parts: int) -> DataFrame:
+        """A table read by `parts` tasks of about equally many rows: the database is asked for the key's quantiles, whatever their distribution, and each task for a range.
+
+        Null keys are in the first part. A key that repeats is in one part, so where one value has many rows there are fewer parts.
+        """
+        n = self.query(spark, f"SELECT COUNT({key}) AS n FROM {table}").first()[0]
+        one = (lambda i: f"LIMIT 1 OFFSET {i}") if self.engine in LIMITING else (lambda i: f"OFFSET {i} ROWS FETCH NEXT 1 ROWS ONLY")
+        places = sorted({n * i // parts for i in range(1, parts)} - {0})
+        found = [self.query(spark, f"SELECT {key} AS bound FROM {table} WHERE {key} IS NOT NULL ORDER BY {key} {one(i)}").first()[0] for i in places]
+        bounds = [repr(b) if isinstance(b, (int, float)) else "'" + str(b).replace("'", "''") + "'" for b in dict.fromkeys(found)]
+        ranges = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+        wanted = [f"{key} < {bounds[0]} OR {key} IS NULL", *ranges, f"{key} >= {bounds[-1]}"] if bounds else ["1 = 1"]
+        properties = {"user": self.user, "password": self.password} if self.user else {}
+        return spark.read.jdbc(self.address(), table, predicates=wanted, properties=properties)
+
     def tables(self, spark: SparkSession) -> list[str]:
         return sorted(r[0] for r in self.query(spark, TABLES[self.engine]).collect())
 
