@@ -112,7 +112,7 @@ def test_rows_and_errors_in_one_pass(spark, texts, tmp_path, capsys):
 def test_what_nodes_tell_of_a_run(texts):
     result = Pipeline.parse(CASTS).bind({"in": texts}, observe=True, part_errors=False)
     write(result.frames["big"])
-    cast, big = result.counts("cast"), result.counts("big")
+    cast, big = result.facts("cast"), result.facts("big")
     assert {k: cast[k] for k in ("rows_in", "rows", "errors")} == {"rows_in": 5, "rows": 5, "errors": 1}
     assert (big["rows_in"], big["rows"]) == (5, 1) and result.failed("big") == big["errors"] > 0
     assert cast["milliseconds"] >= 0 and big["milliseconds"] >= 0

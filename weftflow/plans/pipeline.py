@@ -62,7 +62,7 @@ class Result:
     def metrics(self, node: str) -> dict[str, int]:
         return {k: v for k, v in self.observed[node].get.items() if k == "rows"}
 
-    def counts(self, node: str) -> dict[str, int]:
+    def facts(self, node: str) -> dict[str, int]:
         """What an action over an observed pipeline told of a node: `rows_in`, `rows` that went out, `errors`, and `milliseconds` from the first row in to the last row out.
 
         Nodes of one stage take rows from each other, so their times overlap; the times are those of the executors' clocks.
@@ -71,6 +71,10 @@ class Result:
         first, last = found.pop("first_in", None), found.pop("last_out", None)
         return found | ({"milliseconds": max(0, last - first)} if first is not None and last is not None else {})
 
+    def counts(self, node: str) -> dict[str, int]:
+        """The rows that came into a node (`rows_in`) and went out (`rows`), once an action has run over an observed pipeline."""
+        return {k: v for k, v in self.facts(node).items() if k in ("rows_in", "rows")}
+
     def failed(self, node: str) -> int:
         """The number of rows that failed in a node: observed, or else by a job."""
         if f"{node}.in" in self.observed and (seen := self.observed[f"{node}.in"].get.get("errors")) is not None:
