@@ -41,7 +41,7 @@ VISIBLE = r"!-~\u00A1-\u167F\u1681-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2FFF
 #: Where units begin: a single space between two of them.
 BETWEEN = rf"(?= [{VISIBLE}])(?<=[{VISIBLE}])"
 #: Bytes of text of a block of documents, about.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 16 << 20
 #: Parts into which links of a frequent pair of ids are dealt.
 SALTS = 4
 SPACE = "▁"
@@ -206,7 +206,7 @@ def align(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BLOCK_BYTES))
     # documents that Spark reads after one another make up a block: there a unit is counted before it is shuffled
     row = F.monotonically_increasing_id()
-    block = F.xxhash64(F.shiftright(row, 33), F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / per_block))
+    block = F.shiftright(row, 33) * (1 << 24) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / per_block)  # small numbers, which shuffles compress
     with settings(spark, {"spark.sql.parquet.compression.codec": "zstd"}):
         rows = cut(texts.select(row.alias("row"), "id", "text", block.alias("block")), "texts")
         # B writes a space for its own sign, so texts that hold it don't come back; nor may others of another model, and their links mustn't count
