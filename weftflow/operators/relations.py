@@ -11,6 +11,7 @@ from ..functions import coerce
 from ..functions.coerce import field, name, text
 from .base import AnalysisError, Inputs, node, place
 from .ordinal import with_ordinal
+from .shared import cut, drop
 
 #: Standard deviations by which a random sample is drawn too large before it is cut.
 SPARE = 7
@@ -206,22 +207,41 @@ def sort(x: Inputs) -> DataFrame:
     return x.main.orderBy(*keys) if keys else x.main
 
 
+def random_rows(rows: DataFrame, size: int, seed: int) -> DataFrame:
+    """Exactly `size` rows (all, if fewer), those with the smallest of random numbers, whatever the size. `__m` tells rows of one number apart.
+
+    Rows up to a number that so many hardly fail to reach are written, about SPARE standard deviations too many. Only the numbers of
+    these surplus rows, about the square root of `size`, meet in one task, which finds where to cut; a filter does the rest.
+    """
+    n, spare = rows.count(), SPARE
+    drawn = rows.withColumn("__r", F.rand(seed))
+    while True:
+        most = size + spare * size**0.5 + spare**2
+        few = cut(drawn.filter(F.col("__r") * n <= most), "sample")
+        surplus = few.count() - size
+        if surplus >= 0 or most >= n:
+            break
+        drop(few)
+        spare *= 4
+    if surplus <= 0:
+        return few.drop("__r")
+    last = few.select("__r", "__m").orderBy(F.desc("__r"), F.desc("__m")).limit(surplus).agg(F.min(F.struct("__r", "__m")).alias("x")).first()["x"]
+    return few.filter((F.col("__r") < last["__r"]) | (F.col("__r") == last["__r"]) & (F.col("__m") < last["__m"])).drop("__r")
+
+
 @node("sampling")
 def sampling(x: Inputs) -> DataFrame:
     """`size` rows: `first` by `orderBy`, `random` by `seed`, or `systematic`, each so many rows in that order. All where there are no more.
 
-    Random rows are those with the smallest of random numbers; numbers beyond one that so many rows hardly fail to reach are
-    left out beforehand, so the sort sees little more than `size` rows. They come in the order that the input has.
+    Random rows come in the order that the input has (see `random_rows`).
     """
     size, method = int(x.get("size", (int, float), 0)), x.get("method", str) or "first"
     order = [name(k).asc_nulls_last() for k in x.get("orderBy", list, [])]
     if size <= 0:
         return x.main
     if method == "random":
-        n = x.main.agg(F.count(F.lit(1))).scalar()
-        rows = x.main.withColumn("__at", place(x)).withColumn("__r", F.rand(int(x.get("seed", (int, float), 0))))
-        few = rows.filter(F.col("__r") * n <= size + SPARE * size**0.5 + SPARE**2).orderBy("__r").limit(size)
-        return few.orderBy("__at").drop("__at", "__r")
+        rows = x.main.withColumn("__at", place(x)).withColumn("__m", F.monotonically_increasing_id())
+        return random_rows(rows, size, int(x.get("seed", (int, float), 0))).orderBy("__at").drop("__at", "__m")
     if method == "systematic":
         rows, n = with_ordinal(x.main, x.get("orderBy", list, []))
         if size >= n:

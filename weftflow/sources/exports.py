@@ -37,7 +37,7 @@ def csv_lines(df: DataFrame, columns: list[str], delimiter: str = ",", null: str
 def json_lines(df: DataFrame, columns: list[str], pretty: bool = False) -> DataFrame:
     """One array of objects with all columns, nulls too."""
     rows, n = with_ordinal(df.select(F.to_json(F.struct(*(name(c).alias(c) for c in df.columns)), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("j")), [])
-    return lines(df, "[").unionAll(rows.select(F.concat("j", F.when(F.col("__i") == n - 1, "").otherwise(",")).alias("line"))).unionAll(lines(df, "]"))
+    return lines(df, "[").unionAll(rows.orderBy("__i").select(F.concat("j", F.when(F.col("__i") == n - 1, "").otherwise(",")).alias("line"))).unionAll(lines(df, "]"))
 
 
 def escaped(c: Column, *pairs: tuple[str, str]) -> Column:
