@@ -138,14 +138,20 @@ def group_by(x: Inputs) -> DataFrame:
 def deduplicate(x: Inputs) -> DataFrame:
     """The first row by `orderBy` for each combination of `keys`; without keys each different row once.
 
-    The first rows are aggregated before the shuffle, so a frequent key costs a row for each task.
+    The first rows are aggregated before the shuffle, so a frequent key costs a row for each task. With `within` (a column of times
+    and a delay) rows of a key that lie further apart than the delay are apart, in tables as in streams: a stream gives the first row
+    once its watermark has passed the delay, and keeps a row for each open key. Over a stream without `orderBy` the row that arrives first goes on at once.
     """
-    df, keys = x.main, x.get("keys", list, [])
+    df, keys, within = x.main, x.get("keys", list, []), x.get("within", list)
+    if df.isStreaming and not x.get("orderBy", list):
+        return df.dropDuplicatesWithinWatermark([k for k in keys if k in df.columns]) if keys else df.dropDuplicatesWithinWatermark()
     if not keys:
         return df.dropDuplicates()
+    apart = [F.session_window("near", within[1])] if within else []
     row = F.struct(*(name(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
-    rows = df.select(*(field(df, k)[0].alias(f"k{i}") for i, k in enumerate(keys)), row.alias("row"), place(x).alias("at"))
-    first = rows.groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.min_by("row", "at").alias("row"))
+    near = [name(within[0]).alias("near")] if within else []
+    rows = df.select(*(field(df, k)[0].alias(f"k{i}") for i, k in enumerate(keys)), row.alias("row"), place(x).alias("at"), *near)
+    first = rows.groupBy(*(f"k{i}" for i in range(len(keys))), *apart).agg(F.min_by("row", "at").alias("row"))
     return first.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 

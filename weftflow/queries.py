@@ -412,3 +412,10 @@ def both_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["both_ports"] = both_ports
 ORACLE_SQL["both_ports"] = "SELECT l_linenumber, CASE WHEN l_linenumber = 2 THEN 'errors' ELSE 'rows' END AS port, count(*) AS n FROM lineitem GROUP BY ALL"
+
+# Samples without a write or a single task, duplicates that lie near each other
+add("sample_systematic_scan", "orders", [("sampling", {"size": 700, "method": "systematic"}), select("o_orderkey", "o_totalprice")],
+    "WITH r AS (SELECT *, row_number() OVER () - 1 AS i, greatest(count(*) OVER () // 700, 1) AS step FROM orders) SELECT o_orderkey, o_totalprice FROM r WHERE i % step = 0 AND i // step < 700")
+add("sample_random_most", "lineitem", [("sampling", {"size": 5000, "method": "random", "seed": 11}), ("groupByAggregate", {"aggregations": [{"column": "l_orderkey", "func": "count", "as": "n"}]})], "SELECT least(count(*), 5000) AS n FROM lineitem")
+add("dedup_near", "events", [("deduplicate", {"keys": ["user_id", "event_type"], "orderBy": ["ts", "event_id"], "within": ["ts", "2 hours"]}), select("event_id", "user_id", "event_type")],
+    "SELECT event_id, user_id, event_type FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts - before > INTERVAL 2 HOUR")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import json
 import re
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -12,17 +14,26 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..operators.shared import cut
 from .files import ENVELOPES
 
 TIMEOUT_S, MOST_BYTES = 30, 256 << 20
+#: Answers after which a request is made again.
+PASSING = (408, 425, 429, 500, 502, 503, 504)
 
 
 @dataclass
 class Request:
-    """One request, or one for each of `pages`, values of the query parameter `page_param`; pages are read by tasks of their own."""
+    """One request, or one for each of `pages`, values of the query parameter `page_param`; pages are read by tasks of their own.
+
+    Where an answer tells what comes next, `next_field` is the path to it, its names parted by dots: a link, absolute or relative, or,
+    with `cursor_param`, a value for that query parameter. Links to other hosts are refused, since requests carry secrets. Such
+    answers follow one another in one task, which holds one of them at a time; null, an empty text or false ends them.
+
+    A request that meets a passing failure is made up to `tries` times, after what Retry-After says, or `pause` seconds, doubled each time.
+    """
 
     url: str
     method: str = "GET"
@@ -33,6 +44,10 @@ class Request:
     page_param: str = ""
     pages: list[str] = field(default_factory=list)
     timeout: float = TIMEOUT_S
+    next_field: str = ""
+    cursor_param: str = ""
+    tries: int = 5
+    pause: float = 1.0
 
 
 def auth_headers(auth: dict[str, str]) -> dict[str, str]:
@@ -59,6 +74,53 @@ def items(document: object) -> list:
     return document if isinstance(document, list) else [document]
 
 
+def address(r: Request, query: dict[str, str]) -> str:
+    return r.url + ("&" if "?" in r.url else "?") * bool(query) + urllib.parse.urlencode(query)
+
+
+def fetch(r: Request, url: str) -> object:
+    """The document of an answer."""
+    data = None if r.body is None else json.dumps(r.body).encode()
+    headers = {"Accept": "application/json"} | ({"Content-Type": "application/json"} if data else {}) | auth_headers(r.auth) | r.headers
+    for left in reversed(range(max(1, r.tries))):
+        told = None
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, data, headers, method=r.method), timeout=r.timeout) as answer:
+                found = answer.read(MOST_BYTES + 1)
+            break
+        except urllib.error.HTTPError as e:
+            if e.code not in PASSING or not left:
+                raise
+            told = e.headers.get("Retry-After", "")
+        except (urllib.error.URLError, TimeoutError, ConnectionError):
+            if not left:
+                raise
+        time.sleep(float(told) if told and told.isdigit() else r.pause * 2 ** (r.tries - 1 - left))
+    if len(found) > MOST_BYTES:
+        raise ValueError(f"{url} answers with more than {MOST_BYTES} bytes")
+    return json.loads(found)
+
+
+def following(r: Request, url: str, document: object) -> str:
+    """The address that an answer tells to come next, or an empty text."""
+    told = document
+    for part in r.next_field.split("."):
+        told = told.get(part) if isinstance(told, dict) else None
+    if not r.next_field or told in (None, "", False):
+        return ""
+    if r.cursor_param:
+        return address(r, r.query | {r.cursor_param: str(told)})
+    link = urllib.parse.urljoin(url, str(told))
+    if urllib.parse.urlsplit(link)[:2] != urllib.parse.urlsplit(r.url)[:2]:
+        raise ValueError(f"{url} leads to another host, {link}")
+    return link
+
+
+def item_rows(document: object) -> Iterator[tuple[str]]:
+    for x in items(document):
+        yield (json.dumps(x if isinstance(x, dict) else {"value": x}),)
+
+
 class Page(InputPartition):
     def __init__(self, page: str | None) -> None:
         self.page = page
@@ -73,16 +135,48 @@ class RestReader(DataSourceReader):
 
     def read(self, partition: Page) -> Iterator[tuple[str]]:
         r = self.request
-        query = r.query | ({r.page_param: partition.page} if partition.page is not None else {})
-        url = r.url + ("&" if "?" in r.url else "?") * bool(query) + urllib.parse.urlencode(query)
-        data = None if r.body is None else json.dumps(r.body).encode()
-        headers = {"Accept": "application/json"} | ({"Content-Type": "application/json"} if data else {}) | auth_headers(r.auth) | r.headers
-        with urllib.request.urlopen(urllib.request.Request(url, data, headers, method=r.method), timeout=r.timeout) as answer:
-            found = answer.read(MOST_BYTES + 1)
-        if len(found) > MOST_BYTES:
-            raise ValueError(f"{url} answers with more than {MOST_BYTES} bytes")
-        for x in items(json.loads(found)):
-            yield (json.dumps(x if isinstance(x, dict) else {"value": x}),)
+        url = address(r, r.query | ({r.page_param: partition.page} if partition.page is not None else {}))
+        seen = set()
+        while url:
+            if url in seen:
+                raise ValueError(f"{url} comes again after itself")
+            seen.add(url)
+            document = fetch(r, url)
+            yield from item_rows(document)
+            url = following(r, url, document)
+
+
+class RestStream(SimpleDataSourceStreamReader):
+    """A batch for each answer. The offset is the address of the answer that comes next, so a stream that starts again goes on there.
+
+    After the last answer the stream asks for it again at each trigger until it tells what comes next; its items were given already.
+    """
+
+    def __init__(self, request: Request) -> None:
+        self.request = request
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"next": address(self.request, self.request.query), "given": False}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
+        url, given = start["next"], start["given"]
+        document = fetch(self.request, url)
+        after = following(self.request, url, document)
+        if given and not after:
+            return iter([]), start
+        if given:  # what was the last answer has got a successor
+            url, document = after, fetch(self.request, after)
+            after = following(self.request, url, document)
+        return iter(list(item_rows(document))), {"next": after or url, "given": not after}  # Spark copies the iterator
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:  # noqa: N802
+        now = start
+        while now != end:
+            rows, after = self.read(now)
+            yield from rows
+            if after == now:
+                raise ValueError(f"{now['next']} doesn't lead to {end['next']} any more")
+            now = after
 
 
 class RestSource(DataSource):
@@ -98,6 +192,9 @@ class RestSource(DataSource):
     def reader(self, schema: object) -> RestReader:
         return RestReader(Request(**json.loads(self.options["request"])))
 
+    def simpleStreamReader(self, schema: object) -> RestStream:  # noqa: N802
+        return RestStream(Request(**json.loads(self.options["request"])))
+
 
 #: Names in backticks, words, and signs of a type that a variant tells of itself.
 TYPE_TOKENS = re.compile(r"`(?:[^`]|``)*`|\w+|\S")
@@ -135,6 +232,13 @@ def read_rest(spark: SparkSession, request: Request, schema: str | None = None)
     return rows.select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
+def stream_rest(spark: SparkSession, request: Request, schema: str) -> DataFrame:
+    """A stream of the items of answers that follow one another, one answer a batch; the driver holds that one."""
+    spark.dataSource.register(RestSource)
+    rows = spark.readStream.format("rest").option("request", json.dumps(request.__dict__)).load()
+    return rows.select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
 #: How each engine's address is spelled, and the query for its tables.
 ADDRESSES = {"postgres": "jdbc:postgresql://{host}:{port}/{database}", "mysql": "jdbc:mysql://{host}:{port}/{database}", "sqlite": "jdbc:sqlite:{database}", "sqlserver": "jdbc:sqlserver://{host}:{port};databaseName={database}"}
 PORTS = {"postgres": 5432, "mysql": 3306, "sqlserver": 1433}
