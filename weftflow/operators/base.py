@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import name
 from .shared import work_dir
 
+#: Rows of a batch that a node in Python sees, at most.
+BATCH_ROWS = 1000
+
 
 class AnalysisError(ValueError):
     """A pipeline that can't be bound: a wrong configuration, formula or graph."""
@@ -68,6 +72,27 @@ def node(type_: str) -> Callable[[Callable[[Inputs], Output | DataFrame]], Calla
     return add
 
 
+def batch_node(type_: str, schema: Callable[[Inputs], str], rows: int = BATCH_ROWS) -> Callable[[Callable], Callable[[Inputs], Output]]:
+    """Register a node that turns rows into rows in Python: a generator from Arrow batches of at most `rows` rows and the configuration to batches.
+
+    It runs in each task over the task's batches, one after the other, so what it keeps between them is that task's own; it must
+    not rely on how rows are dealt. `schema` tells the columns that its batches have, for the node's inputs.
+    """
+
+    def add(f: Callable[[Iterator[pa.RecordBatch], dict[str, Any]], Iterator[pa.RecordBatch]]) -> Callable[[Inputs], Output]:
+        def run(x: Inputs) -> DataFrame:
+            config = dict(x.config)
+
+            def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                return f((b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)), config)
+
+            return x.main.mapInArrow(each, schema(x))
+
+        return node(type_)(run)
+
+    return add
+
+
 def types() -> list[str]:
     return sorted(NODES)
 
