@@ -4,15 +4,18 @@ A page is a sequence of words and tags. Words score positive and tags negative;
 greatest sum, of equal ones the first and longest. Weights are learned from labelled pages, those with exactly one article
 element, as log odds of standing inside and outside of the article:
 
-- of each kind of tag, between MOST_TAG and LEAST_TAG. Within an article or main element every tag scores LEAST_TAG.
+- of each kind of tag, between MOST_TAG and LEAST_TAG, those seen seldom drawn towards OTHER_TAG. So no tag costs more than a word is
+  worth, and text that is full of links, lists or short blocks holds together, also in a page without article; a list of single
+  linked words costs more than it is worth, and is left out at the ends. Within an article or main element every tag scores LEAST_TAG.
 - of each name in class, id and role, and of the tags that HTML has for other parts (nav, footer, ...). The words of an element
   score less by NAMED times the least such sum among the elements around them, those beyond the next article or main element
   aside, but not less than nothing. So a menu, notice or advert is worth nothing, however long it is, and is left out within the
   region without parting it, while one name never costs an article around which it stands. Names that fewer than LEAST_SEEN labelled elements have start from a
-  prior: PART where HTML or all words of the name tell of another part of a page, else 0.
+  prior: PART where HTML tells of another part of a page, or the name is made of words for such a part and for its shape
+  (`ad-slot`, but not `has-sidebar`), else 0. A form around a menu, header, footer or article is the page's frame and no part of it.
 
-An article within another one, as readers' comments often are, is judged as any element. Where no word of a page scores above 0,
-all words do: such a page is one form or menu as a whole. What browsers don't show, as scripts, is no text.
+An article within another one, as readers' comments often are, is judged as any element. A page that is a menu or form alone has no
+main text. What browsers don't show is no text: scripts and the like, elements with `hidden`, and styles that hide.
 
 Character references are decoded, white space within a block becomes one space, and blocks are joined by a line feed.
 
@@ -39,8 +42,8 @@ from .common import hash_share, map_in_arrow, slices
 
 #: Labelled pages that the weights are learned from, at most; elements with a name from which on its learned weight counts.
 TRAIN_PAGES, LEAST_SEEN = 400, 3
-#: Of a word; of tags at most, at least, and of tags that no labelled page has: low, so that a list of single words isn't cut off.
-WORD, LEAST_TAG, MOST_TAG, OTHER_TAG = 0.2, -0.01, -1.0, -0.05
+#: Of a word; of tags at most, at least, and of tags that no labelled page has; tags of a kind that weigh as much as that prior.
+WORD, LEAST_TAG, MOST_TAG, OTHER_TAG, SHRINK = 0.2, -0.01, -0.12, -0.05, 10
 #: Prior of names of other parts; how much of a name's weight each word below it gets.
 PART, NAMED = -4.0, 0.1
 
@@ -60,10 +63,15 @@ PART_WORDS = {
     "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "reactions", "related", "replies", "search", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "subscription", "toolbar",
 }
+# Words that names of parts also have, for their place or shape.
+SHAPE_WORDS = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "container", "form", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "panel", "posts", "primary", "right", "row", "secondary", "site", "slot", "thread", "top", "unit", "widget", "wrap", "wrapper"}
+# Parts of a whole page, so that a form which holds one is no form alone.
+FRAMED = {"nav", "header", "footer", "main", "article"}
 
 # An attribute: a quote opens a string right after the equals sign only, any other quote is a character like the rest.
 ATTRIBUTE = r"""(?:=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:"[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s>"'][^\s>]*|(?=>)|$))?"""
 TOKEN = re.compile(rf"""<!--(?:>|->|.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{ATTRIBUTE})*)(?:>|$)|([^<]+|<)""", re.S)
+ATTRIBUTES = re.compile(ATTRIBUTE)
 NAMING = re.compile(rf"""(?P<name>class|id|role)\s*=\s*(?:"([^"]*)|'([^']*)|([^\s>"'][^\s>]*))|{ATTRIBUTE}""", re.I)
 
 
@@ -78,7 +86,20 @@ class Weights:
 
 
 def prior(name: str) -> float:
-    return PART if name in PARTS or name[0] == "." and PART_WORDS.issuperset(re.split(r"[-_]+", name[1:])) else 0.0
+    words = {w for w in re.split(r"[-_]+", name[1:]) if w and not w.isdigit()} if name[0] == "." else set()
+    return PART if name in PARTS or words & PART_WORDS and words <= PART_WORDS | SHAPE_WORDS else 0.0
+
+
+def is_hidden(attributes: str) -> bool:
+    """Whether an element's own attributes hide it."""
+    if "hidden" not in attributes.lower() and "none" not in attributes.lower():
+        return False
+    for m in ATTRIBUTES.finditer(attributes):
+        key, _, value = m[0].lower().partition("=")
+        style = re.sub(r"\s+", "", value) if key.strip() == "style" else ""
+        if key.strip() == "hidden" or re.search(r"(?:^|[\"';])(?:display:none|visibility:hidden)", style):
+            return True
+    return False
 
 
 def names_of(name: str, attributes: str) -> tuple[str, ...]:
@@ -100,6 +121,7 @@ class Open:
     weight: float  # the least of the elements around, this one included, from the next article or main element on
     paragraph: int  # place of the open paragraph that a block would end, or -1
     names: tuple[str, ...]
+    at: int = -1  # place of its tag in the page
 
 
 @dataclass(slots=True)
@@ -118,11 +140,11 @@ class Token:
 ROOT = Open("", False, False, 0.0, -1, ())
 
 
-def tokens(page: str, weights: Weights) -> list[Token]:
-    """Words and tags in page order."""
+def tokens(page: str, weights: Weights, frames: frozenset[int] = frozenset()) -> list[Token]:
+    """Words and tags in page order. `frames` are the places of forms that hold the page's own parts; they are looked for in a pass before."""
     out: list[Token] = []
     open_, begun, count = [ROOT], [-1], Counter()  # elements, their tokens, and how many of a name are open
-    block, at, articles = 0, 0, 0
+    block, at, articles, framing = 0, 0, 0, set()
 
     def leave(size: int) -> Open:
         """End elements until `size` are left; the last one ended."""
@@ -160,6 +182,10 @@ def tokens(page: str, weights: Weights) -> list[Token]:
         if name in ("li", "dt", "dd", "option", "tr", "td", "th") and open_[-1].name == name:
             leave(len(open_) - 1)
         top, named = open_[-1], names_of(name, attributes)
+        if name == "form" and found.start() in frames:
+            named = ()
+        if name in FRAMED and count["form"]:
+            framing.update(o.at for o in open_ if o.name == "form")
         whole = name in ("article", "main")
         # what stands around an article doesn't count against it, but within another one and, after main's first, within main
         fresh = whole and not (count["article"] or name == "article" and articles and count["main"])
@@ -167,7 +193,7 @@ def tokens(page: str, weights: Weights) -> list[Token]:
             for i in begun[1:]:
                 out[i].held = True
         articles += name == "article"
-        own = Open(name, top.silent or name in SILENT, top.article or whole, 0.0 if fresh else min(top.weight, weights.of(named)), len(open_) if name == "p" else -1 if name in BLOCKS else top.paragraph, named)
+        own = Open(name, top.silent or name in SILENT or is_hidden(attributes), top.article or whole, 0.0 if fresh else min(top.weight, weights.of(named)), len(open_) if name == "p" else -1 if name in BLOCKS else top.paragraph, named, found.start())
         out.append(Token("open", name, own.silent, own.article, own.weight, block, names=named))
         if name not in VOID and not attributes.rstrip().endswith("/"):
             open_.append(own)
@@ -176,7 +202,7 @@ def tokens(page: str, weights: Weights) -> list[Token]:
             if name in RAW:
                 end = re.compile(f"</{name}", re.I).search(page, at)
                 at = end.start() if end else len(page)
-    return out
+    return out if framing <= frames else tokens(page, weights, frames | framing)
 
 
 def scores_of(found: list[Token], weights: Weights) -> np.ndarray:
@@ -189,8 +215,6 @@ def scores_of(found: list[Token], weights: Weights) -> np.ndarray:
             out[i] = len(t.text.split()) * max(0.0, WORD + NAMED * min(0.0, t.weight))
         else:
             out[i] = LEAST_TAG if t.article else weights.tags.get(t.name, OTHER_TAG)
-    if not (out > 0).any():  # all of the page stands in parts
-        out = np.array([x if t.kind != "word" or t.silent else len(t.text.split()) * WORD for x, t in zip(out, found, strict=True)])
     return out
 
 
@@ -240,8 +264,13 @@ def learn(pages: list[str]) -> Weights:
                 names[within or t.held].update(t.names)
     total = [sum(c.values()) + 1 for c in tags]
     odds = lambda counts, k: float(np.log((counts[1][k] + 0.5) / total[1]) - np.log((counts[0][k] + 0.5) / total[0]))
+
+    def tag(k: str) -> float:
+        seen = tags[0][k] + tags[1][k]
+        return (seen * min(LEAST_TAG, max(MOST_TAG, odds(tags, k))) + SHRINK * OTHER_TAG) / (seen + SHRINK)
+
     return Weights(
-        {k: min(LEAST_TAG, max(MOST_TAG, odds(tags, k))) for k in tags[0].keys() | tags[1].keys()},
+        {k: tag(k) for k in tags[0].keys() | tags[1].keys()},
         {k: odds(names, k) for k in names[0].keys() | names[1].keys() if names[0][k] + names[1][k] >= LEAST_SEEN},
     )
 
