@@ -53,7 +53,11 @@ def test_json_export_ends_where_it_should(spark, tmp_path):
         exports.write(rows, str(tmp_path / f"out{i}"), "json")
         whole = "\n".join(p.read_text() for p in sorted((tmp_path / f"out{i}").glob("part-*")))
         assert len(json.loads(whole)) == rows.count()
+        exports.export_lines(rows, "json").coalesce(1).write.text(str(tmp_path / f"one{i}"))
+        one = "\n".join(p.read_text() for p in (tmp_path / f"one{i}").glob("part-*"))
+        assert [x["id"] for x in json.loads(one)] == [x["id"] for x in json.loads(whole)]
     assert [x["id"] for x in json.loads(whole)] == list(range(900))
+    assert [r[0] for r in exports.export_lines(spark.range(0), "json").collect()] == ["[", "]"]
 
 
 def sample(df, size, **config):

@@ -35,9 +35,13 @@ def csv_lines(df: DataFrame, columns: list[str], delimiter: str = ",", null: str
 
 
 def json_lines(df: DataFrame, columns: list[str], pretty: bool = False) -> DataFrame:
-    """One array of objects with all columns, nulls too."""
+    """One array of objects with all columns, nulls too. Brackets come with the first and the last row, so that they stay beside them however files are put together."""
     rows, n = with_ordinal(df.select(F.to_json(F.struct(*(name(c).alias(c) for c in df.columns)), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("j")), [])
-    return lines(df, "[").unionAll(rows.orderBy("__i").select(F.concat("j", F.when(F.col("__i") == n - 1, "").otherwise(",")).alias("line"))).unionAll(lines(df, "]"))
+    if not n:
+        return lines(df, "[", "]")
+    first, last = F.col("__i") == 0, F.col("__i") == n - 1
+    found = F.array(F.when(first, "["), F.concat("j", F.when(last, "").otherwise(",")), F.when(last, "]"))
+    return rows.orderBy("__i").select(F.explode(F.array_compact(found)).alias("line"))
 
 
 def escaped(c: Column, *pairs: tuple[str, str]) -> Column:
