@@ -76,6 +76,21 @@ def test_alignment_of_odd_texts(odd):
     assert align.align(odd.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 3, 1 << 17])
+def test_frequent_units_stay_out_of_dictionaries(spark, monkeypatch, most):
+    """Units that are sent to all tasks stand in no block's dictionary, and rows are the same whatever their number."""
+    texts = [f"the cat's {'and so on ' * (i % 3)}w{i} the the {'x' * 80} {'x' * 80}" for i in range(30)]
+    tables, cut = {}, align.cut
+    monkeypatch.setattr(align, "cut", lambda df, name: tables.setdefault(name, cut(df, name)))
+    monkeypatch.setattr(align, "OFTEN_UNITS", most)
+    found = align.align(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    known = {r.unit for r in tables["known"].collect()}
+    assert (" the" in known) == (most == 0)
+    assert " w7" in known
+    assert " " + "x" * 80 in known
+    assert [tuple(r)[1:] for r in found.orderBy("doc_id").collect()] == plain_alignment(texts)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab.'  \n\té😀<s> ,1-", min_size=1, max_size=40))
 def test_units_keep_tokens(text):

@@ -9,7 +9,8 @@ aligned once, with its number of occurrences, and documents are put together fro
 
 Units are aligned by relations alone: exploded tokens with positions, windowed sums of lengths for their ends, an equi-join
 on unit and end (as a grouping), whose matches are cuts and links, a running count of cuts for group numbers, joins of links with corpus-wide counts.
-Documents are put together from their units in Arrow, block by block.
+Documents are put together from their units in Arrow, block by block; the most frequent units, a bounded number, are sent to all tasks
+instead of standing in nearly every block's dictionary.
 
 Nulls: a null or empty text has no tokens, and neither has one whose bytes B doesn't give back (it holds U+2581). Repeated rows and
 ids, null ids included, are documents each. Extra columns, whatever their names, are left behind. An empty table gives no rows.
@@ -26,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import public_tokenizers
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,8 +45,8 @@ VISIBLE = r"!-~\u00A1-\u167F\u1681-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2FFF
 BETWEEN = rf"(?= [{VISIBLE}])(?<=[{VISIBLE}])"
 #: Bytes of text of a block of documents, about.
 BLOCK_BYTES = 16 << 20
-#: Parts into which links of a frequent pair of ids are dealt.
-SALTS = 4
+#: Units that are sent to all tasks, at most, and bytes of one, at most.
+OFTEN_UNITS, OFTEN_BYTES = 1 << 17, 64
 SPACE = "▁"
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -139,19 +142,19 @@ def ends(held: DataFrame) -> DataFrame:
 
 
 def grouped(found: DataFrame) -> DataFrame:
-    """(uid, times, groups, links) of each unit: groups as text `a1,a2|b1;a3|b2`, links as an array of numbers with A's id above B's."""
+    """(uid, times, n_a, groups, links) of each unit: groups as text `a1,a2|b1;a3|b2`, links as an array of numbers with A's id above B's."""
     cuts = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     before = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     numbered = found.withColumn("grp", F.coalesce(F.sum(cuts).over(before), F.lit(0).cast("long")))
     side = lambda k, c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("grp", F.lit(k).alias("kind"), "end", F.col(c).alias("id"))))
     links = F.collect_list(F.when(cuts == 1, F.call_function("shiftleft", F.col("a").cast("long"), F.lit(32)).bitwiseOR(F.col("b").cast("long"))))
     per = numbered.groupBy("uid").agg(
-        F.max("times").alias("times"), F.sort_array(F.concat(side(0, "a"), side(1, "b"))).alias("t"), links.alias("links"),
+        F.max("times").alias("times"), F.count("a").alias("n_a"), F.sort_array(F.concat(side(0, "a"), side(1, "b"))).alias("t"), links.alias("links"),
     )
     last = lambda i: F.get("t", i - 1)
     sign = lambda x, i: F.when(i == 0, "").when(last(i)["grp"] < x["grp"], ";").when(last(i)["kind"] < x["kind"], "|").otherwise(",")
     text = F.array_join(F.transform("t", lambda x, i: F.concat(sign(x, i), x["id"].cast("string"))), "")
-    return per.select("uid", "times", text.alias("groups"), "links")
+    return per.select("uid", "times", "n_a", text.alias("groups"), "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -162,32 +165,57 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 
 def link_sums(aligned: DataFrame) -> DataFrame:
-    """(uid, n_best, count_sum) of the stored table that `grouped` gives. A frequent pair is dealt over SALTS keys: its number is one of the keys' upper bits."""
+    """(uid, n_best, count_sum) of the stored table that `grouped` gives.
+
+    The counts are broadcast: of two tokens that end together one's bytes end the other's, so the vocabularies bound the number of
+    pairs, by the sum of their entries' lengths, whatever the corpus.
+    """
     links = aligned.select("uid", "times", F.explode("links").alias("pair"))
-    salted = lambda salt: F.col("pair").bitwiseOR(F.call_function("shiftleft", salt.cast("long"), F.lit(56))).alias("key")
-    counts = pair_counts(links).select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "*").select(salted(F.col("salt")), "links", "best")
-    scored = links.select("uid", salted(F.pmod("uid", F.lit(SALTS)))).join(counts, "key")
+    scored = links.select("uid", "pair").join(F.broadcast(pair_counts(links)), "pair")
     return scored.groupBy("uid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
 
 
-def counted(facts: str) -> tuple:
-    """COUNTS and groups of a unit, from its groups, n_best and count_sum as one text; each group has one link, that of the two tokens at its end."""
-    groups, best, total = facts.split(" ")
-    n_groups = groups.count("|")
-    n_a = sum(g.count(",", 0, g.index("|")) for g in groups.split(";")) + n_groups
-    return n_a, groups.count(",") + 2 * n_groups - n_a, n_groups, n_groups, int(best), int(total), groups
-
-
-def together(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The documents of a block, from their units and the block's dictionary of units."""
-    known = {unit: counted(facts) for unit, facts in zip(right["unit"].to_pylist(), right["facts"].to_pylist(), strict=True)}
-    cut_at, done = re.compile(BETWEEN), []
+def least_times(stats: DataFrame) -> Column:
+    """Which units are sent to all tasks: short ones from that number of occurrences on from which there are OFTEN_UNITS at most."""
+    step = F.floor(8 * F.log2("times"))
+    short = F.octet_length("unit") <= OFTEN_BYTES
+    room, least = OFTEN_UNITS, None
+    for r in sorted(stats.filter(short & (F.col("times") > 1)).groupBy(step.alias("step")).count().collect(), reverse=True):  # a few hundred rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return short & (step >= least) if least is not None else F.lit(False)
+
+
+def counted(found: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Groups and COUNTS of units; each group has one link, that of the two tokens at its end."""
+    groups = found["groups"].combine_chunks()
+    n_a, best, total = (found[c].to_numpy() for c in ("n_a", "n_best", "count_sum"))
+    n_groups = pc.count_substring(groups, "|").to_numpy()
+    n_b = pc.count_substring(groups, ",").to_numpy() + 2 * n_groups - n_a
+    return groups, np.stack([n_a, n_b, n_groups, n_groups, best, total], axis=1).astype("i8")
+
+
+@functools.lru_cache(maxsize=1)
+def indexed(often: Broadcast) -> tuple[dict[str, int], pa.Array, np.ndarray]:
+    """The places of the frequent units, their groups and their counts, once for each Python worker."""
+    return {u: i for i, u in enumerate(often.value["unit"].to_pylist())}, *counted(often.value)
+
+
+def together(left: pa.Table, right: pa.Table, often: Broadcast) -> pa.Table:
+    """The documents of a block, from their units, the frequent units and the block's dictionary of others."""
+    places, *shared = indexed(often)
+    own = {u: i for i, u in enumerate(right["unit"].to_pylist(), len(places))}
+    groups, counts = (f(x) for f, x in zip((pa.concat_arrays, np.concatenate), zip(shared, counted(right), strict=True), strict=True))
+    cut_at, place, done = re.compile(BETWEEN), places.get, []
     for batch in slices(left.to_batches(), 64):
-        rows = []
-        for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            *counts, groups = zip(*map(known.__getitem__, cut_at.split(" " + text)), strict=True)
-            rows.append((id_, *map(sum, counts), ";".join(groups)))
-        done.append(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 7, pa.string()], strict=True)], ["id", *COUNTS, "groups"]))
+        parts = [cut_at.split(" " + text) for text in batch.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, parts)])
+        at = np.fromiter((own[u] if (i := place(u)) is None else i for p in parts for u in p), "i8", ends[-1])
+        sums = np.add.reduceat(counts[at], ends[:-1], axis=0)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype("i4")), groups.take(pa.array(at))), ";")
+        done.append(pa.record_batch([batch.column("id"), *(pa.array(c) for c in sums.T), text], ["id", *COUNTS, "groups"]))
     return pa.Table.from_batches(done)
 
 
@@ -225,12 +253,23 @@ def align(
         with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # one shuffle by uid serves windows, join and grouping
             aligned = cut(grouped(ends(different.repartition(parts, "uid"))), "aligned")
         forget(spark)
-        facts = aligned.select("uid", "groups").join(link_sums(aligned), "uid").select("uid", F.concat_ws(" ", "groups", "n_best", "count_sum").alias("facts"))
-        stats = cut(different.select("unit", "uid").join(facts, "uid").select("unit", "facts"), "stats")
+        facts = aligned.select("uid", "groups", "n_a").join(link_sums(aligned), "uid")
+        stats = cut(different.select("unit", "uid", "times").join(facts, "uid").drop("uid"), "stats")
         drop(different, aligned)
         forget(spark)
-    known = pairs.select("block", "unit").join(stats, "unit")
-    each = full.select("block", "id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
+        # blocks' dictionaries are written, so that what they are made of is gone before documents are shuffled
+        is_often = least_times(stats)
+        told = ("unit", "groups", "n_a", "n_best", "count_sum")
+        often = spark.sparkContext.broadcast(stats.filter(is_often).select(*told).toArrow())
+        rest = pairs.select("block", "unit").join(F.broadcast(stats.filter(is_often).select("unit")), "unit", "left_anti")
+        known = cut(rest.join(stats.filter(~is_often).select(*told), "unit"), "known")
+        drop(pairs, stats)
+        forget(spark)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return together(left, right, often)
+
+    each = full.select("block", "id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"id long, {', '.join(f'{c} long' for c in COUNTS)}, groups string")
     gone = rows.filter((F.col("text") == "") | contains_space(F.col("text"))).select("id")
     if lost is not None:
         gone = gone.unionAll(rows.join(lost, "row", "left_semi").select("id"))
