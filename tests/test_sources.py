@@ -3,9 +3,12 @@
 import http.server
 import json
 import threading
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from weftflow import queries
 from weftflow.sources import exports, files, services
 
 
@@ -64,6 +67,42 @@ def test_exports(odd, form, expected):
     assert [r[0] for r in exports.export_lines(odd, form).collect()] == expected
 
 
+@pytest.mark.parametrize("parts", [1, 3, 5])
+def test_json_documents(spark, tmp_path, parts):
+    """Each part is a document, of an empty partition too, and none is cut; read back, they are the table."""
+    kind = "i long, t string"
+    rows = [(i, None if i % 5 == 1 else f'a"}},\n[{i}]') for i in range(40)]
+    df = spark.createDataFrame(rows, kind).repartition(parts, F.col("i") % 2 + 1)  # the partitions of two keys at most have rows
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        exports.write(df, str(tmp_path / "d"), "json", documents=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    found = [json.loads(p.read_text()) for p in (tmp_path / "d").glob("part-*")]
+    assert len(found) == parts
+    assert sorted(x["i"] for d in found for x in d) == list(range(40))
+    assert sorted(tuple(r) for r in files.read_json(spark, str(tmp_path / "d"), kind).collect()) == rows
+    exports.write(df.filter("i < 0"), str(tmp_path / "none"), "json", documents=True)
+    assert files.read_json(spark, str(tmp_path / "none"), kind).collect() == []
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The tables of documents and customers are written in as many parts as they are read in."""
+    paths, work_dir = [], queries.work_dir
+    monkeypatch.setattr(queries, "work_dir", lambda spark, name: paths.append(work_dir(spark, name)) or paths[-1])
+    for table, sf_columns, query in (("documents", ("doc_id", "text"), "source_json_documents"), ("customer", ("c_custkey", "c_name", "c_mktsegment"), "source_tsv_detected")):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(4).write.parquet(str(tmp_path / f"{table}.parquet"))
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        try:
+            plain = spark.read.parquet(str(tmp_path / f"{table}.parquet")).select(*sf_columns)
+            got = queries.QUERIES[query](spark, str(tmp_path))
+            assert len(list(Path(f"{paths[-1]}/{query}".removeprefix("file://")).glob("part-*"))) >= 4
+            assert got.count() == plain.count()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_export(odd, tmp_path):
     exports.write(odd, str(tmp_path / "out"), "json")
     whole = "\n".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))

@@ -1,13 +1,15 @@
 """Six text formats as a DataFrame of lines, which Spark writes as text files: csv, json, markdown, sql, xml and yaml.
 
 Lines stand in the order of the rows; a heading comes in the first file and an ending in the last, so that the part files
-in the order of their names are one document. Own formats are added to FORMATS.
+in the order of their names are one document; JSON also comes as one document for each part. Own formats are added to FORMATS.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,29 @@ def csv_lines(df: DataFrame, columns: list[str], delimiter: str = ",", null: str
     return head.unionAll(df.select(F.concat_ws(delimiter, *map(cell, values(df, columns, null))).alias("line")))
 
 
-def json_lines(df: DataFrame, columns: list[str], pretty: bool = False) -> DataFrame:
-    """One array of objects with all columns, nulls too. Brackets come with the first and the last row, so that they stay beside them however files are put together."""
-    rows, n = with_ordinal(df.select(F.to_json(F.struct(*(name(c).alias(c) for c in df.columns)), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("j")), [])
+def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task as the lines of one array; only the latest row is held back, since the last has no comma."""
+    line = lambda texts: pa.record_batch([texts], ["line"])
+    last = pa.array([], pa.string())
+    yield line(pa.array(["["]))
+    for batch in batches:
+        if batch.num_rows:
+            texts = pa.concat_arrays([last, batch.column(0)])
+            last = texts.slice(len(texts) - 1)
+            yield line(pc.binary_join_element_wise(texts.slice(0, len(texts) - 1), ",", ""))
+    yield line(pa.concat_arrays([last, pa.array(["]"])]))
+
+
+def json_lines(df: DataFrame, columns: list[str], pretty: bool = False, documents: bool = False) -> DataFrame:
+    """One array of objects with all columns, nulls too. Brackets come with the first and the last row, so that they stay beside them however files are put together.
+
+    With `documents` each partition is an array of its own, so nothing is counted, sorted or gathered: a table of any size makes
+    as many documents as it has partitions. Their lines stay one document for each file as `write` puts them.
+    """
+    each = df.select(F.to_json(F.struct(*(name(c).alias(c) for c in df.columns)), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("j"))
+    if documents:
+        return each.mapInArrow(bracketed, "line string")
+    rows, n = with_ordinal(each, [])
     if not n:
         return lines(df, "[", "]")
     first, last = F.col("__i") == 0, F.col("__i") == n - 1
@@ -96,4 +118,4 @@ def export_lines(df: DataFrame, format: str, columns: list[str] | None = None, *
 
 def write(df: DataFrame, path: str, format: str, columns: list[str] | None = None, **options: object) -> None:  # noqa: A002
     """Write the lines as text files below `path`."""
-    export_lines(df, format, columns, **options).write.text(path)
+    export_lines(df, format, columns, **options).write.option("maxRecordsPerFile", 0).text(path)  # a document isn't cut within
