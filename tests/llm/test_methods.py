@@ -149,6 +149,38 @@ def test_packed_ids_of_any_text(text, added):
     assert words.encode(found, 2).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_packed_words_are_encoded_once_and_past_the_rules(monkeypatch):
+    """The tokenizer's rules aren't run on plain words, with marks or without, and words that come back are still known when many others came between."""
+    library, given_to = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode(self, text, **kw):
+            given_to.append(text)
+            return library.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            given_to.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    def encoded(text):
+        given_to.clear()
+        assert words.encode_texts([text], 2)[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+        return sorted(given_to)
+
+    words = packing.WordIds(Counted())
+    assert encoded("Größe mañana, (привет) ελλάδα!! ça. Word word. don't x2") == ["!!", "(привет)", ",", ".", "don't", "x2"]
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    for i in range(4):
+        assert "x2" not in encoded(f"word x2 {i} a{i}")
+    rng = np.random.default_rng(0)
+    letters, marks = [chr(c) for c in range(0x530) if chr(c).isalpha()], [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    for _ in range(300):
+        encoded(" ".join("".join(rng.choice(letters, rng.integers(1, 9))) + "".join(rng.choice(marks, rng.integers(0, 4))) for _ in range(8)))
+
+
 def test_meetings():
     rng = np.random.default_rng(0)
     met, pairs = jaccard.Meetings(), set()

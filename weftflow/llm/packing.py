@@ -12,11 +12,15 @@ are packed each. Extra columns, whatever their names, are left behind. An empty
 
 from __future__ import annotations
 
+import codecs
 import functools
+import itertools
 import json
+import os
 import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from .common import map_in_arrow, slices
+from .wordpiece import BYTE_CHARS
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
@@ -36,37 +42,52 @@ END_ID = 2
 GROUP_DOCS = 2048
 #: Bytes of text at which a group is closed early, so that long texts don't fill a worker.
 GROUP_BYTES = 8 << 20
-#: Bytes of text whose words are held at once.
-BLOCK_BYTES = 2 << 20
-#: Words whose ids a worker keeps from one block to the next, beyond those of the last block.
-KEPT_WORDS = 250_000
+#: Characters of text whose words are held at once; few, so that a processor's caches hold them between looking them up and joining their ids.
+BLOCK_CHARS = 128 << 10
+#: Words after which those kept before are set aside, and those set aside before are dropped: a worker keeps at most twice as many, beyond those of a block.
+KEPT_WORDS = 400_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """Ids by word, as packed unsigned 32-bit integers.
+    """Ids by word, as packed unsigned 32-bit integers. Words kept before the last KEPT_WORDS came are in `older`, until they are met again.
 
-    The tokenizer drops white space and never joins over it, nor over the change from letters to a comma or full stop, so
-    such pieces of a text are encoded once and kept. A word of letters alone gives ids of which the last, and only the
-    last, has the end mark; many such words are encoded in one call and told apart by it. Texts that hold a character that
-    only Python takes as white space, or an added token, are encoded whole.
+    The tokenizer drops white space and never joins over it, so the words of a text are encoded once and kept. A word of
+    letters alone gives ids of which the last, and only the last, has the end mark; many such words are encoded in one call
+    and told apart by it. Where the tokenizer's rules leave letters as they are, its model gets their bytes without them.
+    ASCII marks that follow such letters to the end of a word are encoded apart. Texts that hold a character that only Python
+    takes as white space, or an added token, are encoded whole.
     """
 
     #: White space of str.split that the tokenizer keeps.
     SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-    #: A comma or full stop at the end of a word, after a Latin letter or digit that stays one character when normalised.
-    STOP = re.compile(r"(?<=[a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,])(?=\s)")
+    #: Latin, Greek and Cyrillic letters that stay one character when normalised.
+    LETTERS = "".join(c for c in map(chr, range(ord("a"), 0x530)) if c.isalpha() and c.lower() == c and unicodedata.is_normalized("NFC", c))
+
+    #: Letters, and all but the apostrophe of ASCII's marks to the end of a word.
+    MARKED = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)")
+
+    #: The characters of a byte-level vocabulary, by byte; a space stays one, so that it parts words.
+    BYTES = "".join(" " if b == ord(" ") else BYTE_CHARS[b] for b in range(256))
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = tokenizer
         self.added = [] if tokenizer.encode_special_tokens else [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
         mark = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         if mark:
             self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(mark)]] = True
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        ruled, bare = (t.encode_batch_fast(x, add_special_tokens=False) for t, x in ((tokenizer, list(self.LETTERS)), (self.model, [self.byte_chars(c) for c in self.LETTERS])))
+        self.letters = frozenset(c for c, x, y in zip(self.LETTERS, ruled, bare, strict=True) if x.ids == y.ids)
+
+    def byte_chars(self, text: str) -> str:
+        return codecs.charmap_decode(text.encode(), "strict", self.BYTES)[0]
 
     def words(self, text: str) -> list[str] | bytes:
         """The words, or the ids of a text that is encoded whole."""
@@ -75,23 +96,35 @@ class WordIds(dict):
             return self.ids(text)
         if "\u03a3" not in text and "\u0130" not in text:  # the others have one lower case each, whatever stands around them
             text = lower
-        return self.STOP.sub(r" \1", text).split()
+        return text.split()
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def __missing__(self, word: str) -> bytes:
+        self[word] = data = self.older[word]
+        return data
+
     def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't kept yet, many in one call. If there are too many, only those of this call stay."""
+        """Encode the words that aren't kept yet, many in one call. If there are too many, those of the time before last go."""
         if len(self) > KEPT_WORDS:
-            last = {w: self[w] for w in words if w in self}
+            self.older = dict(self)
             self.clear()
-            self.update(last)
-        new = [w for w in words if w not in self]
-        plain, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        new = {w for w in words if w not in self and w not in self.older}
+        marked = {w: m.groups() for w in new if not w.isalpha() and (m := self.MARKED.fullmatch(w))}
+        new = {w for w in new.union(*marked.values()) if w not in self and w not in self.older and w not in marked}
+        bare = [w for w in new if self.letters.issuperset(w)]
+        ruled = [w for w in new.difference(bare) if w.isalpha()]
+        rest = list(new.difference(bare, ruled))
         for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[word] = np.array(got.ids, "<u4").tobytes()
-        blocks = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
+        self.learn_letters(self.tokenizer, ruled, str)
+        self.learn_letters(self.model, bare, self.byte_chars)
+        self.update((w, self[letters] + self[marks]) for w, (letters, marks) in marked.items())
+
+    def learn_letters(self, tokenizer: Tokenizer, words: list[str], text_of: Callable[[str], str]) -> None:
+        blocks = [words[i : i + 512] for i in range(0, len(words), 512)]
+        encoded = tokenizer.encode_batch_fast([text_of(" ".join(b)) for b in blocks], add_special_tokens=False)
         for block, got in zip(blocks, encoded, strict=True):
             ids = np.array(got.ids, "<u4")
             data, after = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
@@ -106,7 +139,7 @@ class WordIds(dict):
 
     def encode_texts(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         pieces = [self.words(t) for t in texts]
-        self.learn(set().union(*(p for p in pieces if isinstance(p, list))))
+        self.learn(set().union(*(itertools.filterfalse(self.__contains__, p) for p in pieces if isinstance(p, list))))
         return [self.encode(p, end_id) for p in pieces]
 
 
@@ -121,6 +154,7 @@ def tokenizer_of(vocabulary: str, added_ids: bool) -> Tokenizer:
 
 @functools.lru_cache(maxsize=2)
 def word_ids(vocabulary: str, added_ids: bool) -> WordIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return WordIds(tokenizer_of(vocabulary, added_ids))
 
 
@@ -232,7 +266,7 @@ def pack(df: DataFrame, vocabulary: str = public_tokenizers.path("word_bpe_49k.j
                 texts.append(text or "")
                 held, block = held + len(texts[-1]), block + len(texts[-1])
                 full = len(docs) >= group_docs or held >= GROUP_BYTES
-                if full or block >= BLOCK_BYTES:
+                if full or block >= BLOCK_CHARS:
                     ids += words.encode_texts(texts, end_id)
                     texts, block = [], 0
                 if full:
