@@ -1,5 +1,6 @@
 """Readers, format detection, exports, services and databases."""
 
+import hashlib
 import http.server
 import json
 import threading
@@ -218,3 +219,17 @@ def test_preview(spark, tmp_path):
     assert rows(files.preview(spark, put(tmp_path, "b.json", '[{"a": 1}, {"a": 2}]'), 1)) == [(1,)]
     spark.range(5).write.parquet(str(tmp_path / "p.parquet"))
     assert files.preview(spark, str(tmp_path / "p.parquet"), 2).count() == 2
+
+
+def test_quoted_csv_keeps_all_texts(spark, tmp_path):
+    texts = [None, "", " ", " a", "a ", "\ta\n", "\n", "\n\na", "a\r\nb", "\r", "\ra\r", "a\r\r\n", "\r\n", "a\0b", "\0", '"', '""', '"a\n"b', "a,b\n;;;\n;;;\n;;;\n;;;", '" ', "\\", "\x1c", "﻿a", "x\n" * 3000]
+    made = spark.createDataFrame([*enumerate(texts), (None, "id")], "doc_id long, text string")
+    made.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = rows(queries.QUERIES["source_csv_quoted"](spark, str(tmp_path)))
+    digest = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    assert found == sorted([*((str(i), digest(t)) for i, t in enumerate(texts)), (None, digest("id"))], key=repr)
+
+
+def test_detection_passes_over_quoted_texts():
+    assert files.detect_delimiter(['"a","b"', '"1","x;y;z', "x;y;z", "x;y;z", "x;y;z"]) == ","
+    assert files.detect_delimiter(['5" a;b', '7" c;d', "e,f;g"]) == ";"

@@ -309,10 +309,24 @@ def spelled(*columns_: str) -> str:
 
 
 one_file = lambda df: df.coalesce(1)
+#: Spark's CSV writer would trim the texts.
+WHOLE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_quoted(df: DataFrame, path: str) -> None:
+    """CSV with all fields in quotes, where null and empty texts are alike, so that a column tells which are null."""
+    df.withColumn("missing", F.col("text").isNull()).write.csv(path, header=True, escape='"', quoteAll=True, lineSep="\n", **WHOLE)
+
+
+def read_quoted(spark: SparkSession, path: str) -> DataFrame:
+    rows = files.read_csv(spark, path, preserve_empty=True, keep_returns=True)
+    return rows.select(F.nullif("doc_id", F.lit("")).alias("doc_id"), F.when(F.col("missing") == "false", F.sha2("text", 256)).alias("text"))
+
+
 read_back("source_csv", "nation", ["n_nationkey", "n_name", "n_regionkey"], lambda df, path: write(one_file(df), path, "csv"), lambda spark, path: files.read_csv(spark, path), f"SELECT {spelled('n_nationkey', 'n_name', 'n_regionkey')} FROM nation")
-read_back("source_csv_quoted", "documents", ["doc_id", "text"], lambda df, path: df.write.csv(path, header=True, escape='"', quoteAll=True, lineSep="\n"), lambda spark, path: files.read_csv(spark, path).withColumn("text", F.sha2("text", 256)), "SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS text FROM documents")
-read_back("source_tsv_detected", "customer", ["c_custkey", "c_name", "c_mktsegment"], lambda df, path: df.write.csv(path, header=True, sep="\t"), lambda spark, path: files.read(spark, path, "csv"), f"SELECT {spelled('c_custkey', 'c_name', 'c_mktsegment')} FROM customer")
-read_back("source_csv_headerless", "supplier", ["s_suppkey", "s_name"], lambda df, path: df.write.csv(path, sep="|"), lambda spark, path: files.read_csv(spark, path, delimiter="|", header=False), "SELECT CAST(s_suppkey AS VARCHAR) AS column_1, s_name AS column_2 FROM supplier")
+read_back("source_csv_quoted", "documents", ["doc_id", "text"], write_quoted, read_quoted, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS text FROM documents")
+read_back("source_tsv_detected", "customer", ["c_custkey", "c_name", "c_mktsegment"], lambda df, path: df.write.csv(path, header=True, sep="\t", **WHOLE), lambda spark, path: files.read(spark, path, "csv"), f"SELECT {spelled('c_custkey', 'c_name', 'c_mktsegment')} FROM customer")
+read_back("source_csv_headerless", "supplier", ["s_suppkey", "s_name"], lambda df, path: df.write.csv(path, sep="|", **WHOLE), lambda spark, path: files.read_csv(spark, path, delimiter="|", header=False), "SELECT CAST(s_suppkey AS VARCHAR) AS column_1, s_name AS column_2 FROM supplier")
 read_back("source_ndjson", "events", ["event_id", "event_type", "value"], lambda df, path: df.write.json(path), lambda spark, path: files.read_ndjson(spark, path, "event_id long, event_type string, value double"), "SELECT event_id, event_type, value FROM events")
 read_back("source_json_envelope", "nation", ["n_nationkey", "n_name"], lambda df, path: one_file(df.agg(F.collect_list(F.struct(*map(column, df.columns))).alias("items"), F.count(F.lit(1)).alias("count"))).write.json(path), lambda spark, path: files.read_json(spark, path), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
 read_back("source_json_array", "region", ["r_regionkey", "r_name"], lambda df, path: one_file(export_lines(df, "json")).write.text(path), lambda spark, path: files.read_json(spark, path, "r_regionkey long, r_name string"), "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")

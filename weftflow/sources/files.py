@@ -19,6 +19,8 @@ from . import ranges
 
 #: Delimiters that are tried, in order.
 DELIMITERS = (",", "\t", ";", "|")
+#: A quoted field, from the field's first character on; the last one may go on behind the lines at hand.
+QUOTED = re.compile(rf'(?:\A|(?<=[\n{"".join(DELIMITERS)}]))"(?:[^"]++|"")*+(?:"|\Z)')
 #: Fields under which a JSON document may keep its rows, in order.
 ENVELOPES = ("data", "items", "results", "rows", "records")
 #: Rows of a preview.
@@ -32,8 +34,9 @@ def first_lines(spark: SparkSession, path: str, n: int = 5) -> list[str]:
 
 
 def detect_delimiter(lines: list[str]) -> str:
-    """The candidate on which most lines agree, weighted by how often it stands in a line; a comma where none does."""
+    """The candidate on which most lines agree, weighted by how often it stands in a line; a comma where none does. What is within quotes doesn't count."""
     best, most = ",", 0
+    lines = QUOTED.sub("", "\n".join(lines)).split("\n")
     for d in DELIMITERS:
         counts = Counter(line.count(d) for line in lines if line.count(d))
         if counts:
@@ -62,24 +65,25 @@ def detect_format(path: str, lines: list[str]) -> str:
     return kind
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, preserve_empty: bool = False, multi_line: bool = True, split: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, preserve_empty: bool = False, multi_line: bool = True, split: bool = True, keep_returns: bool = False) -> DataFrame:
     """Delimited text, all columns texts. Short rows are filled with nulls, surplus fields dropped; of equal headers the last counts.
 
     Line feeds within quotes are read, and files are split over tasks all the same: a pass when this is called finds where records
     begin (see `ranges`); without `split` a file is one task, and nothing runs beforehand. `multi_line=False` saves the pass for files that are known to have a record on each line. Lines end with a line feed; a carriage
-    return before one goes, also within quotes. `preserve_empty` turns nulls into "".
+    return before one goes, also within quotes, where split files keep it with `keep_returns`. `preserve_empty` turns nulls into "".
     """
     lines = first_lines(spark, path)
     sep = delimiter or detect_delimiter(lines)
     first = next(csv.reader((x + "\n" for x in lines) if multi_line else lines[:1], delimiter=sep), [])
     names = first if header else [f"column_{i + 1}" for i in range(len(first))]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    options = {"sep": sep, "multiLine": str(multi_line).lower(), "escape": '"', "mode": "PERMISSIVE"}
+    # without a character that escapes the quote's escape Spark takes \0 for it, and drops it from texts
+    options = {"sep": sep, "multiLine": str(multi_line).lower(), "escape": '"', "charToEscapeQuoteEscaping": '"', "mode": "PERMISSIVE"}
     if multi_line and split:
         records = ranges.csv_records(spark, path, sep)
         kept = records.filter(~F.col("leads")) if header else records
-        text = F.regexp_replace("record", r"\r(?=\n|\z)", "")
-        rows = kept.select(text.alias("r")).filter("r <> ''").select(F.from_csv("r", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("v")).select("v.*")
+        text = F.regexp_replace("record", r"\r\z" if keep_returns else r"\r(?=\n|\z)", "")
+        rows = kept.select(text.alias("r")).filter("r <> ''").select(F.from_csv("r", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options | {"lineSep": "\n"}).alias("v")).select("v.*")
     else:
         rows = spark.read.schema(schema).options(**options).option("header", header).option("enforceSchema", True).csv(path)
     last = {n: i for i, n in enumerate(names)}
