@@ -212,6 +212,30 @@ def test_join_of_texts_with_a_common_passage(spark, monkeypatch):
     assert got == want and 1 < len(set(want.values())) < len(want) and words_of(rows[0][1])
 
 
+def test_join_frees_meetings_and_parts_large_clusters(spark, monkeypatch):
+    """Where the first sample misses what ties a large cluster, it is parted before its sets are written; ranges of keys are tied one by one and deleted."""
+    monkeypatch.setattr(jaccard, "TILE_SETS", 8)
+    monkeypatch.setattr(jaccard, "FEW_MEETINGS", 0, raising=False)
+    first, seen = jaccard.common_shingles, []
+    monkeypatch.setattr(jaccard, "common_shingles", lambda docs, size, *n: seen.append(n) or (first(docs, size, *n) if n else np.zeros(0, np.uint64)))
+    merge, left = jaccard.merge_tiles, []
+    monkeypatch.setattr(jaccard, "merge_tiles", lambda held, *a: left.append(held.count()) or merge(held, *a))
+    by_kind, paths = jaccard.by_kind, []
+    monkeypatch.setattr(jaccard, "by_kind", lambda *a: paths.append((made := by_kind(*a)).cut_path) or made)
+    rng = np.random.default_rng(7)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(0, 80, 2):
+        own = [f"w{x}" for x in rng.integers(0, 5000, 40)]
+        near = own.copy()
+        near[3] = "other"
+        rows += [(i, " ".join(passage + own)), (i + 1, " ".join(passage + (near if i % 3 == 0 else [f"v{x}" for x in rng.integers(0, 5000, 40)])))]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute(rows, 4, 85) and len(seen) > 1
+    kept = spark.read.parquet(paths[0])
+    assert sum(left) < 60  # all 80 are in one cluster at first
+    assert len(paths) > 1 and kept.filter("kind = 0").count() == len(rows) and kept.filter("kind < -1").count() == 0
+
+
 def test_columns_of_the_pipeline_survive(spark):
     docs = table(spark, SF, "documents").limit(40).withColumn("_score", F.lit("s")).withColumn("_place", F.lit("p")).withColumn("_key", F.col("doc_id")).withColumn("_group", F.lit(1))
     twice = docs.unionAll(docs.limit(3))

@@ -12,6 +12,8 @@
    tile, bitmap signatures are compared: every bit set in one signature only stands for at least one shingle outside the
    intersection, so bit counts bound the overlap from above. Pairs that may link are decided by intersecting the sorted
    arrays. Pairs in the same component aren't compared any more.
+   Clusters beyond one tile are parted anew by keys without the shingles that are common within them, as long as that helps:
+   the larger a table is, the more unlike texts are tied through what some others share.
 4. Clusters of one tile are then done. In larger ones the tiles' components are joined through delegates, level by level.
    Clusters whose components still differ are parted anew by keys without the shingles that are common within them, and pairs
    of tiles whose components differ are compared in full.
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_in_arrow, slices
+from .common import cut, drop, forget, map_in_arrow, remove, slices, work_dir
 from .components import components
 
 U = np.uint64
@@ -51,8 +53,14 @@ MOST_BITS = 8192
 SAMPLE_DOCS, COMMON_TEXTS, MOST_COMMON = 32_768, 12, 200_000
 #: Share of a large cluster's labels that a round of delegates must merge for another one.
 WORTH_A_ROUND = 0.05
+#: Ranges of keys whose meetings are shuffled one after another, where these have more rows than that; their bits in a key.
+KEY_RANGES, FEW_MEETINGS, RANGE_BITS = 4, 512, 2
+#: Share of the sets in large clusters that parting them anew must free for another time.
+WORTH_PARTING = 0.2
 #: Words whose hashes a task keeps; keys that it brings together before they are shuffled; numbers of an array.
 KEPT_WORDS, COMBINED_KEYS, ARRAY = 100_000, 500_000, 8192
+#: Shingles that a task counts together before they are shuffled.
+COUNTED_SHINGLES = 4_000_000
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -157,12 +165,12 @@ def meeting_keys(found: np.ndarray, percent: int, common: np.ndarray | None = No
     return np.concatenate(keys) if keys else np.zeros(0, U)
 
 
-def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+def common_shingles(docs: DataFrame, size: int, n: int | None = None) -> np.ndarray:
     """Sorted hashes of shingles that many different texts of a bounded sample share, MOST_COMMON at most.
 
-    They only spare needless meetings, whichever they are: links don't depend on them. So a sample drawn by a hash of the text will do.
+    They only spare needless meetings, whichever they are: links don't depend on them. So a sample drawn by a hash of the text will do. `n` is the number of documents, if known.
     """
-    n = docs.count()
+    n = docs.count() if n is None else n
     share = min(1_000_000, -(-SAMPLE_DOCS * 1_000_000 // max(n, 1)))
     texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share)
 
@@ -173,6 +181,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     counted = map_in_arrow(texts.dropDuplicates(["text"]), run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON_TEXTS)
     found = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
+    forget(docs.sparkSession)  # the sample's shingles
     return np.sort(found.view(U))
 
 
@@ -208,27 +217,34 @@ class Meetings:
         first = nodes[new]
         least = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(keys))))
         ties = np.unique(np.stack([nodes, least])[:, nodes != least], axis=1)
-        for kind, (a, b) in ((MET, (keys[new], first)), (TIED, ties)):
+        met = keys[new]
+        edges = [0, *np.searchsorted(met >> (64 - RANGE_BITS), np.arange(1 - KEY_RANGES // 2, KEY_RANGES // 2)).tolist(), len(met)]
+        for kind, a, b in (*((MET, met[i:j], first[i:j]) for i, j in zip(edges, edges[1:], strict=False)), (TIED, *ties)):
             for i in range(0, len(a), ARRAY):
                 yield kind, a[i : i + ARRAY], b[i : i + ARRAY]
 
+    def rows(self) -> list[pa.Array]:
+        """The columns (kind, a, b) of what `take` gives: TIED, or MET less the number of the keys' range."""
+        found = [(kind - (int(a[0] >> (64 - RANGE_BITS)) + KEY_RANGES // 2) if kind == MET else kind, a, b) for kind, a, b in self.take()]
+        return [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
 
-#: In the column n of signatures: rows that hold meetings and ties.
-MET, TIED = -1, -2
+
+#: Kinds of rows that hold ties and meetings; the latter's are MET and less, one for each range of keys.
+TIED, MET = -1, -2
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, a, b): the set's number of shingles and two hashes of it; other rows, told by n, hold the meetings of the sets' keys."""
+    """(doc_id, n, h1, h2, a, b, kind): the set's number of shingles and two hashes of it; other rows, of a kind below 0, hold the meetings of the sets' keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # MOST_COMMON hashes at most
-    names, none = ["doc_id", "n", "h1", "h2", "a", "b"], pa.list_(pa.int64())
+    names, none = ["doc_id", "n", "h1", "h2", "a", "b", "kind"], pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), Meetings()
 
         def meetings() -> pa.RecordBatch:
-            kinds, a, b = zip(*met.take(), strict=True)
+            kinds, a, b = met.rows()
             gone = pa.nulls(len(kinds), pa.int64())
-            return pa.record_batch([gone, pa.array(kinds, pa.int64()), gone, gone, pa.array(a, none), pa.array(b, none)], names)
+            return pa.record_batch([gone, gone, gone, gone, a, b, kinds], names)
 
         for batch in slices(batches):
             sets = [shingles(t, size, known) for t in batch.column(1).to_pylist()]
@@ -238,23 +254,43 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if len(s):
                     met.add(meeting_keys(s, percent, shared.value), node)
             gone = pa.nulls(len(sets), none)
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), long(h1), long(h2), gone, gone], names)
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), long(h1), long(h2), gone, gone, pa.array([0] * len(sets), pa.int64())], names)
             if met.full():
                 yield meetings()
         if met.held:
             yield meetings()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_in_arrow(rows, run, "doc_id long, n long, h1 long, h2 long, a array<long>, b array<long>")
+    return map_in_arrow(rows, run, "doc_id long, n long, h1 long, h2 long, a array<long>, b array<long>, kind long")
+
+
+def by_kind(rows: DataFrame, name: str) -> DataFrame:
+    """Written and read back as `cut` does, with a folder for each kind, so that the meetings can be deleted once they are tied."""
+    path = f"{work_dir(rows.sparkSession, name)}/table"
+    rows.write.partitionBy("kind").parquet(path)
+    found = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    found.cut_path = path
+    return found
 
 
 def tied(rows: DataFrame) -> DataFrame:
-    """(a, b): nodes that share a key, from rows (n, a, b) of meetings. Of each key there is a row for each block of a task at most."""
-    pairs = lambda kind: rows.filter(F.col("n") == kind).select(F.inline(F.arrays_zip("a", "b")))
+    """(a, b): nodes that share a key, from rows (kind, a, b) that `by_kind` gave, whose meetings are gone then.
+
+    Of each key there is a row for each block of a task at most. Where there are many, a range of keys is shuffled at a time, and what it takes of the disk is freed before the next.
+    """
+    spark, pairs = rows.sparkSession, lambda where: rows.filter(where).select(F.inline(F.arrays_zip("a", "b")))
     # the first node at each key; the frame ends at the current row, so a key's rows pass by one at a time
     w = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = pairs(MET).withColumn("first", F.first("b").over(w)).filter("b <> first").select(F.col("b").alias("a"), F.col("first").alias("b"))
-    return met.unionAll(pairs(TIED))
+    ties = lambda where: pairs(where).withColumn("first", F.first("b").over(w)).filter("b <> first").select(F.col("b").alias("a"), F.col("first").alias("b"))
+    kinds = [MET - i for i in range(KEY_RANGES)]
+    found = pairs(F.col("kind") == TIED)
+    for chosen in ([kinds] if rows.filter(F.col("kind") <= MET).count() <= FEW_MEETINGS else [[k] for k in kinds]):
+        found = found.unionAll(cut(ties(F.col("kind").isin(chosen)), "ties"))
+        for k in chosen:
+            remove(spark, f"{rows.cut_path}/kind={k}")
+        if len(chosen) == 1:
+            forget(spark)
+    return found
 
 
 def candidate_clusters(sigs: DataFrame) -> DataFrame:
@@ -262,6 +298,48 @@ def candidate_clusters(sigs: DataFrame) -> DataFrame:
     return components(tied(sigs), "candidates").select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
 
 
+def beyond_a_tile(wanted: DataFrame) -> DataFrame:
+    return wanted.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("s")).filter((F.col("m") > TILE_SETS) | (F.col("s") > TILE_SHINGLES)).select("cluster")
+
+
+def parted(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+    """`wanted` (rep, h1, h2, n, cluster) with clusters beyond one tile parted anew, without the sets that then meet no other.
+
+    What is common is looked for in a sample of these clusters' sets alone, so it is less and less that ties unlike sets. Linked sets
+    lie in one cluster and meet by keys without whatever is common, so no link is lost.
+    """
+    texts, before = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), math.inf
+    while True:
+        large = cut(wanted.join(beyond_a_tile(wanted), "cluster").select(*wanted.columns), "beyond")
+        count = large.count()
+        if not count or count > (1 - WORTH_PARTING) * before:
+            return wanted
+        before = count
+        side = large.select("rep", "h1", "cluster")
+        held = texts.join(F.broadcast(side) if count <= BROADCAST_ROWS else side, "rep").select("text", "h1", "cluster")
+        shared = docs.sparkSession.sparkContext.broadcast(common_shingles(held, size, count))
+
+        def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, met = WordHashes(), Meetings()
+            for batch in slices(batches):
+                for text, h1, cluster in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found = shingles(text, size, known)
+                    with np.errstate(over="ignore"):
+                        # another text of the same id has other hashes
+                        if int(mix(found, 11).sum(dtype=U).view(np.int64)) == h1:
+                            met.add(mix(meeting_keys(found, percent, shared.value) ^ U(cluster & 0xFFFFFFFFFFFFFFFF), 17), h1)
+                if met.full():
+                    yield pa.record_batch(met.rows(), ["kind", "a", "b"])
+            if met.held:
+                yield pa.record_batch(met.rows(), ["kind", "a", "b"])
+
+        rows = by_kind(map_in_arrow(held, meet, "kind long, a array<long>, b array<long>"), "meetings")
+        groups = components(tied(rows), "parted").select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
+        again = large.drop("cluster").join(groups, "h1").select(*wanted.columns)
+        wanted = cut(wanted.join(beyond_a_tile(wanted), "cluster", "left_anti").select(*wanted.columns).unionAll(again), "clustered")
+        forget(docs.sparkSession)
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A row of 64-bit words for each set; bits beyond twice the largest set don't help."""
     bits = min(MOST_BITS, max(64, 1 << (2 * max(map(len, sets)) - 1).bit_length()))
@@ -337,7 +415,7 @@ def decide_tiles(members: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
     """(cluster, rep, label): class representatives and the smallest one of their component."""
-    wanted = cut(classes.join(clusters, "h1").filter("rep is not null").select("rep", "h1", "h2", "n", "cluster"), "clustered")
+    wanted = parted(docs, cut(classes.join(clusters, "h1").filter("rep is not null").select("rep", "h1", "h2", "n", "cluster"), "clustered"), size, percent)
     low = [int(x) for x in bands(percent)]
     count, top = wanted.agg(F.count("*"), F.max("n")).first()
     band = sum(((F.col("n") >= x).cast("int") for x in low if x <= (top or 0)), F.lit(-1))
@@ -361,16 +439,23 @@ def linked(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int,
             yield pa.record_batch([*(batch.column(c) for c in kept), data], [*kept, "shingles"])
 
     # the clustered ids are broadcast if they are few enough, else the texts are shuffled to them
-    side = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = map_in_arrow(texts.join(side, "rep").withColumnRenamed("rep", "item"), arrays, "tile long, cluster long, band int, one boolean, item long, shingles binary").filter("shingles is not null")
+
+    def found(those: DataFrame) -> DataFrame:
+        side = F.broadcast(those) if count <= BROADCAST_ROWS else those
+        return map_in_arrow(texts.join(side, "rep").withColumnRenamed("rep", "item"), arrays, "tile long, cluster long, band int, one boolean, item long, shingles binary").filter("shingles is not null")
+
     large = wanted.filter("not one")
     if large.isEmpty():
-        return decide_tiles(found, percent).select("cluster", F.col("item").alias("rep"), "label")
+        return decide_tiles(found(wanted), percent).select("cluster", F.col("item").alias("rep"), "label")
+    done = cut(decide_tiles(found(wanted.filter("one")), percent).select("cluster", F.col("item").alias("rep"), "label"), "done")
+    forget(docs.sparkSession)
     # sets of clusters of several tiles are kept, as they are read more than once
-    held = cut(found.filter("not one").drop("one"), "large-sets")
-    done = decide_tiles(found.filter("one"), percent).select("cluster", F.col("item").alias("rep"), "label")
-    return done.unionAll(merge_tiles(held, cut(decide_tiles(held, percent).select("cluster", F.col("item").alias("rep"), "label"), "labels"), percent))
+    held = cut(found(large).drop("one"), "large-sets")
+    merged = cut(merge_tiles(held, cut(decide_tiles(held, percent).select("cluster", F.col("item").alias("rep"), "label"), "labels"), percent), "merged-labels")
+    drop(held)
+    forget(docs.sparkSession)
+    return done.unionAll(merged)
 
 
 def merge_tiles(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -388,10 +473,11 @@ def merge_tiles(held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         level += 1
         chosen = labels.join(open_, "cluster").groupBy("cluster", "label").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"d{k}") for k in range(DELEGATES)))
         chosen = chosen.select("cluster", F.col("label"), F.explode(F.array_distinct(F.array(*(F.col(f"d{k}.rep") for k in range(DELEGATES))))).alias("item"))
-        met = cut(held.drop("tile", "band").join(chosen, ["cluster", "item"]), "delegates")
+        met = delegates = cut(held.drop("tile", "band").join(chosen, ["cluster", "item"]), "delegates")
         tiles = met.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES))).cast("int").alias("tiles"))
         met = met.join(tiles, "cluster").withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("label", F.lit(level)), "tiles"))).select("tile", "cluster", F.col("label").alias("item"), "shingles")
         merged = cut(decide_tiles(met, percent).filter("item <> label").select("cluster", F.col("item").alias("label"), F.col("label").alias("to")), "merged")
+        drop(delegates)
         count, merges = labels.join(open_, "cluster").select("label").distinct().count(), merged.count()
         if merges:
             labels = cut(labels.join(merged, ["cluster", "label"], "left").select("cluster", "rep", F.coalesce("to", "label").alias("label")), "labels")
@@ -412,9 +498,20 @@ def regrouped(labelled: DataFrame, percent: int) -> DataFrame:
     long_ = pa.int64()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(h, long_), pa.array(n, long_)], ["h", "n"])
+
         for batch in slices(batches):
-            h, n = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]), return_counts=True)
-            yield pa.record_batch([pa.array(h, long_), pa.array(n, long_)], ["h", "n"])
+            held += [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            many += sum(map(len, held[-batch.num_rows :]))
+            if many >= COUNTED_SHINGLES:
+                yield counted()
+                held, many = [], 0
+        if held:
+            yield counted()
 
     total = labelled.agg(F.sum(F.octet_length("shingles") / 8)).first()[0] or 0
     counted = map_in_arrow(labelled.select("shingles"), counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -424,23 +521,21 @@ def regrouped(labelled: DataFrame, percent: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Meetings()
-
-        def meetings() -> pa.RecordBatch:
-            kinds, a, b = zip(*met.take(), strict=True)
-            return pa.record_batch([pa.array(kinds, long_), pa.array(a, pa.list_(long_)), pa.array(b, pa.list_(long_))], ["n", "a", "b"])
-
         for batch in slices(batches):
             for cluster, item, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with np.errstate(over="ignore"):
                     met.add(mix(meeting_keys(np.frombuffer(data, U), percent, shared.value) ^ U(cluster & 0xFFFFFFFFFFFFFFFF), 17), item)
             if met.full():
-                yield meetings()
+                yield pa.record_batch(met.rows(), ["kind", "a", "b"])
         if met.held:
-            yield meetings()
+            yield pa.record_batch(met.rows(), ["kind", "a", "b"])
 
-    rows = cut(map_in_arrow(labelled.select("cluster", "item", "shingles"), meet, "n long, a array<long>, b array<long>"), "meetings")
+    forget(labelled.sparkSession)
+    rows = by_kind(map_in_arrow(labelled.select("cluster", "item", "shingles"), meet, "kind long, a array<long>, b array<long>"), "meetings")
     groups = components(tied(rows), "regrouped").select(F.col("node").alias("item"), F.col("component").alias("group"))
     sets = cut(labelled.drop("cluster").join(groups, "item").withColumnRenamed("group", "cluster"), "regrouped-sets")
+    drop(labelled)
+    forget(sets.sparkSession)
     each = sets.groupBy("cluster", "band").agg(F.count("*").alias("m"), F.sum(F.octet_length("shingles") / 8).alias("s"))
     plan = each.select("cluster", "band", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("s") / TILE_SHINGLES)).alias("tiles"))
     return sets.join(plan, ["cluster", "band"]).withColumn("tile", F.xxhash64("cluster", "band", F.pmod(F.xxhash64("item", F.lit(7)), F.col("tiles")))).drop("tiles")
@@ -464,9 +559,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Sets link when 100 * intersection >= percent * union. component_id is the smallest id that links reach; n_equal is the
     number of rows with an equal set. Neither the links nor their number is given: pairs within a component aren't compared.
     """
-    sigs = cut(signatures(docs, size, percent), "signatures")
+    met = by_kind(signatures(docs, size, percent), "signatures")
+    sigs = met.filter("kind = 0").select("doc_id", "n", "h1", "h2")
     classes = cut(sigs.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal")), "classes")
-    labels = cut(linked(docs, classes, candidate_clusters(sigs), size, percent).select("rep", "label").distinct(), "linked")
+    labels = cut(linked(docs, classes, candidate_clusters(met), size, percent).select("rep", "label").distinct(), "linked")
     ids = sigs.filter("n > 0").select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"])
     named = ids.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), "n_equal")
     # an id that is repeated with sets of different components joins them
